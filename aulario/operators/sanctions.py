@@ -89,7 +89,8 @@ def add_sanctions(t: Model, reqs: DataFrame, as_of: dt.datetime) -> Outcome:
     )
     day = today(as_of)
     state = t.sancion_participante.join(per_person, "ci_participante", "left")
-    absorbed = F.coalesce(F.col("activa") & _Request(day, F.col("_fin")).touches(), F.lit(False))
+    asked = F.col("_fin").isNotNull()
+    absorbed = F.coalesce(asked & F.col("activa") & _Request(day, F.col("_fin")).touches(), F.lit(False))
     touched_first = F.col("activa") & _Request(day, F.col("_fin_primera")).touches()
     kept = state.filter(~absorbed).select(*t.sancion_participante.columns)
 

@@ -12,6 +12,7 @@ from aulario.functions.dates import at_minute, now, plus_minutes, today
 from aulario.operators.islands import ROOM_DAY, active_with_slot, empty_island_slots, with_attended
 from aulario.operators.propagation import sanctions_from_transitions
 from aulario.operators.sanctions import append_sanctions, expire_sanctions, two_months
+from aulario.plans.staging import stage
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
@@ -104,16 +105,28 @@ def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "id_reserva").filter(F.col("estado_old") != F.col("estado_new"))
 
 
+def _stage_sweep(t: Model, swept: Model, as_of: dt.datetime) -> Model:
+    """Write the swept reservations, then sanction the people of those that became no-shows."""
+    reserva = stage(swept.reserva, "reserva")
+    sanctioned = sanctions_from_transitions(swept.replace(reserva=reserva), state_changes(t.reserva, reserva), as_of)
+    return sanctioned.replace(
+        sancion_participante=stage(sanctioned.sancion_participante, "sanciones"),
+        notificacion=stage(sanctioned.notificacion, "notificaciones"),
+    )
+
+
 def run_sweep(t: Model, as_of: dt.datetime, policy: Policy = "both", since: dt.date | None = None) -> Model:
-    """All timers once: expiry, finished, no-shows (with their sanctions), general sanctions."""
+    """All timers once: expiry, finished, no-shows (with their sanctions), general sanctions.
+
+    The steps feed each other, so each one's reservations, sanctions and notifications are written
+    to the shared folder before the next reads them, as are the inputs all steps share.
+    """
+    names = ("reserva", "reserva_participante")
+    t = t.replace(**{n: stage(getattr(t, n), n) for n in names})
     t = expire_sanctions(t, as_of)
     if policy in ("block", "both"):
-        before = t.reserva
-        swept = sweep_blocks(finalize_attended(t, as_of), as_of)
-        t = sanctions_from_transitions(swept, state_changes(before, swept.reserva), as_of)
+        t = _stage_sweep(t, sweep_blocks(finalize_attended(t, as_of), as_of), as_of)
     if policy in ("per_reservation", "both"):
-        before = t.reserva
-        swept = sweep_reservations(t, as_of)
-        t = sanctions_from_transitions(swept, state_changes(before, swept.reserva), as_of)
+        t = _stage_sweep(t, sweep_reservations(t, as_of), as_of)
         t = sanction_no_shows(t, as_of, since)
     return t

@@ -70,7 +70,7 @@ def write_reports(t: Model, f: ReportFilter, out: str) -> None:
 
 
 def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """A batch of requests in JSON, CSV or parquet.
+    """A batch of requests in parquet, JSON lines or CSV with a header.
 
     Text formats are read permissively: a record that does not fit keeps its raw text in
     ``_corrupt_record`` and comes back with NULLs, for the caller to report or drop.
@@ -78,13 +78,18 @@ def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "parquet
     schema = REQUESTS[kind]
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    if fmt not in ("json", "csv"):
-        raise ValueError(f"unknown request format: {fmt}")
     permissive = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    reader = spark.read.schema(permissive).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    return reader.format(fmt).load(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    # parsed as an expression, so that any subset of the columns can be read on its own
+    if fmt == "json":
+        record = F.from_json("value", permissive, options)
+    elif fmt == "csv":
+        lines = lines.filter(F.col("value") != ",".join(schema.fieldNames()))
+        record = F.from_csv("value", permissive.simpleString()[len("struct<") : -1].replace(":", " "), options)
+    else:
+        raise ValueError(f"unknown request format: {fmt}")
+    return lines.select(record.alias("r")).select("r.*")
 
 
 def split_corrupt(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
