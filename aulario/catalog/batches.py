@@ -20,7 +20,7 @@ class Batches:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.raw = StarSchema(spark, sf_dir)
-        self.model: Model = project_testdata(spark, sf_dir)
+        self.model: Model = project_testdata(spark, sf_dir, self.raw)
 
     def booking(self) -> DataFrame:
         room = (F.col("o_custkey") * 7 + F.col("o_orderkey")) % (self.raw.count("supplier") + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +39,26 @@ def accepted(verdicts: DataFrame) -> DataFrame:
 
 def apply_bookings(t: Model, verdicts: DataFrame, as_of: dt.datetime) -> Model:
     """Accepted bookings become active reservations holding their requester."""
-    numbered = next_ids(accepted(verdicts), id_levels("request_id"), "id_reserva", t.reserva)
-    new = numbered.withColumn("estado", F.lit(fixed.ACTIVA))
-    people = numbered.select(
-        F.col("ci").alias("ci_participante"),
-        "id_reserva",
-        today(as_of).alias("fecha_solicitud_reserva"),
-        F.lit(False).alias("asistencia"),
-        F.lit(True).alias("confirmado"),
-    )
-    return t.replace(
-        reserva=t.reserva.unionByName(new.select(*t.reserva.columns)),
-        reserva_participante=t.reserva_participante.unionByName(people),
-    )
+
+    @cache
+    def numbered() -> DataFrame:  # both tables must see the same ids
+        return next_ids(accepted(verdicts), id_levels("request_id"), "id_reserva", t.reserva)
+
+    def reserva(_: Model) -> DataFrame:
+        new = numbered().withColumn("estado", F.lit(fixed.ACTIVA))
+        return t.reserva.unionByName(new.select(*t.reserva.columns))
+
+    def participation(_: Model) -> DataFrame:
+        people = numbered().select(
+            F.col("ci").alias("ci_participante"),
+            "id_reserva",
+            today(as_of).alias("fecha_solicitud_reserva"),
+            F.lit(False).alias("asistencia"),
+            F.lit(True).alias("confirmado"),
+        )
+        return t.reserva_participante.unionByName(people)
+
+    return t.replace(reserva=reserva, reserva_participante=participation)
 
 
 def apply_joins(t: Model, verdicts: DataFrame, as_of: dt.datetime) -> Model:
@@ -117,7 +125,7 @@ def cancel_participation(t: Model, pairs: DataFrame, as_of: dt.datetime, order:
         t.replace(
             reserva_participante=new_rp.select(*rp.columns),
             reserva=cancel_where(t.reserva, emptied),
-            notificacion=append_notifications(t, notifications(told, text, as_of)),
+            notificacion=lambda _: append_notifications(t, notifications(told, text, as_of)),
         ),
         verdicts.select("ci", "id_reserva", "verdict", "reason"),
     )
@@ -203,7 +211,9 @@ def modify_reservations(t: Model, edits: DataFrame, as_of: dt.datetime) -> Outco
     rp = t.reserva_participante
     told = rp.select(F.col("ci_participante").alias("ci"), "id_reserva").join(done, "id_reserva", "left_semi")
     with_notice = t.replace(
-        notificacion=append_notifications(t, notifications(told, message("reservation_modified"), as_of))
+        notificacion=lambda _: append_notifications(
+            t, notifications(told, message("reservation_modified"), as_of)
+        )
     )
     changes = done.select(
         "id_reserva", F.col("_estado_previo").alias("estado_old"), F.col("_estado").alias("estado_new")
@@ -383,18 +393,17 @@ def intake_participants(t: Model, reqs: DataFrame) -> Outcome:
     new = accepted(judged)
     people = new.select("ci", F.col("_nombre").alias("nombre"), F.col("_apellido").alias("apellido"), "email")
     ppa = t.participantes_programa_academico
-    members = next_ids(
-        new.select(
+
+    def memberships(_: Model) -> DataFrame:
+        rows = new.select(
             "request_id", F.col("ci").alias("ci_participante"), F.col("programa").alias("nombre_programa"), "rol"
-        ),
-        id_levels("request_id"),
-        "id_alumno_programa",
-        ppa,
-    )
+        )
+        numbered = next_ids(rows, id_levels("request_id"), "id_alumno_programa", ppa)
+        return ppa.unionByName(numbered.select(*ppa.columns))
+
     return Outcome(
         t.replace(
-            participantes=t.participantes.unionByName(people),
-            participantes_programa_academico=ppa.unionByName(members.select(*ppa.columns)),
+            participantes=t.participantes.unionByName(people), participantes_programa_academico=memberships
         ),
         judged.select(*reqs.columns, "verdict", "reason"),
     )

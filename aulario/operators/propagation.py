@@ -46,8 +46,8 @@ def sanctions_from_transitions(t: Model, changes: DataFrame, as_of: dt.datetime)
     """
     people = newly_sanctioned(t, changes)
     return t.replace(
-        sancion_participante=append_sanctions(t, people, today(as_of), two_months(as_of)),
-        notificacion=append_notifications(t, notifications(people, message("no_show"), as_of)),
+        sancion_participante=lambda _: append_sanctions(t, people, today(as_of), two_months(as_of)),
+        notificacion=lambda _: append_notifications(t, notifications(people, message("no_show"), as_of)),
     )
 
 

@@ -109,12 +109,16 @@ def add_sanctions(t: Model, reqs: DataFrame, as_of: dt.datetime) -> Outcome:
         F.greatest(F.col("_fin"), F.col("_fin_previo")).alias("fin"),
         F.coalesce("_habia", F.lit(False)).alias("fusion"),
     )
-    # numbered after every id in use, the absorbed ones included
-    numbered = next_ids(_new_sanctions(result, F.col("ini"), F.col("fin")), ci_levels("ci_participante"), "id_sancion", t.sancion_participante)
-    sanctions = kept.unionByName(numbered.select(*kept.columns))
+
+    def with_new(_: Model) -> DataFrame:
+        # numbered after every id in use, the absorbed ones included
+        new = _new_sanctions(result, F.col("ini"), F.col("fin"))
+        numbered = next_ids(new, ci_levels("ci_participante"), "id_sancion", t.sancion_participante)
+        return kept.unionByName(numbered.select(*kept.columns))
+
     notices = notifications(result.filter(~F.col("fusion")), message("sanction"), as_of)
     return Outcome(
-        t.replace(sancion_participante=sanctions, notificacion=append_notifications(t, notices)), verdicts
+        t.replace(sancion_participante=with_new, notificacion=lambda _: append_notifications(t, notices)), verdicts
     )
 
 

@@ -95,7 +95,7 @@ def sanction_no_shows(t: Model, as_of: dt.datetime, since: dt.date | None = None
         .distinct()
         .join(covered, "ci", "left_anti")
     )
-    return t.replace(sancion_participante=append_sanctions(t, people, today(as_of), two_months(as_of)))
+    return t.replace(sancion_participante=lambda _: append_sanctions(t, people, today(as_of), two_months(as_of)))
 
 
 def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aulario.plans.staging import stage
+
 
 def id_levels(key: Column | str) -> list[Column]:
     """A 64-bit key as (block of 2^20 values, value): a block holds at most 2^20 distinct keys."""
@@ -57,6 +59,11 @@ def number_rows(df: DataFrame, levels: Sequence[Column], out: str) -> DataFrame:
 
 
 def next_ids(new_rows: DataFrame, levels: Sequence[Column], id_col: str, existing: DataFrame) -> DataFrame:
-    """Number ``new_rows`` upwards from the highest ``id_col`` in ``existing``."""
+    """Number ``new_rows`` upwards from the highest ``id_col`` in ``existing``.
+
+    The rows are written to the shared folder first: numbering reads them several times, and an id
+    once given must not depend on computing them again.
+    """
+    new_rows = stage(new_rows, id_col)
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("top")).scalar()
     return number_rows(new_rows, levels, "_seq").withColumn(id_col, F.col("_seq") + top).drop("_seq")

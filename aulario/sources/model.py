@@ -15,7 +15,8 @@ class Model:
     """Booking tables by name; each DataFrame is built when first asked for.
 
     ``model.reserva`` gives the table, ``model.replace(reserva=df)`` gives a new bundle in which
-    only that table differs. A bundle is never changed in place.
+    only that table differs. A table may be given as a function of the new bundle, which runs when
+    the table is first asked for: state nobody reads costs nothing. Bundles never change in place.
     """
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Builder]):
@@ -34,12 +35,10 @@ class Model:
             self._built[name] = source if isinstance(source, DataFrame) else source(self)
         return self._built[name]
 
-    def replace(self, **changed: DataFrame) -> Model:
-        """A bundle with some tables replaced; the rest is shared with this one."""
-        kept = {n: self._built.get(n, s) for n, s in self._sources.items()}
-        # builders of derived tables must keep seeing the tables they were written for
-        frozen = {n: (s if isinstance(s, DataFrame) else getattr(self, n)) for n, s in kept.items() if n not in changed}
-        return Model(self.spark, {**frozen, **changed})
+    def replace(self, **changed: DataFrame | Builder) -> Model:
+        """A bundle with some tables replaced; the others stay those of this one."""
+        kept = {n: (lambda _, n=n: getattr(self, n)) for n in self._sources if n not in changed}
+        return Model(self.spark, {**kept, **changed})
 
     def names(self) -> list[str]:
         return [n for n in TABLES if n in self._sources]

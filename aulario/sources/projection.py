@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aulario.functions.numbers import int_div
 from aulario.sources.model import Model
@@ -15,17 +15,28 @@ _DAY0 = dt.date(2025, 1, 1)
 _TURNOS = 15
 
 
+# Schemas already read from file footers: inferring one costs a job, and every query opens the
+# same few tables.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class StarSchema:
     """The raw tables, each opened once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self._read = lru_cache(maxsize=None)(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        self._dir = sf_dir
+        self._open: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self._read(name)
+        if name not in self._open:
+            path = f"{self._dir}/{name}.parquet"
+            reader = self.spark.read if path not in _SCHEMAS else self.spark.read.schema(_SCHEMAS[path])
+            self._open[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._open[name].schema
+        return self._open[name]
 
     def count(self, name: str) -> Column:
         """Row count of a raw table as a one-value subquery (parquet footers, no join)."""
@@ -179,9 +190,9 @@ def _notificacion(raw: StarSchema) -> DataFrame:
     )
 
 
-def project_testdata(spark: SparkSession, sf_dir: str) -> Model:
+def project_testdata(spark: SparkSession, sf_dir: str, raw: StarSchema | None = None) -> Model:
     """The booking model seen in the star schema stored under ``sf_dir`` (nothing is read yet)."""
-    raw = StarSchema(spark, sf_dir)
+    raw = raw or StarSchema(spark, sf_dir)
     return Model(
         spark,
         {
