@@ -20,10 +20,15 @@ CORRUPT = "_corrupt_record"
 
 
 def load_tables(spark: SparkSession, path: str) -> Model:
-    """The model stored as parquet folders under ``path``, with the declared schema."""
+    """The model stored as parquet folders under ``path``, with the declared schema.
+
+    The month folders do not show as a column; a filter on ``fecha`` reaches the files, which hold
+    one month each and are skipped by their statistics.
+    """
 
     def opener(name: str):
-        return lambda m: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+        columns = TABLES[name].fieldNames()
+        return lambda m: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}").select(*columns)
 
     return Model(spark, {name: opener(name) for name in TABLES})
 
