@@ -53,23 +53,44 @@ def quota_usage(
         return rows.groupBy("ci", "fecha").agg(F.count("*").alias("bloques"))
     if week_def == "monday":
         return rows.groupBy("ci", monday_of("fecha").alias("semana_inicio")).agg(F.count("*").alias("cantidad"))
-    return rows.groupBy("ci", F.year("fecha").alias("anio"), sunday_week("fecha").alias("semana")).agg(
-        F.count("*").alias("cantidad")
-    )
+    return rows.groupBy("ci", *_sunday_week_key()).agg(F.count("*").alias("cantidad"))
 
 
-def _with_day_use(t: Model, facts: DataFrame, as_of: dt.datetime, confirmed_only: bool = False) -> DataFrame:
-    # bookings for past days are refused earlier, so only today's and later rows matter
-    ahead = t.reserva.filter(F.col("fecha") >= today(as_of))
-    used = quota_usage(t, "day", confirmed_only, reserva=ahead).withColumnRenamed("bloques", "_dia")
-    return facts.join(used, ["ci", "fecha"], "left").withColumn("dia", F.coalesce("_dia", F.lit(0))).drop("_dia")
+def _with_use(
+    t: Model,
+    facts: DataFrame,
+    as_of: dt.datetime,
+    week: Literal["current", "booking"],
+    since: dt.date | None,
+    confirmed_only: bool = False,
+) -> DataFrame:
+    """Add ``dia`` and ``semana_uso``: reservations the person has on the day and in the week.
+
+    The week is that of ``as_of`` or the Sunday week of the booked day. Both counts come from one
+    count per person and day, so participations meet reservations once. ``since`` leaves out
+    reservations that no request can run into.
+    """
+    reserva = t.reserva if since is None else t.reserva.filter(F.col("fecha") >= F.lit(since))
+    by_day = quota_usage(t, "day", confirmed_only, reserva=reserva)
+    days = by_day.withColumnRenamed("bloques", "_dia")
+    if week == "current":
+        # a conditional sum, not a filter: the count per day below it stays the same and is shared
+        in_week = F.when(_in_current_week(as_of), F.col("bloques"))
+        weeks, keys = by_day.groupBy("ci").agg(F.sum(in_week).alias("_sem")), ["ci"]
+    else:
+        keys = ["ci", "anio", "semana"]
+        weeks = by_day.groupBy("ci", *_sunday_week_key()).agg(F.sum("bloques").alias("_sem"))
+        facts = facts.withColumns({"anio": F.year("fecha"), "semana": sunday_week("fecha")})
+    return (
+        facts.join(days, ["ci", "fecha"], "left")
+        .join(weeks, keys, "left")
+        .withColumns({"dia": F.coalesce("_dia", F.lit(0)), "semana_uso": F.coalesce("_sem", F.lit(0))})
+        .drop("_dia", "_sem")
+    )
 
 
-def _with_current_week_use(t: Model, facts: DataFrame, as_of: dt.datetime, confirmed_only: bool = False) -> DataFrame:
-    monday, sunday = week_bounds(as_of)
-    this_week = t.reserva.filter(F.col("fecha").between(monday, sunday))
-    used = quota_usage(t, "week", confirmed_only, reserva=this_week).select("ci", F.col("cantidad").alias("_sem"))
-    return facts.join(used, "ci", "left").withColumn("semana_uso", F.coalesce("_sem", F.lit(0))).drop("_sem")
+def _sunday_week_key() -> list[Column]:
+    return [F.year("fecha").alias("anio"), sunday_week("fecha").alias("semana")]
 
 
 def _in_current_week(as_of: dt.datetime) -> Column:
@@ -77,17 +98,10 @@ def _in_current_week(as_of: dt.datetime) -> Column:
     return F.col("fecha").between(monday, sunday)
 
 
-def _with_booking_week_use(t: Model, facts: DataFrame, as_of: dt.datetime) -> DataFrame:
-    # the week of a booking may have begun before today, never in an earlier year
+def _week_began(as_of: dt.datetime) -> dt.date:
+    """A day no later than the first of the week of ``as_of``, however weeks are cut."""
     monday, _ = week_bounds(as_of)
-    ahead = t.reserva.filter(F.col("fecha") >= F.lit(monday - dt.timedelta(days=1)))
-    used = quota_usage(t, "week", week_def="sunday", reserva=ahead).withColumnRenamed("cantidad", "_sem")
-    keyed = facts.withColumns({"anio": F.year("fecha"), "semana": sunday_week("fecha")})
-    return (
-        keyed.join(used, ["ci", "anio", "semana"], "left")
-        .withColumn("semana_uso", F.coalesce("_sem", F.lit(0)))
-        .drop("_sem")
-    )
+    return monday - dt.timedelta(days=1)
 
 
 # --- facts about a request -------------------------------------------------------------------
@@ -170,7 +184,7 @@ def admit_bookings_self(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mod
     fecha, id_turno.
     """
     facts = _with_slot_facts(t, _with_person(t, reqs, as_of), as_of)
-    facts = _with_current_week_use(t, _with_day_use(t, facts, as_of), as_of)
+    facts = _with_use(t, facts, as_of, "current", _week_began(as_of))
     facts = facts.withColumn("persona", F.when(F.col("con_tipo"), person_label("long"))).withColumn(
         "cuota", contains_ci("persona", "grado")
     )
@@ -223,7 +237,7 @@ def admit_bookings_admin(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mo
     """
     trimmed = reqs.withColumn("ci", F.trim("ci"))
     facts = _with_slot_facts(t, flag_people(t, _with_person(t, trimmed, as_of)), as_of)
-    facts = _with_booking_week_use(t, _with_day_use(t, facts, as_of), as_of)
+    facts = _with_use(t, facts, as_of, "booking", _week_began(as_of))
     facts = facts.withColumn("persona", F.when(F.col("con_tipo"), person_label("short")))
 
     def rules(_: DataFrame) -> list[Rule]:
@@ -308,11 +322,8 @@ def admit_joins(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mode = "sna
     facts = _with_reservation(t, _with_person(t, reqs, as_of), counts).join(own, ["ci", "id_reserva"], "left")
     known = t.participantes.select("ci", F.lit(True).alias("_existe"))
     facts = facts.join(known, "ci", "left")
-    monday, _ = week_bounds(as_of)
-    active = t.reserva.filter(F.col("estado") == fixed.ACTIVA)
-    used = quota_usage(t, "day", True, reserva=active).withColumnRenamed("bloques", "_dia")
-    facts = facts.join(used, ["ci", "fecha"], "left").withColumn("dia", F.coalesce("_dia", F.lit(0))).drop("_dia")
-    facts = _with_current_week_use(t, facts, as_of, confirmed_only=True)
+    # the reservation joined may be of any day
+    facts = _with_use(t, facts, as_of, "current", None, confirmed_only=True)
     # whoever has no programme is an administrator here: no quotas
     facts = facts.withColumns(
         {
