@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from aulario.sources.schema import DOMAINS, KEYS, LENGTHS, REFERENCES, TABLES
+
 NOW = "TIMESTAMP '2025-02-01 12:00:00'"
 TODAY = "DATE '2025-02-01'"
 MONDAY, SUNDAY = "DATE '2025-01-27'", "DATE '2025-02-02'"
@@ -521,6 +523,8 @@ SELECT f.nombre AS facultad, 0 AS pagina, string_agg(nombre_programa, '|' ORDER
 FROM programas_academicos JOIN facultad f USING (id_facultad) GROUP BY ALL"""
     o["vw04_rooms_by_building"] = """
 SELECT edificio, 0 AS pagina, string_agg(nombre_sala, '|' ORDER BY nombre_sala) AS salas FROM sala GROUP BY ALL"""
+    o["vw04_rooms_json"] = """
+SELECT edificio, 0 AS pagina, CAST(to_json(list(nombre_sala ORDER BY nombre_sala)) AS VARCHAR) AS salas FROM sala GROUP BY ALL"""
     o["vw05_room_list"] = "SELECT * FROM sala"
     o["vw06_my_reservations"] = """
 SELECT p.ci_participante AS ci, b.id_reserva, b.nombre_sala, b.edificio, b.fecha, t.inicio_min, t.fin_min, b.estado,
@@ -781,12 +785,54 @@ GROUP BY ALL HAVING count(*) > 1"""
         o[key] = f"""
 SELECT b.id_reserva, b.capacidad, count(*) AS personas, 'seats' AS regla FROM base b JOIN rp p USING (id_reserva)
 WHERE {condition} GROUP BY b.id_reserva, b.capacidad HAVING count(*) > b.capacidad"""
+    o["dq_all_model_constraints"] = _constraints({t: names.get(t, t) for t in model})
     o["dq8_people"] = f"""
 SELECT * FROM (SELECT ci, email, {_DIGIT} AS ci_valida, {_DOMAIN} AS email_valido, 'people' AS regla FROM q_participant)
 WHERE NOT (ci_valida AND email_valido)"""
     return o
 
 
+def _constraints(view: dict[str, str]) -> str:
+    """One row per declared constraint with its number of violations."""
+
+    def count(rule: str, source: str) -> str:
+        return f"SELECT '{rule}' AS regla, count(*) AS violaciones FROM {source}"
+
+    parts = []
+    for table, keys in KEYS.items():
+        for key in map(", ".join, keys):
+            rule = f"unique:{table}({key.replace(' ', '')})"
+            parts.append(count(rule, f"(SELECT {key} FROM {view[table]} GROUP BY {key} HAVING count(*) > 1)"))
+    for r in REFERENCES:
+        on = " AND ".join(f"p.{b} = c.{a}" for a, b in zip(r.child_cols, r.parent_cols))
+        parts.append(
+            count(
+                f"reference:{r.child}({','.join(r.child_cols)})",
+                f"{view[r.child]} c WHERE NOT EXISTS (FROM {view[r.parent]} p WHERE {on})",
+            )
+        )
+    for table, schema in TABLES.items():
+        missing = " OR ".join(f"{f.name} IS NULL" for f in schema.fields if not f.nullable)
+        parts.append(count(f"not_null:{table}", f"{view[table]} WHERE {missing}"))
+    for (table, col), values in DOMAINS.items():
+        allowed = ", ".join(f"'{v}'" for v in values)
+        parts.append(count(f"domain:{table}({col})", f"{view[table]} WHERE {col} NOT IN ({allowed})"))
+    for (table, col), longest in LENGTHS.items():
+        parts.append(count(f"length:{table}({col})", f"{view[table]} WHERE length({col}) > {longest}"))
+    parts.append(count("check:sala(capacidad)", "sala WHERE capacidad < 1 OR capacidad > 60"))
+    parts.append(count("check:turno(fin_min)", "turno WHERE fin_min <= inicio_min"))
+    parts.append(count("check:sancion_participante(fecha_fin)", "sancion WHERE fecha_fin < fecha_inicio"))
+    slot = "nombre_sala, edificio, fecha, id_turno"
+    twice = f"(SELECT {slot} FROM reserva WHERE estado = 'Activa' GROUP BY {slot} HAVING count(*) > 1)"
+    parts.append(count("rule:one_per_slot", twice))
+    parts.append(count("rule:seats", "base b JOIN confirmados c USING (id_reserva) WHERE c.n > b.capacidad"))
+    student = "EXISTS (FROM ppa m WHERE m.ci_participante = p.ci AND m.rol = 'Estudiante')"
+    other = "(EXISTS (FROM ppa m WHERE m.ci_participante = p.ci AND m.rol = 'Docente') OR NOT EXISTS (FROM ppa m WHERE m.ci_participante = p.ci))"
+    fits = f"(({student} AND email LIKE '%@correo.ucu.edu.uy') OR ({other} AND email LIKE '%@ucu.edu.uy'))"
+    parts.append(count("rule:people", f"participantes p WHERE NOT ({_DIGIT} AND {fits})"))
+    return " UNION ALL ".join(parts)
+
+
 def _flatten(sql: str) -> str:
     """Prepend the views; a statement with CTEs of its own keeps them after the views."""
     body = sql.strip()

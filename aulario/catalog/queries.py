@@ -130,6 +130,7 @@ on_model(
     "vw04_rooms_by_building",
     lambda t: listings.rooms_by_building(t).withColumn("salas", F.array_join("salas", "|")),
 )
+on_model("vw04_rooms_json", listings.rooms_json)
 on_model("vw05_room_list", listings.room_list)
 on_model(
     "vw06_my_reservations",

@@ -76,6 +76,11 @@ def rooms_by_building(t: Model) -> DataFrame:
     return paged_lists(t.sala, ["edificio"], "nombre_sala", "salas")
 
 
+def rooms_json(t: Model) -> DataFrame:
+    """:func:`rooms_by_building` with each page of names as a JSON list."""
+    return rooms_by_building(t).withColumn("salas", F.to_json("salas"))
+
+
 def room_list(t: Model) -> DataFrame:
     return t.sala.select("nombre_sala", "edificio", "capacidad", "tipo_sala").orderBy("edificio", "nombre_sala")
 

@@ -101,8 +101,24 @@ def check_people(people: DataFrame, memberships: DataFrame | None = None) -> Dat
     return _rule(flagged.filter(~(F.col("ci_valida") & F.col("email_valido"))), "people")
 
 
-def model_checks(t: Model) -> Mapping[str, DataFrame]:
-    """Every declared constraint of the model as name -> violating rows."""
+def row_rules() -> dict[str, dict[str, Column]]:
+    """Per table, the constraints a row meets or breaks on its own: rule -> condition that must hold."""
+    out: dict[str, dict[str, Column]] = {table: {} for table in TABLES}
+    for table, schema in TABLES.items():
+        required = [F.col(f.name).isNotNull() for f in schema.fields if not f.nullable]
+        out[table][f"not_null:{table}"] = reduce(lambda a, b: a & b, required)
+    for (table, col), values in DOMAINS.items():
+        out[table][f"domain:{table}({col})"] = F.col(col).isin(*values)
+    for (table, col), longest in LENGTHS.items():
+        out[table][f"length:{table}({col})"] = F.length(col) <= longest
+    out["sala"]["check:sala(capacidad)"] = F.col("capacidad").between(fixed.MIN_CAPACIDAD, fixed.MAX_CAPACIDAD)
+    out["turno"]["check:turno(fin_min)"] = F.col("fin_min") > F.col("inicio_min")
+    out["sancion_participante"]["check:sancion_participante(fecha_fin)"] = F.col("fecha_fin") >= F.col("fecha_inicio")
+    return out
+
+
+def _keyed_checks(t: Model) -> dict[str, DataFrame]:
+    """Constraints that compare rows: keys, references, slots, seats, people."""
     out: dict[str, DataFrame] = {}
     for table, keys in KEYS.items():
         for key in keys:
@@ -110,26 +126,34 @@ def model_checks(t: Model) -> Mapping[str, DataFrame]:
     for r in REFERENCES:
         name = f"reference:{r.child}({','.join(r.child_cols)})"
         out[name] = check_reference(getattr(t, r.child), r.child_cols, getattr(t, r.parent), r.parent_cols)
-    for table, schema in TABLES.items():
-        required = [f.name for f in schema.fields if not f.nullable]
-        out[f"not_null:{table}"] = check_not_null(getattr(t, table), required)
-    for (table, col), values in DOMAINS.items():
-        out[f"domain:{table}({col})"] = check_domain(getattr(t, table), col, values)
-    for (table, col), longest in LENGTHS.items():
-        out[f"length:{table}({col})"] = check_length(getattr(t, table), col, longest)
-    out["check:sala(capacidad)"] = check_capacity_range(t.sala)
-    out["check:turno(fin_min)"] = check_turno_order(t.turno)
-    out["check:sancion_participante(fecha_fin)"] = check_sanction_order(t.sancion_participante)
     out["rule:one_per_slot"] = check_slots(t.reserva.filter(F.col("estado") == fixed.ACTIVA))
     out["rule:seats"] = check_seats(t)
     out["rule:people"] = check_people(t.participantes, t.participantes_programa_academico)
     return out
 
 
+def model_checks(t: Model) -> Mapping[str, DataFrame]:
+    """Every declared constraint of the model as name -> violating rows."""
+    out = _keyed_checks(t)
+    for table, rules in row_rules().items():
+        for name, condition in rules.items():
+            out[name] = check_holds(getattr(t, table), condition, name)
+    return out
+
+
 def violation_counts(t: Model) -> DataFrame:
-    """Violations per constraint: ``regla``, ``violaciones``."""
+    """Violations per constraint: ``regla``, ``violaciones``.
+
+    All row-level constraints of a table are counted in one pass over it.
+    """
     parts = [
         df.agg(F.count("*").alias("violaciones")).select(F.lit(name).alias("regla"), "violaciones")
-        for name, df in model_checks(t).items()
+        for name, df in _keyed_checks(t).items()
     ]
+    for table, rules in row_rules().items():
+        broken = [
+            F.struct(F.lit(name).alias("regla"), F.count_if(~condition).alias("violaciones"))
+            for name, condition in rules.items()
+        ]
+        parts.append(getattr(t, table).agg(F.array(*broken).alias("r")).select(F.inline("r")))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -138,6 +138,16 @@ def test_no_pairwise_joins_and_no_python_in_plans(spark, name):
         assert node not in plan
 
 
+def test_popular_groups_are_cut_before_the_shuffle(spark, tmp_path):
+    """Only the first few claims of a group leave a map task."""
+    from aulario.plans.first_come import Resource, _claimants
+
+    claims = spark.range(1000).selectExpr("id % 3 as k", "id as o", "2L as free", "false as _granted")
+    plan = _claimants(claims, Resource("x", "k", "free", 2), "o")._jdf.queryExecution().executedPlan().toString()
+    partial = plan.index("WindowGroupLimit", plan.index("Exchange hashpartitioning"))
+    assert "Partial" in plan[partial : partial + 200]
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     from aulario.operators import reports
     from aulario.sources.projection import project_testdata
