@@ -101,6 +101,7 @@ def roster_pages(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
     """Confirmed people of each active reservation, sorted by name, in pages of about ``page_size``.
 
     Up to ``page_size`` people are one page; a fuller reservation is spread over several.
+    ``confirmados`` counts the page's participations.
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA).select("id_reserva")
     confirmed = (
@@ -108,11 +109,11 @@ def roster_pages(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
         .select(F.col("ci_participante").alias("ci"), "id_reserva")
         .join(active, "id_reserva")
     )
-    named = confirmed.join(t.participantes.select("ci", "nombre", "apellido"), "ci").select(
-        "id_reserva",
-        F.struct(F.concat_ws(" ", "nombre", "apellido").alias("nombre_completo"), "ci").alias("persona"),
+    full_name = F.concat_ws(" ", "nombre", "apellido").alias("nombre_completo")
+    named = confirmed.join(t.participantes.select("ci", "nombre", "apellido"), "ci", "left").select(
+        "id_reserva", F.when(F.col("nombre").isNotNull(), F.struct(full_name, "ci")).alias("persona")
     )
-    return paged_lists(named, ["id_reserva"], "persona", "personas", page_size)
+    return paged_lists(named, ["id_reserva"], "persona", "personas", page_size, rows_as="confirmados")
 
 
 def my_reservations(t: Model) -> DataFrame:
@@ -125,15 +126,15 @@ def my_reservations(t: Model) -> DataFrame:
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA)
     rosters = roster_pages(t).groupBy("id_reserva").agg(
-        F.count("*").cast("int").alias("paginas"), F.any_value("personas").alias("personas")
+        F.count("*").cast("int").alias("paginas"),
+        F.any_value("personas").alias("personas"),
+        F.sum("confirmados").alias("confirmados"),
     )
     one_page = rosters.withColumn("personas", F.when(F.col("paginas") == 1, F.col("personas")))
     mine = t.reserva_participante.filter(F.col("confirmado") == F.lit(True)).select(
         F.col("ci_participante").alias("ci"), "id_reserva"
     )
-    per_reservation = _with_room_and_turno(t, active).join(confirmed_counts(t), "id_reserva").join(
-        one_page, "id_reserva", "left"
-    )
+    per_reservation = _with_room_and_turno(t, active).join(one_page, "id_reserva")
     own = F.col("ci")
     others = F.transform(
         F.filter(F.col("personas"), lambda p: p.getField("ci") != own), lambda p: p.getField("nombre_completo")
@@ -152,7 +153,7 @@ def my_reservations(t: Model) -> DataFrame:
             "capacidad",
             "confirmados",
             "paginas",
-            F.when(F.col("paginas").isNull(), F.array().cast("array<string>")).otherwise(others).alias("otros"),
+            others.alias("otros"),
         )
         .orderBy("ci", F.desc("fecha"), "id_reserva")
     )

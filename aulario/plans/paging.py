@@ -12,17 +12,23 @@ from aulario.functions.numbers import int_div
 PAGE = 1000
 
 
-def paged_lists(df: DataFrame, keys: Sequence[str], item: str, out: str, page_size: int = PAGE) -> DataFrame:
+def paged_lists(
+    df: DataFrame, keys: Sequence[str], item: str, out: str, page_size: int = PAGE, rows_as: str | None = None
+) -> DataFrame:
     """Sorted lists of ``item`` per ``keys``, cut into pages of about ``page_size`` items.
 
     A key with up to ``page_size`` items has the single page 0. Bigger keys are spread over
     ``ceil(n / page_size)`` pages by a hash of the item, so no task gathers a whole hot key.
+    NULL items are left out of the lists; ``rows_as`` names a count of all rows of the page.
     """
+    aggs = [F.sort_array(F.collect_list(item)).alias(out)]
+    if rows_as:
+        aggs.append(F.count("*").alias(rows_as))
     sizes = df.groupBy(*keys).agg(F.count(item).alias("_n"))
     pages = F.greatest(int_div(F.col("_n") + (page_size - 1), F.lit(page_size)), F.lit(1))
     return (
         df.join(sizes, list(keys))
         .withColumn("pagina", F.pmod(F.xxhash64(item), pages).cast("int"))
         .groupBy(*keys, "pagina")
-        .agg(F.sort_array(F.collect_list(item)).alias(out))
+        .agg(*aggs)
     )
