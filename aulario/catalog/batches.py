@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.functions.dates import at_minute, plus_minutes
+from aulario.functions.dates import at_minute
 from aulario.functions.numbers import int_div
 from aulario.session import AS_OF
 from aulario.sources.model import Model
@@ -171,5 +171,5 @@ class Batches:
         return (
             self.attendance()
             .join(ends, "id_reserva")
-            .select("ci", "id_reserva", "asistencia", (plus_minutes(F.col("_fin"), 0) + F.make_dt_interval(mins=delay)).alias("marked_at"))
+            .select("ci", "id_reserva", "asistencia", (F.col("_fin") + F.make_dt_interval(mins=delay)).alias("marked_at"))
         )
