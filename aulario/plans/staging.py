@@ -6,22 +6,17 @@ size on disk is known, so the optimizer can tell which joins may be broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions."""
+    """The folder named by ``spark.checkpoint.dir``; there is no default, as executors must share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    local = tempfile.mkdtemp(prefix="aulario-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 #: Instant at which the registered queries are evaluated (start of slot 5 of that day).
@@ -29,9 +31,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks; its scratch folder is temporary unless one is configured."""
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="aulario-"))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("aulario")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
