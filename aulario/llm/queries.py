@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aulario.llm import divergence_rules
+from aulario.llm import bin_completion, divergence_rules, token_counts
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bin_completion.pack(bin_completion.pieces(table(spark, sf_dir, "documents"), path))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
+
+
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_divergence_rules,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_bin_completion, op9_token_counts, op10_divergence_rules)}
 
 ORACLES: dict[str, str] = {}
