@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aulario.llm import bin_completion, divergence_rules, token_counts
+from aulario.llm import bin_completion, divergence_rules, jaccard_join, token_counts
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bin_completion.pack(bin_completion.pieces(table(spark, sf_dir, "documents"), path))
@@ -27,6 +31,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_bin_completion, op9_token_counts, op10_divergence_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_jaccard_join, op7_bin_completion, op9_token_counts, op10_divergence_rules)}
 
 ORACLES: dict[str, str] = {}
