@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aulario.llm import bin_completion, divergence_rules, jaccard_join, token_counts
+from aulario.llm import bin_completion, divergence_rules, fm_index, jaccard_join, run_length_index, token_counts
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.remove_seen(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(bin_completion.pieces(table(spark, sf_dir, "documents"), path))
 
 
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
@@ -31,6 +39,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_jaccard_join, op7_bin_completion, op9_token_counts, op10_divergence_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_run_length_index, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
 
 ORACLES: dict[str, str] = {}
