@@ -69,7 +69,7 @@ def repeated_marks(symbols: np.ndarray, begin: np.ndarray, docs: np.ndarray, sev
     sizes = np.diff(begin)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     inside = np.flatnonzero(np.arange(len(held)) <= (begin[1:] + np.arange(len(sizes)) - width)[owner])
-    times = np.bincount(equal[inside], 1 + several[owner[inside]], int(equal.max()) + 1)
+    times = np.bincount(equal[inside], 1 + several[owner[inside]].astype(np.int64), int(equal.max()) + 1)
     return walk(index.step, held, begin, width, lambda rows, own: times[equal[order[rows]]] > 1)
 
 
@@ -87,7 +87,7 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s)
 
 
-PLAN = repeats.Plan(WIDTH, ANCHOR, _words, _grams, repeated_marks, False)
+PLAN = repeats.Plan(WIDTH, ANCHOR, _words, _grams, repeated_marks, False, np.uint64)
 
 
 def _kept(docs: pa.Table, runs: dict[int, np.ndarray]) -> pa.Table:

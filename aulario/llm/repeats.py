@@ -21,11 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulario.llm.text import flat, mix, shards, sliced
 
+#: Buckets of documents and index shards per shuffle partition: both are held in memory one at a time.
+BUCKETS, INDEX_SHARDS = 4, 16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -33,8 +36,8 @@ NEVER = np.iinfo(np.int64).max
 class Plan:
     """What a repeat is. ``symbols`` gives symbols and text offsets (in symbols) of a slice of texts;
     ``grams`` the hash of every run of ``k`` of them. ``mark`` gets an index shard's stretches, their
-    starts, the first document and whether several hold it, and returns the windows to mark.
-    ``distinct``: only other documents count."""
+    starts, the first document of each and whether several hold it, and returns the windows to mark.
+    ``distinct``: only other documents count. ``kind``: how symbols are stored."""
 
     width: int
     k: int
@@ -42,6 +45,11 @@ class Plan:
     grams: Callable[[np.ndarray, int], np.ndarray]
     mark: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
     distinct: bool
+    kind: type
+
+    @property
+    def itemsize(self) -> int:
+        return np.dtype(self.kind).itemsize
 
 
 def segments(plan: Plan, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -75,7 +83,7 @@ def _split(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """Arrays cut by the value of ``ids``."""
     order = np.argsort(ids, kind="stable")
     values, first = np.unique(ids[order], return_index=True)
-    ends = np.append(first[1:], len(ids))
+    ends = np.append(first[1:], len(ids))[: len(first)]
     columns = [c[order] for c in columns]
     for v, a, b in zip(values, first, ends, strict=True):
         yield int(v), *(c[a:b] for c in columns)
@@ -111,7 +119,7 @@ def _anchors(plan: Plan, n_shards: int):
     return run
 
 
-def _repeated(plan: Plan, n_shards: int):
+def _repeated(plan: Plan, n_shards: int, n_buckets: int):
     def run(shard: tuple, table: pa.Table) -> pa.Table:
         rids = [np.frombuffer(r, np.int64)[np.frombuffer(d, np.uint32)] for r, d in zip(table["rids"].to_pylist(), table["docs"].to_pylist(), strict=True)]
         key, rid = _joined(table["keys"], np.uint32), np.concatenate([np.empty(0, np.int64), *rids])
@@ -128,7 +136,7 @@ def _repeated(plan: Plan, n_shards: int):
             twice[:-1] |= same
         key, rid = key[twice], rid[twice]
         named = _named(np.full(len(key), shard[0].as_py(), np.int64), key)
-        rows = list(_split((rid % n_shards).astype(np.int32), rid, named))
+        rows = list(_split((rid % n_buckets).astype(np.int32), rid, named))
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -140,93 +148,115 @@ def _repeated(plan: Plan, n_shards: int):
     return run
 
 
-_STRETCHES = "shard int, bucket int, symbols binary, lengths binary, docs binary, rids binary, starts binary, several binary, marks binary"
+_STRETCHES = "shard int, bucket int, symbols binary, lengths binary, anchors binary, docs binary, rids binary, starts binary, several binary, marks binary"
 
 
-def _stretches(plan: Plan, n_shards: int):
+def _stretches(plan: Plan, n_shards: int, n_index: int):
     names = [f.split()[0] for f in _STRETCHES.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
 
     def run(docs: pa.Table, reported: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        wanted = np.unique(mix(_joined(reported["rids"], np.int64).view(np.uint64)) ^ _joined(reported["named"], np.uint64))
-        have = set(np.unique(_joined(reported["rids"], np.int64)).tolist())
-        docs = docs.filter(pa.array([r in have for r in docs["rid"].to_pylist()], pa.bool_()))
-        seen: dict[bytes, list] = {}  # stretch: shard, first document, rid, start, several, other places
-        for batch in docs.combine_chunks().to_batches():
-            ids = batch.column("doc_id").to_pylist()
-            rids = batch.column("rid").to_numpy(zero_copy_only=False).astype(np.int64)
-            done = 0
+        told = _joined(reported["rids"], np.int64)
+        wanted = np.unique(mix(told.view(np.uint64)) ^ _joined(reported["named"], np.uint64))
+        docs = docs.filter(pc.is_in(docs["rid"], pa.array(np.unique(told))))
+        # first place of each stretch: anchor, document, rid, start, several; others are marked on the way
+        seen: dict[bytes, list] = {}
+        marks: list[tuple[int, int, int]] = []
+        ties: list[tuple[bytes, list]] = []
+        for batch in docs.select(["doc_id", "text", "rid"]).combine_chunks().to_batches():
             for part in sliced(batch, 1):
                 symbols, offsets = plan.symbols(part)
                 begin, end, doc, h = segments(plan, symbols, offsets)
-                own = rids[done + doc] if len(doc) else np.empty(0, np.int64)
-                shard = (h % np.uint64(n_shards)).astype(np.int64)
-                told = mix(own.view(np.uint64)) ^ _named(shard, (h >> np.uint64(32)).astype(np.uint32))
-                hit = np.flatnonzero(np.isin(told, wanted))
-                local = begin[hit] - offsets[doc[hit]]
-                for i, s, e, rid, d, at in zip(shard[hit].tolist(), begin[hit].tolist(), end[hit].tolist(), own[hit].tolist(), doc[hit].tolist(), local.tolist(), strict=True):
-                    text = symbols[s : e + plan.width].tobytes()
-                    number = NEVER if ids[done + d] is None else ids[done + d]
-                    known = seen.get(text)
-                    if known is None:
-                        seen[text] = [i, number, rid, at, [(number, rid, at)]]
+                rids = part.column(2).to_numpy(zero_copy_only=False)
+                numbers = pc.fill_null(part.column(0), NEVER).to_numpy(zero_copy_only=False)
+                named = _named((h % np.uint64(n_shards)).astype(np.int64), h >> np.uint64(32))
+                hit = np.flatnonzero(np.isin(mix(rids[doc].view(np.uint64)) ^ named, wanted))
+                own = doc[hit]
+                places = (begin[hit], end[hit] + plan.width, h[hit], numbers[own], rids[own], begin[hit] - offsets[own])
+                for s, e, anchor, number, rid, at in zip(*(x.tolist() for x in places), strict=True):
+                    text = symbols[s:e].tobytes()
+                    new, n = [anchor, number, rid, at, 0], e - s
+                    known = seen.setdefault(text, new)
+                    if known is new:
+                        continue
+                    if not plan.distinct:
+                        marks.append((rid, at, at + n))
+                        if not known[4]:
+                            marks.append((known[2], known[3], known[3] + n))
+                            known[4] = 1
+                    elif number == known[1]:
+                        ties.append((text, new))
                     else:
-                        known[4].append((number, rid, at))
-                        if number < known[1]:
-                            known[1:4] = number, rid, at
-                done += part.num_rows
-        # a stretch goes out once, under its first document; its other places are marked here and now
-        marks = []
-        out: dict[int, list] = {}
-        for text, (i, number, rid, at, places) in seen.items():
-            n = len(text) // plan_itemsize(plan)
-            if plan.distinct:
-                marks += [(r, a, a + n) for d, r, a in places if d > number]
-                for r, a in {(r, a) for d, r, a in places if d == number}:
-                    out.setdefault(i, []).append((text, n, number, r, a, 0))
-            elif len(places) > 1:
-                marks += [(r, a, a + n) for _, r, a in places]
-                out.setdefault(i, []).append((text, n, number, rid, at, 1))
-            else:
-                out.setdefault(i, []).append((text, n, number, rid, at, 0))
+                        later = new if number > known[1] else known
+                        marks.append((later[2], later[3], later[3] + n))
+                        if later is known:
+                            seen[text] = new
         bucket = int(docs["bucket"][0].as_py()) if docs.num_rows else 0
-        for i, parts in out.items():
-            text, n, number, rid, at, several = zip(*parts, strict=True)
-            packed = [np.array(x, np.int64).tobytes() for x in (n, number, rid, at, several)]
-            rows.append((i, bucket, b"".join(text), *packed, None))
+        held = [*seen.items(), *ties]
+        rows = []
+        if held:
+            values = np.array([(*v[1:], len(t) // plan.itemsize) for t, v in held], np.int64)
+            anchors = np.array([v[0] for _, v in held], np.uint64)
+            number = np.arange(len(held))
+            for i, at, anchor, v in _split((anchors % np.uint64(n_index)).astype(np.int32), number, anchors, values):
+                text = b"".join(held[j][0] for j in at.tolist())
+                packed = [np.ascontiguousarray(v[:, c]).tobytes() for c in (4, 0, 1, 2, 3)]
+                rows.append((i, bucket, text, packed[0], anchor.tobytes(), *packed[1:], None))
         if marks:
-            rows.append((bucket % n_shards, bucket, *[None] * 6, np.array(marks, np.int64).tobytes()))
+            rows.append((bucket % n_index, bucket, *[None] * 7, np.array(marks, np.int64).tobytes()))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
     return run
 
 
-def plan_itemsize(plan: Plan) -> int:
-    return 1 if plan.k > 10 else 8
+def _found(plan: Plan, held: pa.Table) -> list[np.ndarray]:
+    """Spans (rid, start, end) of the stretches of a shard."""
+    lengths, docs, rids, starts, several = (_joined(held[c], np.int64) for c in ("lengths", "docs", "rids", "starts", "several"))
+    anchors = _joined(held["anchors"], np.uint64)
+    text = b"".join(held["symbols"].to_pylist())
+    ends = np.cumsum(lengths) * plan.itemsize
+    ids: dict[bytes, int] = {}
+    which = np.array([ids.setdefault(text[e - n : e], len(ids)) for n, e in zip((lengths * plan.itemsize).tolist(), ends.tolist(), strict=True)], np.int64)
+    # each different stretch once: its first document, how often it is held, its anchor
+    first = np.full(len(ids), NEVER)
+    np.minimum.at(first, which, docs)
+    times = np.bincount(which, 1 + several, len(ids)).astype(np.int64)
+    anchor = np.zeros(len(ids), np.uint64)
+    anchor[which] = anchors
+    whole = docs > first[which] if plan.distinct else times[which] > 1
+    spans = [np.column_stack([rids, starts, starts + lengths])[whole]]
+    # others may share windows with another stretch of the same anchor: those go through the index
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    index = np.flatnonzero(size[group] > 1)
+    if len(index):
+        order = list(ids)
+        symbols = np.frombuffer(b"".join(order[i] for i in index.tolist()), plan.kind)
+        begin = np.concatenate([[0], np.cumsum([len(order[i]) // plan.itemsize for i in index.tolist()])])
+        hit = plan.mark(symbols, begin, first[index], times[index] > 1, plan.width)
+        own = np.searchsorted(begin, hit, "right") - 1
+        head = np.ones(len(hit), bool)
+        head[1:] = (hit[1:] != hit[:-1] + 1) | (own[1:] != own[:-1])
+        a = np.flatnonzero(head)
+        b = np.append(a[1:], len(hit)) - 1 if len(hit) else a
+        run = np.column_stack([index[own[a]], hit[a] - begin[own[a]], hit[b] - begin[own[a]] + plan.width])
+        # every place of such a stretch that is not marked as a whole gets its runs
+        rest = np.flatnonzero(~whole)
+        low, high = np.searchsorted(run[:, 0], which[rest]), np.searchsorted(run[:, 0], which[rest], "right")
+        count = high - low
+        place = np.repeat(rest, count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        spans.append(np.column_stack([rids[place], starts[place] + run[at, 1], starts[place] + run[at, 2]]))
+    return spans
 
 
 def _marks(plan: Plan, n_shards: int):
-    kind = np.uint8 if plan_itemsize(plan) == 1 else np.uint64
-
     def run(table: pa.Table) -> pa.Table:
+        direct = pc.is_valid(table["marks"])
         found = [np.frombuffer(m, np.int64).reshape(-1, 3) for m in table["marks"].to_pylist() if m]
-        held = table.filter(pa.array([m is None for m in table["marks"].to_pylist()], pa.bool_()))
-        lengths, docs, rids, starts, several = (_joined(held[c], np.int64) for c in ("lengths", "docs", "rids", "starts", "several"))
-        if len(lengths):
-            symbols = _joined(held["symbols"], kind)
-            begin = np.concatenate([[0], np.cumsum(lengths)])
-            hit = plan.mark(symbols, begin, docs, several, plan.width)
-            # runs of marked windows within one stretch become spans
-            own = np.searchsorted(begin, hit, "right") - 1
-            head = np.ones(len(hit), bool)
-            head[1:] = (hit[1:] != hit[:-1] + 1) | (own[1:] != own[:-1])
-            first = np.flatnonzero(head)
-            last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
-            which = own[first]
-            shift = starts[which] - begin[which]
-            found.append(np.column_stack([rids[which], hit[first] + shift, hit[last] + shift + plan.width]))
+        held = table.filter(pc.invert(direct))
+        if held.num_rows:
+            found += _found(plan, held)
         spans = np.concatenate([np.empty((0, 3), np.int64), *found])
         rows = list(_split((spans[:, 0] % n_shards).astype(np.int32), spans))
         return pa.table(
@@ -252,19 +282,20 @@ def cut(docs: DataFrame, plan: Plan, keep: Callable[[pa.Table, dict[int, np.ndar
 
     ``keep`` gets rows (``doc_id, text, rid``) and, for each rid that has any, its marked runs.
     """
-    n = shards(docs.sparkSession)
+    n, n_index = BUCKETS * shards(docs.sparkSession), INDEX_SHARDS * shards(docs.sparkSession)
+    dealt = shards(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     rows = rows.withColumn("bucket", F.pmod("rid", F.lit(n)).cast("int"))
-    anchors = rows.select("doc_id", "text", "rid").mapInArrow(_anchors(plan, n), "shard int, keys binary, docs binary, rids binary")
-    reported = anchors.groupBy("shard").applyInArrow(_repeated(plan, n), "bucket int, rids binary, named binary")
-    stretches = rows.groupBy("bucket").cogroup(reported.groupBy("bucket")).applyInArrow(_stretches(plan, n), _STRETCHES)
+    anchors = rows.select("doc_id", "text", "rid").mapInArrow(_anchors(plan, dealt), "shard int, keys binary, docs binary, rids binary")
+    reported = anchors.groupBy("shard").applyInArrow(_repeated(plan, dealt, n), "bucket int, rids binary, named binary")
+    stretches = rows.groupBy("bucket").cogroup(reported.groupBy("bucket")).applyInArrow(_stretches(plan, dealt, n_index), _STRETCHES)
     marks = stretches.groupBy("shard").applyInArrow(_marks(plan, n), "bucket int, spans binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         spans = _joined(right["spans"], np.int64).reshape(-1, 3)
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         rids, first = np.unique(spans[:, 0], return_index=True)
-        ends = np.append(first[1:], len(spans))
+        ends = np.append(first[1:], len(spans))[: len(first)]
         runs = {int(r): merged(spans[a:b, 1:]) for r, a, b in zip(rids, first, ends, strict=True)}
         return keep(left, runs)
 

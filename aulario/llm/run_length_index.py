@@ -110,7 +110,7 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-PLAN = repeats.Plan(WIDTH, ANCHOR, repeats.flat_bytes, _grams, first_holder_marks, True)
+PLAN = repeats.Plan(WIDTH, ANCHOR, repeats.flat_bytes, _grams, first_holder_marks, True, np.uint8)
 
 
 def _kept(keep_text: bool):
