@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aulario.llm import bin_completion, divergence_rules, fm_index, jaccard_join, run_length_index, token_counts
+from aulario.llm import bin_completion, divergence_rules, fm_index, jaccard_join, run_length_index, simhash_windows, token_counts
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_windows.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.remove_seen(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_run_length_index, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_windows, op2_run_length_index, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
 
 ORACLES: dict[str, str] = {}
