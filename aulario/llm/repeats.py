@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from aulario.llm.text import flat, mix, shards, sliced
 
-#: Buckets of documents and index shards per shuffle partition: both are held in memory one at a time.
-BUCKETS, INDEX_SHARDS = 4, 16
+#: Buckets of documents per shuffle partition, and parts in which a shard's anchors are indexed: one is
+#: held in memory at a time.
+BUCKETS, PARTS = 4, 16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -93,8 +94,10 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
 
 
-def _named(shard: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return (shard.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
+def _told(rid: np.ndarray, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Short name of an anchor in a row; two anchors with one name only mean a stretch more to look at."""
+    named = (shard.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
+    return (mix(mix(rid.view(np.uint64)) ^ named) >> np.uint64(24))
 
 
 def _anchors(plan: Plan, n_shards: int):
@@ -135,12 +138,12 @@ def _repeated(plan: Plan, n_shards: int, n_buckets: int):
             twice[1:] |= same
             twice[:-1] |= same
         key, rid = key[twice], rid[twice]
-        named = _named(np.full(len(key), shard[0].as_py(), np.int64), key)
+        named = _told(rid, np.full(len(key), shard[0].as_py(), np.int64), key)
         rows = list(_split((rid % n_buckets).astype(np.int32), rid, named))
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                "rids": pa.array([r[1].tobytes() for r in rows], pa.binary()),
+                "rids": pa.array([np.unique(r[1]).tobytes() for r in rows], pa.binary()),
                 "named": pa.array([r[2].tobytes() for r in rows], pa.binary()),
             }
         )
@@ -151,13 +154,17 @@ def _repeated(plan: Plan, n_shards: int, n_buckets: int):
 _STRETCHES = "shard int, bucket int, symbols binary, lengths binary, anchors binary, docs binary, rids binary, starts binary, several binary, marks binary"
 
 
-def _stretches(plan: Plan, n_shards: int, n_index: int):
+#: Column of a stretch's values and its stored kind: length, first document, row, start, several.
+_PACKED = ((4, np.uint16), (0, np.int64), (1, np.int64), (2, np.uint32), (3, np.uint8))
+
+
+def _stretches(plan: Plan, n_shards: int):
     names = [f.split()[0] for f in _STRETCHES.split(", ")]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
 
     def run(docs: pa.Table, reported: pa.Table) -> pa.Table:
         told = _joined(reported["rids"], np.int64)
-        wanted = np.unique(mix(told.view(np.uint64)) ^ _joined(reported["named"], np.uint64))
+        wanted = np.unique(_joined(reported["named"], np.uint64))
         docs = docs.filter(pc.is_in(docs["rid"], pa.array(np.unique(told))))
         # first place of each stretch: anchor, document, rid, start, several; others are marked on the way
         seen: dict[bytes, list] = {}
@@ -169,8 +176,8 @@ def _stretches(plan: Plan, n_shards: int, n_index: int):
                 begin, end, doc, h = segments(plan, symbols, offsets)
                 rids = part.column(2).to_numpy(zero_copy_only=False)
                 numbers = pc.fill_null(part.column(0), NEVER).to_numpy(zero_copy_only=False)
-                named = _named((h % np.uint64(n_shards)).astype(np.int64), h >> np.uint64(32))
-                hit = np.flatnonzero(np.isin(mix(rids[doc].view(np.uint64)) ^ named, wanted))
+                named = _told(rids[doc], (h % np.uint64(n_shards)).astype(np.int64), h >> np.uint64(32))
+                hit = np.flatnonzero(np.isin(named, wanted))
                 own = doc[hit]
                 places = (begin[hit], end[hit] + plan.width, h[hit], numbers[own], rids[own], begin[hit] - offsets[own])
                 for s, e, anchor, number, rid, at in zip(*(x.tolist() for x in places), strict=True):
@@ -197,25 +204,38 @@ def _stretches(plan: Plan, n_shards: int, n_index: int):
         if held:
             values = np.array([(*v[1:], len(t) // plan.itemsize) for t, v in held], np.int64)
             anchors = np.array([v[0] for _, v in held], np.uint64)
-            number = np.arange(len(held))
-            for i, at, anchor, v in _split((anchors % np.uint64(n_index)).astype(np.int32), number, anchors, values):
+            for i, at, anchor, v in _split((anchors % np.uint64(n_shards)).astype(np.int32), np.arange(len(held)), anchors, values):
                 text = b"".join(held[j][0] for j in at.tolist())
-                packed = [np.ascontiguousarray(v[:, c]).tobytes() for c in (4, 0, 1, 2, 3)]
+                if plan.itemsize == 1:
+                    text = pa.Codec("zstd").compress(text, asbytes=True)
+                packed = [np.ascontiguousarray(v[:, c]).astype(kind).tobytes() for c, kind in _PACKED]
                 rows.append((i, bucket, text, packed[0], anchor.tobytes(), *packed[1:], None))
         if marks:
-            rows.append((bucket % n_index, bucket, *[None] * 7, np.array(marks, np.int64).tobytes()))
+            rows.append((bucket % n_shards, bucket, *[None] * 7, np.array(marks, np.int64).tobytes()))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
     return run
 
 
-def _found(plan: Plan, held: pa.Table) -> list[np.ndarray]:
-    """Spans (rid, start, end) of the stretches of a shard."""
-    lengths, docs, rids, starts, several = (_joined(held[c], np.int64) for c in ("lengths", "docs", "rids", "starts", "several"))
+def _found(plan: Plan, held: pa.Table) -> Iterator[np.ndarray]:
+    """Spans (rid, start, end) of the stretches of a shard, a part of its anchors at a time."""
+    lengths, docs, rids, starts, several = (
+        _joined(held[c], kind).astype(np.int64)
+        for c, (_, kind) in zip(("lengths", "docs", "rids", "starts", "several"), _PACKED, strict=True)
+    )
     anchors = _joined(held["anchors"], np.uint64)
-    text = b"".join(held["symbols"].to_pylist())
+    texts = held["symbols"].to_pylist()
+    if plan.itemsize == 1:
+        sizes = [int(np.frombuffer(n, np.uint16).sum(dtype=np.int64)) for n in held["lengths"].to_pylist()]
+        texts = [pa.Codec("zstd").decompress(t, n, asbytes=True) for t, n in zip(texts, sizes, strict=True)]
+    text = b"".join(texts)
     ends = np.cumsum(lengths) * plan.itemsize
+    for _, at in _split(((anchors >> np.uint64(40)) % np.uint64(PARTS)).astype(np.int32), np.arange(len(anchors))):
+        yield from _found_part(plan, text, ends[at], *(x[at] for x in (lengths, anchors, docs, rids, starts, several)))
+
+
+def _found_part(plan: Plan, text: bytes, ends: np.ndarray, lengths, anchors, docs, rids, starts, several) -> list[np.ndarray]:
     ids: dict[bytes, int] = {}
     which = np.array([ids.setdefault(text[e - n : e], len(ids)) for n, e in zip((lengths * plan.itemsize).tolist(), ends.tolist(), strict=True)], np.int64)
     # each different stretch once: its first document, how often it is held, its anchor
@@ -282,13 +302,13 @@ def cut(docs: DataFrame, plan: Plan, keep: Callable[[pa.Table, dict[int, np.ndar
 
     ``keep`` gets rows (``doc_id, text, rid``) and, for each rid that has any, its marked runs.
     """
-    n, n_index = BUCKETS * shards(docs.sparkSession), INDEX_SHARDS * shards(docs.sparkSession)
     dealt = shards(docs.sparkSession)
+    n = BUCKETS * dealt
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     rows = rows.withColumn("bucket", F.pmod("rid", F.lit(n)).cast("int"))
     anchors = rows.select("doc_id", "text", "rid").mapInArrow(_anchors(plan, dealt), "shard int, keys binary, docs binary, rids binary")
     reported = anchors.groupBy("shard").applyInArrow(_repeated(plan, dealt, n), "bucket int, rids binary, named binary")
-    stretches = rows.groupBy("bucket").cogroup(reported.groupBy("bucket")).applyInArrow(_stretches(plan, dealt, n_index), _STRETCHES)
+    stretches = rows.groupBy("bucket").cogroup(reported.groupBy("bucket")).applyInArrow(_stretches(plan, dealt), _STRETCHES)
     marks = stretches.groupBy("shard").applyInArrow(_marks(plan, n), "bucket int, spans binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ from aulario.llm import repeats
 from aulario.llm.text import mix
 
 WIDTH = 50
-ANCHOR = 20
+ANCHOR = 16
 
 
 @dataclass(frozen=True)
