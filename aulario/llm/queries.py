@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aulario.llm import bin_completion, divergence_rules, fm_index, jaccard_join, run_length_index, simhash_windows, suffix_tree_lm, token_counts
+from aulario.llm import (
+    bin_completion,
+    divergence_rules,
+    fm_index,
+    jaccard_join,
+    language_masks,
+    min_cut_blocks,
+    run_length_index,
+    simhash_windows,
+    suffix_tree_lm,
+    token_counts,
+)
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +32,14 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.remove_seen(table(spark, sf_dir, "documents"))
 
 
+def op3_min_cut_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_cut_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_masks.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
 
@@ -47,6 +66,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_windows, op2_run_length_index, op5_suffix_tree_lm, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_windows, op2_run_length_index, op3_min_cut_blocks, op4_language_masks, op5_suffix_tree_lm, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
 
 ORACLES: dict[str, str] = {}
