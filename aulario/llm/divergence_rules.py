@@ -73,7 +73,7 @@ def _features(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "n_words", "chars", "word_chars", "n_symbols", "upper", "digit", "mark", "short",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("n_words") > WINDOW, F.col("hashes")).alias("windows"),
-        F.when(F.size("short") > 0, heads).alias("heads"),
+        F.when(F.size("short") > 0, heads).otherwise(F.array().cast("array<int>")).alias("heads"),
     )
     for step in (2, 4):  # hashes of 2, 4, then 8 words; using the column twice keeps Catalyst from inlining it
         d = d.withColumn("windows", F.transform("windows", lambda h, i: F.xxhash64(h, F.get("windows", i + step))))  # noqa: B023

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from aulario.llm import (
     bin_completion,
     divergence_rules,
@@ -66,6 +67,25 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_windows, op2_run_length_index, op3_min_cut_blocks, op4_language_masks, op5_suffix_tree_lm, op6_jaccard_join, op7_bin_completion, op8_fm_index, op9_token_counts, op10_divergence_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_windows,
+        op2_run_length_index,
+        op3_min_cut_blocks,
+        op4_language_masks,
+        op5_suffix_tree_lm,
+        op6_jaccard_join,
+        op7_bin_completion,
+        op8_fm_index,
+        op9_token_counts,
+        op10_divergence_rules,
+        pipeline,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -297,14 +297,21 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[first, 0], reach[last]])
 
 
-def cut(docs: DataFrame, plan: Plan, keep: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+def cut(
+    docs: DataFrame,
+    plan: Plan,
+    keep: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table],
+    schema: str,
+    extra: tuple[str, ...] = (),
+) -> DataFrame:
     """Mark repeats in ``docs(doc_id, text)`` and let ``keep`` make the result of each bucket of rows.
 
-    ``keep`` gets rows (``doc_id, text, rid``) and, for each rid that has any, its marked runs.
+    ``keep`` gets rows (``doc_id, text, rid`` and the ``extra`` columns) and, for each rid that has any,
+    its marked runs.
     """
     dealt = shards(docs.sparkSession)
     n = BUCKETS * dealt
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), *extra)
     rows = rows.withColumn("bucket", F.pmod("rid", F.lit(n)).cast("int"))
     anchors = rows.select("doc_id", "text", "rid").mapInArrow(_anchors(plan, dealt), "shard int, keys binary, docs binary, rids binary")
     reported = anchors.groupBy("shard").applyInArrow(_repeated(plan, dealt, n), "bucket int, rids binary, named binary")

@@ -113,9 +113,14 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
 PLAN = repeats.Plan(WIDTH, ANCHOR, repeats.flat_bytes, _grams, first_holder_marks, True, np.uint8)
 
 
-def _kept(keep_text: bool):
+_DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+
+
+def _kept(extra: tuple[str, ...]):
+    names = [f.split()[0] for f in _DIGEST.split(", ")]
+
     def run(docs: pa.Table, runs: dict[int, np.ndarray]) -> pa.Table:
-        rows = []
+        rows, texts = [], []
         for doc, text, rid in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()).to_pylist(), docs["rid"].to_pylist(), strict=True):
             text, at, parts, removed = text or b"", 0, [], 0
             spans = runs.get(rid, ())
@@ -123,17 +128,31 @@ def _kept(keep_text: bool):
                 parts.append(text[at:a])
                 at, removed = b, removed + int(b - a)
             kept = b"".join([*parts, text[at:]])
-            rows.append((doc, len(text), removed, len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, rid))
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.int64()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rid"]
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
+            rows.append((doc, len(text), removed, len(spans), hashlib.sha256(kept).hexdigest()))
+            if extra:
+                texts.append(kept.decode("utf-8", "ignore"))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        out = pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
+        if extra:
+            out = out.append_column("text", pa.array(texts, pa.string()))
+            for c in extra:
+                out = out.append_column(c, docs[c])
+        return out
 
     return run
 
 
-def remove_seen(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; the kept bytes too if asked for."""
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, rid bigint"
-    out = repeats.cut(docs, PLAN, _kept(keep_text), schema)
-    return out if keep_text else out.drop("kept", "rid")
+def remove_seen(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    return repeats.cut(docs, PLAN, _kept(()), _DIGEST)
+
+
+def without_seen(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The digest columns, the text that is left and the named further columns of every row.
+
+    A character that is cut in the middle goes as a whole.
+    """
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([_DIGEST, "text string", *(f"{c} {kinds[c]}" for c in columns)])
+    return repeats.cut(docs, PLAN, _kept(columns), schema, columns)
