@@ -34,11 +34,11 @@ from aulario.plans.staging import stage
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Nodes that one search for a filling may visit; the incumbent is used after that.
 NODES = 3000
 #: Pieces of one length that are numbered in one task.
-RUN = 20_000
+RUN = 2_000
 
 
 class WordIds:
