@@ -20,6 +20,7 @@ from aulario.llm import (
     suffix_tree_lm,
     token_counts,
 )
+from aulario.llm.oracles import ORACLES
 from aulario.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +65,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence_rules.judge(table(spark, sf_dir, "documents"))
+    judged = divergence_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,4 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
