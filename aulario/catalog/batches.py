@@ -50,7 +50,8 @@ class Batches:
 
     def edit(self) -> DataFrame:
         key = F.col("id_reserva")
-        state = F.when(key % 3 == 0, "cancelada").when(key % 3 == 1, "Activa").otherwise("Sin asistencia")
+        state = F.when(key % 7 == 5, "Pospuesta").when(key % 3 == 0, "cancelada").when(key % 3 == 1, "Activa")
+        state = state.otherwise("Sin asistencia")
         return self.model.reserva.select(
             key,
             day(key % 25, dt.date(2025, 1, 30)).alias("fecha_nueva"),

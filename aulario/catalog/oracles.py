@@ -89,7 +89,8 @@ UNION ALL SELECT '99999999', o_orderkey FROM orders"""
 VIEWS["q_edit"] = """
 SELECT id_reserva, DATE '2025-01-30' + CAST(id_reserva % 25 AS INTEGER) AS fecha_nueva,
        CAST(1 + id_reserva % 15 AS INTEGER) AS id_turno_nuevo,
-       CASE id_reserva % 3 WHEN 0 THEN 'cancelada' WHEN 1 THEN 'Activa' ELSE 'Sin asistencia' END AS estado_nuevo
+       CASE WHEN id_reserva % 7 = 5 THEN 'Pospuesta' WHEN id_reserva % 3 = 0 THEN 'cancelada'
+            WHEN id_reserva % 3 = 1 THEN 'Activa' ELSE 'Sin asistencia' END AS estado_nuevo
 FROM reserva"""
 VIEWS["q_attendance"] = """
 SELECT ci_participante AS ci, id_reserva, id_reserva % 2 = 0 AS asistencia FROM rp WHERE confirmado"""
@@ -268,16 +269,22 @@ SELECT q.ci, q.id_reserva, CASE WHEN r.estado IS NULL THEN 'unknown_reservation'
 FROM q_cancel q LEFT JOIN reserva r USING (id_reserva)"""
 VIEWS["tras_ch3"] = """
 SELECT * FROM rp p WHERE NOT EXISTS (FROM ch3 c WHERE c.reason IS NULL AND c.ci = p.ci_participante AND c.id_reserva = p.id_reserva)"""
-VIEWS["ch4"] = f"""
-SELECT q.*, r.estado AS estado_previo, CASE lower(q.estado_nuevo) WHEN 'cancelada' THEN 'Cancelada'
+VIEWS["ch4_uno"] = f"""
+SELECT q.*, r.nombre_sala, r.edificio, r.estado AS estado_previo, CASE lower(q.estado_nuevo) WHEN 'cancelada' THEN 'Cancelada'
          WHEN 'activa' THEN 'Activa' WHEN 'sin asistencia' THEN 'Sin Asistencia' END AS estado_final,
   CASE WHEN r.id_reserva IS NULL THEN 'unknown_reservation'
        WHEN q.fecha_nueva < {TODAY} THEN 'past_date'
        WHEN q.fecha_nueva = {TODAY} AND q.fecha_nueva + to_minutes(t.inicio_min) <= {NOW} THEN 'turno_started'
        WHEN EXISTS (FROM reserva o WHERE o.estado = 'Activa' AND o.nombre_sala = r.nombre_sala AND o.edificio = r.edificio
             AND o.fecha = q.fecha_nueva AND o.id_turno = q.id_turno_nuevo AND o.id_reserva <> q.id_reserva) THEN 'slot_taken'
-       WHEN t.id_turno IS NULL THEN 'unknown_turno' END AS reason
+       WHEN t.id_turno IS NULL THEN 'unknown_turno'
+       WHEN lower(q.estado_nuevo) NOT IN ('activa', 'cancelada', 'sin asistencia', 'finalizada') THEN 'bad_state' END AS reason
 FROM q_edit q LEFT JOIN reserva r ON r.id_reserva = q.id_reserva LEFT JOIN turno t ON t.id_turno = q.id_turno_nuevo"""
+VIEWS["ch4"] = """
+SELECT * REPLACE (CASE WHEN reason IS NULL AND estado_final = 'Activa' AND id_reserva >
+    min(id_reserva) FILTER (reason IS NULL AND estado_final = 'Activa')
+      OVER (PARTITION BY nombre_sala, edificio, fecha_nueva, id_turno_nuevo) THEN 'slot_taken' ELSE reason END AS reason)
+FROM ch4_uno"""
 VIEWS["pr1_ch4"] = """
 SELECT p.ci_participante AS ci, min(p.id_reserva) AS id_reserva FROM rp p JOIN ch4 c USING (id_reserva)
 WHERE c.reason IS NULL AND c.estado_final = 'Sin Asistencia' AND c.estado_previo <> 'Sin Asistencia'
@@ -777,7 +784,7 @@ SELECT request_id, CAST(capacidad AS INTEGER) AS capacidad, 'capacity_range' AS
 WHERE CAST(capacidad AS INTEGER) < 1 OR CAST(capacidad AS INTEGER) > 60"""
     o["dq5_state_domain"] = """
 SELECT id_reserva, estado_nuevo, 'domain' AS regla FROM q_edit
-WHERE estado_nuevo NOT IN ('Activa', 'Cancelada', 'Sin Asistencia', 'Finalizada')"""
+WHERE lower(trim(estado_nuevo)) NOT IN ('activa', 'cancelada', 'sin asistencia', 'finalizada')"""
     o["dq6_contested_slots"] = """
 SELECT nombre_sala, edificio, fecha, id_turno, count(*) AS veces, 'one_per_slot' AS regla FROM q_booking
 GROUP BY ALL HAVING count(*) > 1"""

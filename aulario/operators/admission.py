@@ -168,12 +168,12 @@ def _report(judged: DataFrame, reqs: DataFrame, *extra: str) -> DataFrame:
 
 
 def _slot_resource() -> tuple[Resource, Column, Column]:
-    return Resource("slot", "_k_slot", "_f_slot", 1), F.struct(*SLOT), F.when(F.col("ocupado"), 0).otherwise(1)
+    return Resource("slot", "_k_slot", "_f_slot"), F.struct(*SLOT), F.when(F.col("ocupado"), 0).otherwise(1)
 
 
 def _day_resource(bound: Column) -> tuple[Resource, Column, Column]:
     key = F.when(bound, F.struct("ci", "fecha"))
-    return Resource("dia", "_k_dia", "_f_dia", fixed.MAX_POR_DIA), key, fixed.MAX_POR_DIA - F.col("dia")
+    return Resource("dia", "_k_dia", "_f_dia"), key, fixed.MAX_POR_DIA - F.col("dia")
 
 
 def admit_bookings_self(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mode = "snapshot") -> DataFrame:
@@ -210,7 +210,7 @@ def admit_bookings_self(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mod
 
     if mode == "snapshot":
         return _report(judge(facts, rules(facts)), reqs)
-    week = Resource("sem", "_k_sem", "_f_sem", fixed.MAX_POR_SEMANA, uses="_u_sem")
+    week = Resource("sem", "_k_sem", "_f_sem", uses="_u_sem")
     judged = _resolve(
         facts,
         rules,
@@ -264,7 +264,7 @@ def admit_bookings_admin(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mo
     if mode == "snapshot":
         return _report(judge(facts, rules(facts)), reqs)
     bound = F.col("persona") == fixed.SHORT_GRADO
-    week = Resource("sem", "_k_sem", "_f_sem", fixed.MAX_POR_SEMANA)
+    week = Resource("sem", "_k_sem", "_f_sem")
     judged = _resolve(
         facts,
         rules,
@@ -305,7 +305,7 @@ def _with_reservation(t: Model, reqs: DataFrame, counts: DataFrame) -> DataFrame
 
 
 def _seat_resource() -> tuple[Resource, Column, Column]:
-    seat = Resource("lugar", "_k_lugar", "_f_lugar", fixed.MAX_CAPACIDAD)
+    seat = Resource("lugar", "_k_lugar", "_f_lugar")
     return seat, F.col("id_reserva"), F.col("capacidad") - F.col("ocupados")
 
 
@@ -350,8 +350,8 @@ def admit_joins(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mode = "sna
     if mode == "snapshot":
         judged = judge(facts, rules(facts))
     else:
-        once = Resource("fila", "_k_fila", "_f_fila", 1)
-        week = Resource("sem", "_k_sem", "_f_sem", fixed.MAX_POR_SEMANA, uses="_u_sem")
+        once = Resource("fila", "_k_fila", "_f_fila")
+        week = Resource("sem", "_k_sem", "_f_sem", uses="_u_sem")
         judged = _resolve(
             facts,
             rules,
@@ -403,7 +403,7 @@ def admit_adds_admin(t: Model, reqs: DataFrame, as_of: dt.datetime, mode: Mode =
     if mode == "snapshot":
         judged = judge(facts, rules(facts))
     else:
-        once = Resource("fila", "_k_fila", "_f_fila", 1)
+        once = Resource("fila", "_k_fila", "_f_fila")
         judged = _resolve(
             facts,
             rules,

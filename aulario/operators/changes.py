@@ -34,6 +34,15 @@ def accepted(verdicts: DataFrame) -> DataFrame:
     return verdicts.filter(F.col("verdict") == "accepted")
 
 
+def last_edit(done: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several accepted edits of one row the last counts: by ``request_id`` where the batch has one,
+    else by the values, so that the outcome does not depend on how the batch is read."""
+    values = [c for c in done.columns if c not in keys]
+    values.sort(key=lambda c: c != "request_id")
+    last = done.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_ultimo"))
+    return last.select(*keys, *[F.col("_ultimo")[c].alias(c) for c in values])
+
+
 # --- effects of admission --------------------------------------------------------------------
 
 
@@ -88,7 +97,9 @@ def apply_joins(t: Model, verdicts: DataFrame, as_of: dt.datetime) -> Model:
 
 
 def cancel_participation(t: Model, pairs: DataFrame, as_of: dt.datetime, order: str = "ci") -> Outcome:
-    """People withdraw from reservations (``ci``, ``id_reserva``, distinct), in ``order``.
+    """People withdraw from reservations (``ci``, ``id_reserva``), in ``order``.
+
+    A pair asked for again is the same withdrawal: it gets the same verdict and changes nothing more.
 
     A reservation left without a confirmed person is cancelled. The text each person gets depends
     on whether anybody was still confirmed right after their own withdrawal: that is so until the
@@ -97,6 +108,7 @@ def cancel_participation(t: Model, pairs: DataFrame, as_of: dt.datetime, order:
     rp = t.reserva_participante
     key = ["ci_participante", "id_reserva"]
     asked = pairs.select(F.col("ci").alias("ci_participante"), "id_reserva", F.col(order).alias("_ord"))
+    asked = asked.groupBy(*key).agg(F.min("_ord").alias("_ord"), F.count("*").alias("_veces"))
     joined = rp.withColumn("_fila", F.lit(True)).join(asked, key, "full_outer")
     row, withdrawn = F.col("_fila").isNotNull(), F.col("_ord").isNotNull()
     confirmed = F.col("confirmado") == F.lit(True)
@@ -111,7 +123,7 @@ def cancel_participation(t: Model, pairs: DataFrame, as_of: dt.datetime, order:
 
     requests = joined.filter(withdrawn).join(touched.drop("_tocada"), "id_reserva", "left")
     verdicts = judge(
-        requests.select(F.col("ci_participante").alias("ci"), "id_reserva", "_fila", "_ord", "_quedan", "_ultima"),
+        requests.select(F.col("ci_participante").alias("ci"), "id_reserva", "_fila", "_ord", "_veces", "_quedan", "_ultima"),
         [("not_in_reservation", F.col("_fila").isNull())],
     )
     told = accepted(verdicts)
@@ -127,7 +139,9 @@ def cancel_participation(t: Model, pairs: DataFrame, as_of: dt.datetime, order:
             reserva=cancel_where(t.reserva, emptied),
             notificacion=lambda _: append_notifications(t, notifications(told, text, as_of)),
         ),
-        verdicts.select("ci", "id_reserva", "verdict", "reason"),
+        verdicts.withColumn("_vez", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_veces")))).select(
+            "ci", "id_reserva", "verdict", "reason"
+        ),
     )
 
 
@@ -160,7 +174,10 @@ def edit_verdicts(t: Model, edits: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Judge edits (``id_reserva``, ``fecha_nueva``, ``id_turno_nuevo``, ``estado_nuevo``).
 
     Every edit meets the state before the batch. A slot is taken if an active reservation other
-    than the edited one holds it: the holders of a slot are folded to their number and one id.
+    than the edited one holds it: the holders of a slot are folded to their number and one id. Of
+    the edits that would otherwise move active reservations into one free slot, those of the lowest
+    reservation have it, and the slot is taken for the others; a slot that an edit leaves stays
+    closed until the next batch.
     """
     current = t.reserva.select("id_reserva", *ROOM, F.col("estado").alias("_estado_previo"))
     holders = (
@@ -178,28 +195,32 @@ def edit_verdicts(t: Model, edits: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
     is_today = F.col("fecha_nueva") == today(as_of)
     by_another = (F.col("_n") > 1) | (F.col("_id") != F.col("id_reserva"))
-    return judge(
-        facts,
-        [
-            ("unknown_reservation", F.col("_estado_previo").isNull()),
-            ("bad_date", F.col("fecha_nueva").isNull()),
-            ("past_date", F.col("fecha_nueva") < today(as_of)),
-            ("turno_started", is_today & (at_minute("fecha_nueva", "inicio_min") <= now(as_of))),
-            ("slot_taken", by_another),
-            ("unknown_turno", F.col("inicio_min").isNull()),
-            ("bad_state", F.col("_estado").isNull()),
-        ],
-    )
+    rules = [
+        ("unknown_reservation", F.col("_estado_previo").isNull()),
+        ("bad_date", F.col("fecha_nueva").isNull()),
+        ("past_date", F.col("fecha_nueva") < today(as_of)),
+        ("turno_started", is_today & (at_minute("fecha_nueva", "inicio_min") <= now(as_of))),
+        ("slot_taken", by_another),
+        ("unknown_turno", F.col("inicio_min").isNull()),
+        ("bad_state", F.col("_estado").isNull()),
+    ]
+    slot = [*ROOM, "fecha_nueva", "id_turno_nuevo"]
+    wants = F.col("_estado") == fixed.ACTIVA
+    first = facts.filter(~any_fails(rules)).filter(wants).groupBy(*slot).agg(F.min("id_reserva").alias("_primera"))
+    late = wants & (F.col("_primera") < F.col("id_reserva"))
+    return judge(facts.join(first, slot, "left"), [*rules, ("slot_taken", late)])
 
 
 def modify_reservations(t: Model, edits: DataFrame, as_of: dt.datetime) -> Outcome:
-    """Move reservations and set their state (one edit per reservation).
+    """Move reservations and set their state; of several edits of one the last accepted counts.
 
     People of an edited reservation are notified, then removed if it was cancelled; a reservation
     set to no-show has its people sanctioned like any other no-show.
     """
     verdicts = edit_verdicts(t, edits, as_of)
-    done = accepted(verdicts).select("id_reserva", "fecha_nueva", "id_turno_nuevo", "_estado", "_estado_previo")
+    named = [c for c in ("request_id",) if c in edits.columns]
+    done = accepted(verdicts).select("id_reserva", "fecha_nueva", "id_turno_nuevo", "_estado", "_estado_previo", *named)
+    done = last_edit(done, ["id_reserva"]).drop("request_id")
     hit = F.col("_estado").isNotNull()
     moved = t.reserva.join(done.drop("_estado_previo"), "id_reserva", "left").withColumns(
         {
@@ -344,7 +365,10 @@ def edit_participants(t: Model, edits: DataFrame, protected: str = fixed.EMAIL_P
         facts.join(usable, "_clave", "left"),
         [*rules, ("duplicate_email", F.col("_primera") < F.col("request_id"))],
     )
-    done = accepted(judged).select("ci", "_nombre", "_apellido", F.col("email").alias("_email"), "programa", F.col("rol").alias("_rol"))
+    done = accepted(judged).select(
+        "ci", "request_id", "_nombre", "_apellido", F.col("email").alias("_email"), "programa", F.col("rol").alias("_rol")
+    )
+    done = last_edit(done, ["ci"]).drop("request_id")
     people = t.participantes.join(done, "ci", "left").select(
         "ci",
         F.coalesce("_nombre", "nombre").alias("nombre"),
@@ -382,7 +406,7 @@ def intake_participants(t: Model, reqs: DataFrame) -> Outcome:
     ]
     late = [("unknown_programme", ~F.col("_programa")), ("ci_too_long", F.length("ci") > 8)]
     viable = facts.filter(~any_fails([*rules, *late]))
-    by_ci, by_email = Resource("ci", "ci", "_uno", 1), Resource("email", "_clave", "_uno", 1)
+    by_ci, by_email = Resource("ci", "ci", "_uno"), Resource("email", "_clave", "_uno")
     claims = viable.select("request_id", "ci", "_clave", F.lit(1).cast("long").alias("_uno"))
     granted = grant_in_order(claims, "request_id", [by_ci, by_email])
     out = granted_before(facts, granted, "request_id", by_ci, "_antes_ci")
@@ -465,7 +489,7 @@ def intake_rooms(t: Model, reqs: DataFrame) -> Outcome:
 
 
 def edit_rooms(t: Model, edits: DataFrame) -> Outcome:
-    """Set capacity and type of rooms (one edit per room)."""
+    """Set capacity and type of rooms; of several edits of one room the last accepted counts."""
     judged = judge(
         edits.withColumns({"_capacidad": _capacity(), "_tipo": canonical("tipo_sala", fixed.TIPOS_SALA)}),
         [
@@ -473,7 +497,9 @@ def edit_rooms(t: Model, edits: DataFrame) -> Outcome:
             ("bad_type", F.col("tipo_sala").isNotNull() & F.col("_tipo").isNull()),
         ],
     )
-    done = accepted(judged).select(*ROOM, F.col("_capacidad").cast("short").alias("_capacidad"), "_tipo")
+    named = [c for c in ("request_id",) if c in edits.columns]
+    done = accepted(judged).select(*ROOM, F.col("_capacidad").cast("short").alias("_capacidad"), "_tipo", *named)
+    done = last_edit(done, ROOM).drop("request_id")
     hit = F.col("_capacidad").isNotNull()
     sala = t.sala.join(done, ROOM, "left").select(
         *ROOM,

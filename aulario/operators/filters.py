@@ -28,15 +28,17 @@ class ReportFilter(NamedTuple):
 
 
 def report_filter(base: DataFrame, f: ReportFilter = ReportFilter()) -> DataFrame:
-    """Keep the reservations (joined to their room) that meet every given condition."""
+    """Keep the reservations (joined to their room) that meet every given condition; case does not matter."""
     if f.desde:
         base = base.filter(F.col("fecha") >= F.lit(dt.date.fromisoformat(f.desde)))
     if f.hasta:
         base = base.filter(F.col("fecha") <= F.lit(dt.date.fromisoformat(f.hasta)))
-    if f.edificio and f.edificio != fixed.TODOS_EDIFICIOS:
-        base = base.filter(F.col("edificio") == f.edificio)
-    if f.tipo_sala and f.tipo_sala != fixed.TODAS_SALAS:
-        base = base.filter(F.col("tipo_sala") == f.tipo_sala)
+    if f.edificio and f.edificio.lower() != fixed.TODOS_EDIFICIOS.lower():
+        base = base.filter(text_key("edificio") == text_key(F.lit(f.edificio)))
+    if f.tipo_sala and f.tipo_sala.lower() != fixed.TODAS_SALAS.lower():
+        # stored types have one spelling each, so the comparison reaches the files
+        stored = next((x for x in fixed.TIPOS_SALA if x.lower() == f.tipo_sala.strip().lower()), f.tipo_sala)
+        base = base.filter(F.col("tipo_sala") == stored)
     return base
 
 

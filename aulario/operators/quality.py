@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aulario.functions.text import check_digit_ok, email_domain_ok
+from aulario.functions.text import canonical, check_digit_ok, email_domain_ok
 from aulario.operators.filters import SLOT
 from aulario.sources import fixed
 from aulario.sources.model import Model
@@ -55,7 +55,8 @@ def check_sanction_order(df: DataFrame) -> DataFrame:
 
 
 def check_domain(df: DataFrame, col: str, values: Sequence[str], name: str = "domain") -> DataFrame:
-    return check_holds(df, F.col(col).isin(*values), name)
+    """Values that are none of the closed set in any spelling the database takes (case, outer blanks)."""
+    return check_holds(df, F.col(col).isNull() | canonical(col, tuple(values)).isNotNull(), name)
 
 
 def check_length(df: DataFrame, col: str, longest: int, name: str = "length") -> DataFrame:

@@ -4,14 +4,15 @@ Each claim asks for one unit in one or more groups (a room slot, a person's day,
 reservation...). Taken one at a time in order, a claim succeeds if every group it asks still has a
 unit left. The same outcome is reached here in a few rounds over the whole table: a claim is
 
-* refused once the successful claims *before it* have used up one of its groups, and
+* refused once the units of one of its groups are gone, and
 * granted once even the grant of every undecided claim before it would leave room in all of them.
 
-The earliest undecided claim is always decidable, so the rounds end; in practice a round decides
-most of what is left, because a group settles as soon as its first few claims do. A group hands
-out at most ``limit`` units, so per group only its first ``limit`` undecided claims matter: they
-are picked by a ranked filter that Spark applies before the shuffle too, and no task ever holds
-all the claims of a popular group.
+A grant takes its unit at once, also from undecided claims before it: it was only made because there
+was room for all of those too. So a round looks at undecided claims alone, with the units left. The
+earliest of them is always decidable, so the rounds end; in practice a round decides most of what is
+left, because a group settles as soon as its first few claims do. Of a group, only as many first
+claims matter as any group still has units: they are picked by a ranked filter that Spark applies
+before the shuffle too, and no task ever holds all the claims of a popular group.
 """
 
 from __future__ import annotations
@@ -30,29 +31,27 @@ class Resource(NamedTuple):
     """A kind of group claims compete in.
 
     ``key`` is a column holding the group (NULL: the claim does not compete), ``free`` the units
-    left in it before any claim, ``limit`` the most any group can ever hand out, and ``uses`` a
-    boolean column: whether a granted claim consumes a unit (else it only needs one to be free).
+    left in it before any claim, and ``uses`` a boolean column: whether a granted claim consumes a
+    unit (else it only needs one to be free).
     """
 
     name: str
     key: str
     free: str
-    limit: int
     uses: str | None = None
 
 
-def _claimants(claims: DataFrame, r: Resource, order: str) -> DataFrame:
-    """Per group: orders of the granted claims and of the first ``limit`` undecided ones."""
+def _takers(claims: DataFrame, r: Resource) -> DataFrame:
     rows = claims.filter(F.col(r.key).isNotNull())
-    if r.uses:
-        rows = rows.filter(F.col(r.uses))
-    rows = rows.select(F.col(r.key).alias("_key"), F.col(order).alias("_ord"), F.col("_granted"))
-    ranked = Window.partitionBy("_key", "_granted").orderBy("_ord")
-    head = rows.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= r.limit)
-    return head.groupBy("_key").agg(
-        F.collect_list(F.when(F.col("_granted"), F.col("_ord"))).alias(f"_{r.name}_won"),
-        F.collect_list(F.when(~F.col("_granted"), F.col("_ord"))).alias(f"_{r.name}_open"),
-    )
+    return rows.filter(F.col(r.uses)) if r.uses else rows
+
+
+def _first_claims(claims: DataFrame, r: Resource, order: str, most: int) -> DataFrame:
+    """Per group: orders of its first ``most`` claims that take a unit."""
+    rows = _takers(claims, r).select(F.col(r.key).alias("_key"), F.col(order).alias("_ord"))
+    ranked = Window.partitionBy("_key").orderBy("_ord")
+    head = rows.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= most)
+    return head.groupBy("_key").agg(F.collect_list("_ord").alias(f"_{r.name}_open"))
 
 
 def _earlier(orders: str, order: str) -> Column:
@@ -60,46 +59,45 @@ def _earlier(orders: str, order: str) -> Column:
     return F.coalesce(F.size(F.filter(F.col(orders), lambda o: o < own)), F.lit(0))
 
 
-def grant_in_order(claims: DataFrame, order: str, resources: Sequence[Resource], max_rounds: int = 500) -> DataFrame:
-    """The granted claims: the columns of ``claims``, decided in ascending ``order`` (unique).
+def _all(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, columns)
 
-    Raises if ``max_rounds`` are not enough; a partial answer is never returned.
-    """
+
+def grant_in_order(claims: DataFrame, order: str, resources: Sequence[Resource]) -> DataFrame:
+    """The granted claims: the columns of ``claims``, decided in ascending ``order`` (unique)."""
     columns = claims.columns
-    pending = stage(claims.withColumn("_granted", F.lit(False)), "claims")
-    granted: DataFrame | None = None
-    for _ in range(max_rounds):
-        everyone = pending if granted is None else pending.unionByName(granted)
+    left = {r.name: f"_{r.name}_left" for r in resources}
+    pending = stage(claims.withColumns({left[r.name]: F.col(r.free).cast("long") for r in resources}), "claims")
+    granted: list[DataFrame] = []
+    while True:
+        most = pending.agg(*[F.max(left[r.name]).alias(r.name) for r in resources]).first()
         looked = pending
         for r in resources:
-            seen = _claimants(everyone, r, order)
+            seen = _first_claims(pending, r, order, max(1, most[r.name] or 0))
             looked = looked.join(seen, F.col(r.key) == F.col("_key"), "left").drop("_key")
-        refused, sure = [], []
+        gone = [F.col(r.key).isNotNull() & (F.col(left[r.name]) <= 0) for r in resources]
+        sure = [F.col(r.key).isNull() | (_earlier(f"_{r.name}_open", order) < F.col(left[r.name])) for r in resources]
+        outcome = F.when(~_all([~g for g in gone]), 0).when(_all(sure), 1)
+        decided = stage(looked.withColumn("_outcome", outcome).select(*pending.columns, "_outcome"), "round")
+        newly = decided.filter(F.col("_outcome") == 1)
+        granted.append(newly.select(*columns))
+        rest = decided.filter(F.col("_outcome").isNull()).drop("_outcome")
+        counts = decided.agg(F.count("*").alias("all"), F.count("_outcome").alias("decided")).first()
+        if counts["all"] == counts["decided"]:
+            return reduce(DataFrame.unionByName, granted)
+        if not counts["decided"]:
+            raise RuntimeError("a round decided nothing")
         for r in resources:
-            competes = F.col(r.key).isNotNull()
-            won, still = _earlier(f"_{r.name}_won", order), _earlier(f"_{r.name}_open", order)
-            refused.append(competes & (won >= F.col(r.free)))
-            sure.append(~competes | (won + still < F.col(r.free)))
-        is_refused = reduce(lambda a, b: a | b, refused)
-        is_sure = reduce(lambda a, b: a & b, sure)
-        decided = stage(
-            looked.withColumn("_outcome", F.when(is_refused, 0).when(is_sure, 1)).select(*columns, "_granted", "_outcome"),
-            "round",
-        )
-        newly = decided.filter(F.col("_outcome") == 1).drop("_outcome").withColumn("_granted", F.lit(True))
-        granted = newly if granted is None else granted.unionByName(newly)
-        pending = decided.filter(F.col("_outcome").isNull()).drop("_outcome")
-        if pending.isEmpty():
-            return granted.select(*columns)
-    raise RuntimeError(f"claims still undecided after {max_rounds} rounds")
+            taken = _takers(newly, r).groupBy(F.col(r.key).alias("_key")).agg(F.count("*").alias("_taken"))
+            rest = rest.join(taken, F.col(r.key) == F.col("_key"), "left")
+            rest = rest.withColumn(left[r.name], F.col(left[r.name]) - F.coalesce("_taken", F.lit(0))).drop("_key", "_taken")
+        pending = rest
 
 
 def granted_before(df: DataFrame, granted: DataFrame, order: str, r: Resource, out: str) -> DataFrame:
     """Add ``out``: units of ``r`` that earlier granted claims took in the group of each row."""
-    won = granted.filter(F.col(r.key).isNotNull())
-    if r.uses:
-        won = won.filter(F.col(r.uses))
-    # at most r.limit orders per group, by construction of the grants
+    won = _takers(granted, r)
+    # at most as many orders as the group had units, by construction of the grants
     lists = won.groupBy(F.col(r.key).alias("_key")).agg(F.collect_list(F.col(order)).alias("_won"))
     return (
         df.join(lists, F.col(r.key) == F.col("_key"), "left")

@@ -25,7 +25,6 @@ from aulario.sources.model import Model
 from aulario.sources.schema import CHANGES, TABLES
 
 LOTE = "lote"
-LATENESS = "1 day"
 
 _WITHDRAWALS = T.StructType(
     [
@@ -35,6 +34,7 @@ _WITHDRAWALS = T.StructType(
         T.StructField("confirmado", T.BooleanType()),
     ]
 )
+_SEEN = T.StructType([T.StructField("id_reserva", T.LongType()), T.StructField("version", T.LongType())])
 _CANCELLED = T.StructType([T.StructField("id_reserva", T.LongType())])
 
 
@@ -80,13 +80,18 @@ def _start(changes: DataFrame, body: Callable[[DataFrame, int], None], checkpoin
 def sanction_no_show_stream(t: Model, changes: DataFrame, out: str, checkpoint: str, as_of: dt.datetime) -> StreamingQuery:
     """Sanction and notify people as reservations turn into no-shows.
 
-    New rows go to ``out/sancion_participante`` and ``out/notificacion``. A change delivered again
-    within a day of event time is dropped by (reservation, version).
+    New rows go to ``out/sancion_participante`` and ``out/notificacion``, the changes dealt with to
+    ``out/cambios_vistos``. A change counts however late it comes; delivered again, in the same batch
+    or a later one, it is known by (reservation, version).
     """
+    seen = BatchStore(t.spark, f"{out}/cambios_vistos", _SEEN)
     sanctions = BatchStore(t.spark, f"{out}/sancion_participante", TABLES["sancion_participante"])
     notices = BatchStore(t.spark, f"{out}/notificacion", TABLES["notificacion"])
 
-    def body(batch: DataFrame, lote: int) -> None:
+    def body(delivered: DataFrame, lote: int) -> None:
+        key = ["id_reserva", "version"]
+        batch = delivered.dropDuplicates(key).join(seen.before(lote), key, "left_anti")
+        seen.write(batch, lote)
         now_state = t.replace(
             sancion_participante=t.sancion_participante.unionByName(sanctions.before(lote)),
             notificacion=t.notificacion.unionByName(notices.before(lote)),
@@ -108,16 +113,15 @@ def sanction_no_show_stream(t: Model, changes: DataFrame, out: str, checkpoint:
         finally:
             people.unpersist()
 
-    once = changes.withWatermark("changed_at", LATENESS).dropDuplicatesWithinWatermark(["id_reserva", "version"])
-    return _start(once, body, checkpoint)
+    return _start(changes, body, checkpoint)
 
 
 def cancel_emptied_stream(t: Model, changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Cancel reservations as the last confirmed person withdraws.
 
     ``out/confirmaciones`` logs the latest value of each participation in each batch,
-    ``out/canceladas`` the reservations cancelled. Only reservations touched by a batch are
-    recounted.
+    ``out/canceladas`` the reservations cancelled, once each. Only reservations touched by a batch
+    are recounted; of two values the higher version counts, in whatever order they come.
     """
     log = BatchStore(t.spark, f"{out}/confirmaciones", _WITHDRAWALS)
     cancelled = BatchStore(t.spark, f"{out}/canceladas", _CANCELLED)
@@ -134,10 +138,10 @@ def cancel_emptied_stream(t: Model, changes: DataFrame, out: str, checkpoint: st
         values = base.unionByName(log.upto(lote)).join(touched, "id_reserva", "left_semi")
         current = values.groupBy("ci", "id_reserva").agg(F.max_by("confirmado", "version").alias("confirmado"))
         held = current.filter(F.col("confirmado") == F.lit(True)).select("id_reserva")
-        cancelled.write(touched.join(held, "id_reserva", "left_anti"), lote)
+        emptied = touched.join(held, "id_reserva", "left_anti")
+        cancelled.write(emptied.join(cancelled.before(lote), "id_reserva", "left_anti"), lote)
 
-    once = changes.withWatermark("changed_at", LATENESS).dropDuplicatesWithinWatermark(["ci", "id_reserva", "version"])
-    return _start(once, body, checkpoint)
+    return _start(changes, body, checkpoint)
 
 
 def attendance_stream(t: Model, marks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

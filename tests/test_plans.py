@@ -140,10 +140,10 @@ def test_no_pairwise_joins_and_no_python_in_plans(spark, name):
 
 def test_popular_groups_are_cut_before_the_shuffle(spark, tmp_path):
     """Only the first few claims of a group leave a map task."""
-    from aulario.plans.first_come import Resource, _claimants
+    from aulario.plans.first_come import Resource, _first_claims
 
-    claims = spark.range(1000).selectExpr("id % 3 as k", "id as o", "2L as free", "false as _granted")
-    plan = _claimants(claims, Resource("x", "k", "free", 2), "o")._jdf.queryExecution().executedPlan().toString()
+    claims = spark.range(1000).selectExpr("id % 3 as k", "id as o", "2L as free")
+    plan = _first_claims(claims, Resource("x", "k", "free"), "o", 2)._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("WindowGroupLimit", plan.index("Exchange hashpartitioning"))
     assert "Partial" in plan[partial : partial + 200]
 

@@ -53,6 +53,26 @@ def test_no_shows_over_restarts(spark, demo, feed):
     assert len(told) == len(got) and len({r.id_notificacion for r in told}) == len(told)
 
 
+def test_changes_count_however_late_they_come(spark, demo, feed):
+    def at(row, days):
+        return (*row[:-1], AS_OF - dt.timedelta(days=days))
+
+    def run(job, kind, *more):
+        stream = feeds.read_feed(spark, kind, feed.path, files_per_batch=1)
+        job(demo, stream, feed.out, feed.state, *more).awaitTermination()
+
+    feed("reserva", [no_show(4)])
+    run(feeds.sanction_no_show_stream, "reserva", AS_OF)
+    feed("reserva", [at(no_show(5), 30), at(no_show(4), 30), at(no_show(5), 30)])
+    run(feeds.sanction_no_show_stream, "reserva", AS_OF)
+    out = spark.read.parquet(f"{feed.out}/sancion_participante").select("ci_participante")
+    batch = propagation.sanctions_from_transitions(
+        demo, spark.createDataFrame([no_show(4), no_show(5)], CHANGES["reserva"]), AS_OF
+    ).sancion_participante
+    got = [r.ci_participante for r in out.collect()]
+    assert sorted(got) == sorted(r.ci_participante for r in batch.filter("id_sancion > 1").collect())
+
+
 def test_a_batch_run_again_writes_the_same(spark, demo, feed):
     """Losing the commit of the last batch makes the stream run it again."""
     import glob
