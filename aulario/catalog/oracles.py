@@ -43,7 +43,7 @@ FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
 VIEWS["sala"] = "SELECT nombre_sala, edificio, capacidad, tipo_sala FROM sala_k"
 VIEWS["turno"] = """
 SELECT CAST(i AS INTEGER) AS id_turno, CAST((7 + i) * 60 AS INTEGER) AS inicio_min,
-       CAST((8 + i) * 60 AS INTEGER) AS fin_min FROM range(1, 16) AS t(i)"""
+       CAST((8 + i) * 60 AS INTEGER) AS fin_min FROM (SELECT DISTINCT 1 + n_nationkey % 15 AS i FROM nation)"""
 VIEWS["reserva"] = """
 SELECT o.o_orderkey AS id_reserva, s.nombre_sala, s.edificio,
        DATE '2025-01-01' + CAST(o.o_orderkey % 60 AS INTEGER) AS fecha,
@@ -67,8 +67,8 @@ VIEWS["sancion"] = """
 SELECT o_orderkey AS id_sancion, lpad(CAST(o_custkey // 4 AS VARCHAR), 8, '0') AS ci_participante,
        DATE '2025-01-01' + CAST(o_orderkey % 97 AS INTEGER) AS fecha_inicio,
        DATE '2025-01-01' + CAST(o_orderkey % 97 + o_custkey % 40 AS INTEGER) AS fecha_fin,
-       o_orderstatus <> 'F' AS activa
-FROM orders WHERE o_orderkey % 10 = 0"""
+       o_orderstatus <> 'F' AND o_orderkey % 10 = 0 AS activa
+FROM orders"""
 VIEWS["notificacion"] = """
 SELECT event_id AS id_notificacion, lpad(CAST(user_id AS VARCHAR), 8, '0') AS ci_participante,
        event_type AS mensaje, ts AS fecha, value < 50 AS leida FROM events"""

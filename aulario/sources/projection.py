@@ -111,10 +111,11 @@ def sala_with_key(raw: StarSchema) -> DataFrame:
 
 
 def _turno(raw: StarSchema) -> DataFrame:
-    return raw.spark.range(1, _TURNOS + 1, numPartitions=1).select(
-        F.col("id").cast("int").alias("id_turno"),
-        ((F.col("id") + 7) * 60).cast("int").alias("inicio_min"),
-        ((F.col("id") + 8) * 60).cast("int").alias("fin_min"),
+    slot = (F.col("n_nationkey") % _TURNOS + 1).cast("int").alias("id")
+    return raw.nation.select(slot).distinct().select(
+        F.col("id").alias("id_turno"),
+        ((F.col("id") + 7) * 60).alias("inicio_min"),
+        ((F.col("id") + 8) * 60).alias("fin_min"),
     )
 
 
@@ -171,12 +172,12 @@ def _participation(raw: StarSchema, reserva: DataFrame) -> DataFrame:
 
 def _sancion(raw: StarSchema) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return raw.orders.filter(key % 10 == 0).select(
+    return raw.orders.select(
         key.alias("id_sancion"),
         padded(int_div(cust, F.lit(4))).alias("ci_participante"),
         day(key % 97).alias("fecha_inicio"),
         day(key % 97 + cust % 40).alias("fecha_fin"),
-        (F.col("o_orderstatus") != "F").alias("activa"),
+        ((F.col("o_orderstatus") != "F") & (key % 10 == 0)).alias("activa"),
     )
 
 

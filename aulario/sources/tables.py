@@ -17,15 +17,20 @@ from aulario.sources.schema import REQUESTS, TABLES
 MONTH = "mes"
 _BY_MONTH = ("reserva", "reserva_participante")
 CORRUPT = "_corrupt_record"
+#: Table of table names that completes a snapshot.
+MANIFEST = "manifest"
+_MANIFEST = T.StructType([T.StructField("tabla", T.StringType())])
 
 
 def load_tables(spark: SparkSession, path: str) -> Model:
     """The model stored as parquet folders under ``path``, with the declared schema.
 
-    The month folders do not show as a column; a filter on ``fecha`` reaches the files, which hold
+    Fails if the snapshot was not written to its end. The month folders do not show as a column; a filter on ``fecha`` reaches the files, which hold
     one month each and are skipped by their statistics.
     """
 
+    spark.read.schema(_MANIFEST).parquet(f"{path}/{MANIFEST}")
+
     def opener(name: str):
         columns = TABLES[name].fieldNames()
         return lambda m: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}").select(*columns)
@@ -42,7 +47,10 @@ def reserva_between(path: str, spark: SparkSession, first, last) -> DataFrame:
 
 
 def write_snapshot(t: Model, path: str) -> None:
-    """Write every table of the model as a new version; refuses to touch an existing one."""
+    """Write every table of the model as a new version; refuses to touch an existing one.
+
+    The list of tables is written last: a version without it broke off and does not load.
+    """
     month = F.date_format("fecha", "yyyy-MM")
     for name in t.names():
         table = getattr(t, name).select(*TABLES[name].fieldNames())
@@ -52,10 +60,13 @@ def write_snapshot(t: Model, path: str) -> None:
             months = t.reserva.select("id_reserva", month.alias(MONTH))
             # left: a row without its reservation is still state, in the default folder
             table = table.join(months, "id_reserva", "left").select(*TABLES[name].fieldNames(), MONTH)
-        writer = table.write.mode("errorifexists")
         if name in _BY_MONTH:
-            writer = writer.partitionBy(MONTH)
-        writer.parquet(f"{path}/{name}")
+            # a month goes to few tasks, so that few files make up its folder; big months are split
+            table.hint("rebalance", MONTH).write.mode("errorifexists").partitionBy(MONTH).parquet(f"{path}/{name}")
+        else:
+            table.write.mode("errorifexists").parquet(f"{path}/{name}")
+    written = t.spark.createDataFrame([(name,) for name in t.names()], _MANIFEST)
+    written.coalesce(1).write.mode("errorifexists").parquet(f"{path}/{MANIFEST}")
 
 
 def write_reports(t: Model, f: ReportFilter, out: str) -> None:

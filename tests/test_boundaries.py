@@ -351,3 +351,43 @@ def test_model_constraints_find_planted_violations(spark, demo):
         "unique:reserva(id_reserva)": 1, "reference:reserva(nombre_sala,edificio)": 1, "reference:reserva(id_turno)": 1,
         "domain:reserva(estado)": 1, "rule:seats": 2, "rule:people": 5, "unique:sala(nombre_sala,edificio)": 0,
     }
+
+
+# --- repeated keys in one batch --------------------------------------------------------------
+
+
+def test_a_pair_that_withdraws_twice_stays_one_row(spark, demo):
+    pairs = spark.createDataFrame([("48562347", 3), ("48562347", 3)], "ci string, id_reserva long")
+    out = changes.cancel_participation(demo, pairs, NINE)
+    assert out.model.reserva_participante.count() == demo.reserva_participante.count()
+    assert [r.verdict for r in out.verdicts.collect()] == ["accepted"] * 2
+
+
+def test_repeated_and_competing_edits_of_reservations(spark, demo):
+    edits = [(1, d(21), 1, "Activa"), (1, d(22), 1, "Activa"), (4, d(24), 5, "Activa"), (5, d(24), 5, "Activa")]
+    out = changes.modify_reservations(demo, spark.createDataFrame(edits, REQUESTS["edit"]), NINE)
+    rows = {r.id_reserva: r for r in out.model.reserva.collect()}
+    assert out.model.reserva.count() == demo.reserva.count() == len(rows)
+    assert rows[1].fecha == d(22)
+    same_room = (rows[4].nombre_sala, rows[4].edificio) == (rows[5].nombre_sala, rows[5].edificio)
+    held = {r.id_reserva: r.reason for r in out.verdicts.filter("id_reserva > 1").collect()}
+    assert held == {4: None, 5: "slot_taken" if same_room else None}
+
+
+def test_repeated_edits_of_a_room_keep_one_row(spark, demo):
+    room = demo.sala.first()
+    edits = [(1, room.nombre_sala, room.edificio, "7", "Libre"), (2, room.nombre_sala, room.edificio, "9", "docente")]
+    out = changes.edit_rooms(demo, spark.createDataFrame(edits, REQUESTS["room"]))
+    hit = out.model.sala.filter((F.col("nombre_sala") == room.nombre_sala) & (F.col("edificio") == room.edificio))
+    assert [(r.capacidad, r.tipo_sala) for r in hit.collect()] == [(9, "Docente")]
+    assert out.model.sala.count() == demo.sala.count()
+
+
+def test_case_does_not_matter_in_filters_and_domains(spark, demo):
+    base = reports.base(demo, reports.NO_FILTER)
+    for a, b in (("libre", "Libre"), ("POSGRADO", "Posgrado")):
+        one, two = (filters.report_filter(base, filters.ReportFilter(tipo_sala=x)).count() for x in (a, b))
+        assert one == two
+    batch = spark.createDataFrame([(1, "cancelada"), (2, "Sin asistencia"), (3, "Otra"), (4, None)], "i int, e string")
+    bad = quality.check_domain(batch, "e", ("Activa", "Cancelada", "Sin Asistencia"))
+    assert [r.i for r in bad.collect()] == [3]
