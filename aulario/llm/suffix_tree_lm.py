@@ -92,7 +92,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 def _transitions(docs: DataFrame, top: np.ndarray) -> np.ndarray:
     """How often each symbol follows each context in the training texts."""
     n, end = SYMBOLS ** (DEPTH + 1), int(np.searchsorted(top, END))
-    parts = 8
+    parts = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n, np.int32)
