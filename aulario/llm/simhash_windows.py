@@ -191,18 +191,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     listed = bags.select("*", F.posexplode(blocks("fingerprint")).alias("block", "value"))
     listed = listed.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _FLIPS.tolist())), lambda f: f.bitwiseXOR(F.col("value")))))
-    listed = listed.select(
-        "item_id", "size", "block", "value",
-        F.col("fingerprint").alias("item_fingerprint"), F.col("hashes").alias("item_hashes"), F.col("weights").alias("item_weights"),
-    )
+    listed = listed.select("item_id", "size", "block", "value", F.col("fingerprint").alias("item_fingerprint"))
     windows = _windows(docs, sizes, slots).select("*", F.posexplode(blocks("fingerprint")).alias("block", "value"))
-    pairs = windows.join(listed, ["size", "block", "value"])
+    # the list is thousands of times the items, which the planner does not see: no broadcast
+    pairs = windows.join(listed.hint("merge"), ["size", "block", "value"])
     apart = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     pairs = pairs.withColumn("apart", apart).withColumn("distance", F.bit_count("apart").cast("int")).filter(F.col("distance") <= RADIUS)
     # a pair that meets in several blocks counts in the first of them
     meets = F.transform(blocks("apart"), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
     pairs = pairs.filter(F.array_position(meets, True) == F.col("block") + 1)
-    found = _verified(pairs)
+    items = bags.select("item_id", F.col("hashes").alias("item_hashes"), F.col("weights").alias("item_weights"))
+    found = _verified(pairs.join(items, "item_id"))
     best = F.max_by(F.struct("start", "size", "distance"), F.struct("similarity", -F.col("start")))
     return (
         found.groupBy("doc_id", "item_id")
