@@ -7,23 +7,6 @@ from aulario.llm import divergence_rules as rules
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-SEEN_BYTES = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d),
-s AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM p WHERE i + 49 <= length(h) // 2),
-f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
-m AS (SELECT s.doc_id, s.i FROM s JOIN f USING (s) WHERE s.doc_id > f.first),
-e AS (SELECT p.doc_id, p.i, substr(p.h, 2 * p.i - 1, 2) AS b,
-             coalesce(bool_or(m.i IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
-      FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.i = m.i),
-r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM e),
-a AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(head) AS n_spans,
-             coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(a.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256
-FROM d LEFT JOIN a USING (doc_id)
-"""
-
 COMPONENTS = f"""
 WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
 d AS (SELECT doc_id, {_WORDS.format(text="t")} AS w FROM t),
@@ -100,7 +83,6 @@ FROM f
 """
 
 ORACLES: dict[str, str] = {
-    "op2_run_length_index": SEEN_BYTES,
     "op6_jaccard_join": COMPONENTS,
     "op8_fm_index": REPEATED_WORDS,
     "op10_divergence_rules": RULES,
