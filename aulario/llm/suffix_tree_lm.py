@@ -1,41 +1,48 @@
-"""Language-model scores from a probabilistic suffix tree over frequent tokens.
+"""Language-model scores from a probabilistic suffix tree over all words.
 
-Tokens are lower-cased words and one end per text. The tree's symbols are the ``SYMBOLS - 1`` most
-frequent tokens and one for all others; its nodes are contexts of up to ``DEPTH`` symbols. A context is
-retained if its next-symbol distribution diverges from that of the context one symbol shorter by more
+Tokens are lower-cased words and one end per text; every word is a symbol. The tree's nodes are contexts
+of up to ``DEPTH`` tokens, as many as the training texts have; what precedes a text is an end. A context is
+retained if its next-token distribution diverges from that of the context one token shorter by more
 than its free parameters pay for (twice the log-likelihood gain against parameters times log count).
 The distribution of a retained context is smoothed with ``PRIOR`` pseudo-counts of the shorter one's,
-down to the root, the unigram base; a text's symbols are scored by the longest retained suffix. Within
-the symbol for other tokens, a token has its share in the base. So the probabilities of a text's
-continuations sum to at most one, and the score differs from the base where contexts tell something.
+down to the root, the unigram base; a text's tokens are scored by the longest retained suffix. So the
+probabilities of a text's continuations sum to at most one.
 
-Counts of words are exact over all training texts: slices of texts send each word once with the texts
-that have it, dealt by the word's hash, and get partial sums per text back. The tree has at most
-``SYMBOLS ** (DEPTH + 1)`` counts, which bounds what reaches the driver and the workers.
+Counts are exact over all training texts. Slices of texts send each of their words once, dealt by its
+hash, and get its count and a number back. Then they deal every token with the two before it by the hash of the
+token before, which brings all of a context and of its extensions to one shard. There the contexts are
+counted and tested, and each text gets back the sum of what the tree adds to the log-probabilities of
+the base. Nothing but two totals reaches the driver. :func:`grow` is the same tree in dense form, for a
+small number of symbols; the tests hold the dealt one against it.
 
+A slice must come out the same when the table is read again, which is checked by a sum of its words.
 Null texts are empty: their only token is the end. A null id counts as the empty string in the folds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aulario.llm.text import flat, lower, shards, sliced, span_hashes, words
+from aulario.llm.text import SLICE_BYTES, flat, lower, shards, sliced, span_hashes, words
 from aulario.plans.staging import stage
 
+#: Symbols of the dense form, and the longest context of both.
 SYMBOLS, DEPTH = 192, 2
 PRIOR = 10.0
-#: A token is proposed as a symbol by a slice in which it is at least this share of the tokens.
-PROPOSED = 1 / 20_000
 END = np.uint64(0x0E4D)
 FOLDS, HELD_OUT = 5, 1
+#: Longer slices than elsewhere, as a word is sent once a slice, and just below a power of two for the hashes' tables.
+BYTES = 2 * SLICE_BYTES - 2
+#: Shards to a partition, so that a shard's contexts fit beside other workers.
+FINER = 2
 
-_HEAD = np.dtype([("id", "i8"), ("null", "u1"), ("held", "u1"), ("n", "i8"), ("other", "i8"), ("tree", "f8"), ("frequent", "f8")])
+_CODEC = pa.Codec("zstd", compression_level=1)
+_HEAD = np.dtype([("id", "i8"), ("null", "u1"), ("held", "u1"), ("n", "i8"), ("known", "i8"), ("base", "f8")])
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +55,6 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(span_hashes(data, starts, ends), after, END), np.insert(doc, after, texts)
 
 
-def _symbols(h: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Number of each token among ``top``, or the last number."""
-    if not len(top):
-        return np.full(len(h), SYMBOLS - 1)
-    at = np.minimum(np.searchsorted(top, h), len(top) - 1)
-    return np.where(top[at] == h, at, SYMBOLS - 1)
-
-
 def _states(symbols: np.ndarray, end: int) -> np.ndarray:
     """Number of (context, next symbol) at every place; what precedes a text is the end of another."""
     padded = np.concatenate([np.full(DEPTH, end), symbols])
@@ -74,55 +73,6 @@ def _states(symbols: np.ndarray, end: int) -> np.ndarray:
     return state
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, 1):
-                h, doc = _tokens(part)
-                train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)[doc]
-                u, c = np.unique(h[train], return_counts=True)
-                often = c >= PROPOSED * len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(c[often])], ["token", "n"])
-
-    counted = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("token") != int(END)).orderBy(F.desc("n"), "token").limit(SYMBOLS - 2).collect()
-    return np.sort(np.array([r["token"] for r in top] + [int(END)], np.int64).view(np.uint64))
-
-
-def _transitions(docs: DataFrame, top: np.ndarray) -> np.ndarray:
-    """How often each symbol follows each context in the training texts."""
-    n, end = SYMBOLS ** (DEPTH + 1), int(np.searchsorted(top, END))
-    parts = 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n, np.int32)
-        for batch in batches:
-            for part in sliced(batch, 1):
-                h, doc = _tokens(part)
-                train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)[doc]
-                u, c = np.unique(_states(_symbols(h, top), end)[train], return_counts=True)
-                counts[u] += c.astype(np.int32)
-        for p in range(parts):
-            own = counts[p::parts]
-            at = np.flatnonzero(own).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), pa.array([at.tobytes()]), pa.array([own[at].tobytes()])], ["part", "at", "n"]
-            )
-
-    def add(part: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(-(-n // parts), np.int64)
-        for a, c in zip(table["at"].to_pylist(), table["n"].to_pylist(), strict=True):
-            total[np.frombuffer(a, np.int32)] += np.frombuffer(c, np.int32)
-        at = np.flatnonzero(total)
-        return pa.table({"state": at * parts + part[0].as_py(), "n": total[at]})
-
-    summed = docs.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "state bigint, n bigint")
-    out = np.zeros(n, np.int64)
-    for batch in summed.toArrow().to_batches():  # at most SYMBOLS ** (DEPTH + 1) numbers
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return out
-
-
 def grow(counts: np.ndarray) -> np.ndarray:
     """Log10 probability of every (context, next symbol) by its longest retained suffix."""
     table = counts.reshape(-1, SYMBOLS).astype(np.float64)
@@ -140,125 +90,244 @@ def grow(counts: np.ndarray) -> np.ndarray:
     return np.log10(p).astype(np.float32).reshape(-1)
 
 
-_SLICE = "shard int, slice bigint, head binary, words binary, sizes binary, docs binary, times binary, train binary"
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
+
+
+def _pack(n: np.ndarray) -> bytes:
+    """Numbers from 0 on, compressed byte by byte of their places; high bytes that are mostly 0 cost little."""
+    width = max(1, (int(n.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(n.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(n), width], "<i8").tobytes() + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, "<i8", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(_CODEC.decompress(data[16:], n * width, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").reshape(-1)
+
+
+def _cuts(names: np.ndarray, n_shards: int) -> np.ndarray:
+    """Where the words of each shard begin, and the end."""
+    return np.searchsorted((names % np.uint64(n_shards)).astype(np.int64), np.arange(n_shards + 1))
 
 
-def _dealt(docs: DataFrame, top: np.ndarray, tree: np.ndarray, frequent: np.ndarray, n_shards: int) -> DataFrame:
-    """Per slice: one row with what is known of each text, and for each shard its words and who has them."""
-    held = docs.sparkSession.sparkContext.broadcast((top, tree, np.log10(frequent + 0.5)))
-    end = int(np.searchsorted(top, END))
-    names = [f.split()[0] for f in _SLICE.split(", ")]
+def _vocabulary(h: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words in order of their shards, and the number of each token among them."""
+    names, at = np.unique(h, return_inverse=True)
+    order = np.argsort(names % np.uint64(n_shards), kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    return names[order], place[at]
+
+
+def _mark(names: np.ndarray) -> int:
+    return int(names.sum(dtype=np.uint64).view(np.int64))
+
+
+_WORDS = "shard int, slice bigint, words binary, times binary"
+
+
+def _words(docs: DataFrame, n_shards: int) -> DataFrame:
+    """Each slice's words with how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, tree, base = held.value
         for batch in batches:
-            for part in sliced(batch, 1):
+            for part in sliced(batch, 1, BYTES):
                 h, doc = _tokens(part)
-                n = part.num_rows
-                symbols = _symbols(h, top)
-                known = symbols < SYMBOLS - 1
-                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-                head = np.zeros(n, _HEAD)
-                ids = part.column(0)
-                head["id"], head["null"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()).astype(np.uint8)
-                head["held"], head["n"] = 1 - train, np.bincount(doc, minlength=n)
-                head["tree"] = np.bincount(doc, tree[_states(symbols, end)].astype(np.float64), n)
-                head["frequent"] = np.bincount(doc, np.where(known, base[np.minimum(symbols, len(base) - 1)], 0.0), n)
-                head["other"] = np.bincount(doc, ~known, n)
-                key = part.column(3)[0].as_py()
-                order = np.lexsort((doc, h))
-                w, d = h[order], doc[order]
-                new = np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]))
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(w)))
-                w, d = w[at], d[at]
-                shard = (w % np.uint64(n_shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                w, d, times, shard = w[by], d[by], times[by], shard[by]
-                fits = len(w) == 0 or (n < 65536 and times.max() < 65536)
-                small = np.uint16 if fits else np.uint32
-                rows = [(int(key % n_shards), key, head.tobytes(), *[None] * 5)]
-                cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-                for i in range(n_shards):
-                    a, b = cuts[i], cuts[i + 1]
-                    if a < b:
-                        first = np.flatnonzero(np.append(True, w[a + 1 : b] != w[a : b - 1]))
-                        sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
-                        packed = (w[a:b][first], sizes, d[a:b].astype(small), times[a:b].astype(small), train)
-                        rows.append((i, key, None, *(x.tobytes() for x in packed)))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.mapInArrow(run, _SLICE)
-
-
-_PARTIAL = "slice bigint, head binary, docs binary, sums binary, known binary, n bigint, v bigint"
+                names, at = _vocabulary(h, n_shards)
+                train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)[doc]
+                times, cuts, key = np.bincount(at[train], minlength=len(names)), _cuts(names, n_shards), part.column(3)[0].as_py()
+                spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield _batch([(i, key, names[a:b].tobytes(), _pack(times[a:b])) for i, a, b in spans], _WORDS)
+
+    return docs.mapInArrow(run, _WORDS)
+
+
+_COUNTS = "slice bigint, shard int, ranks binary, counts binary, mark bigint, n bigint, v bigint"
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Exact counts of a shard's words, and the sums of each slice's texts over them."""
-    rows: list[tuple] = []
-    held = []
-    for r in table.select(["slice", "head", "words", "sizes", "docs", "times", "train"]).to_pylist():
-        if r["head"] is not None:
-            rows.append((r["slice"], r["head"], None, None, None, 0, 0))
-            continue
-        words_, sizes = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["sizes"], np.uint32)
-        small = np.uint16 if len(r["docs"]) == 2 * int(sizes.sum()) else np.uint32
-        held.append((r["slice"], words_, sizes, np.frombuffer(r["docs"], small), np.frombuffer(r["times"], small), np.frombuffer(r["train"], np.uint8)))
-    if held:
-        names, inverse = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
-        ends = np.cumsum([len(x[1]) for x in held])
-        count = np.zeros(len(names))
-        own = [np.repeat(inverse[e - len(x[1]) : e], x[2]) for x, e in zip(held, ends, strict=True)]
-        for w, (_, _, _, docs, times, train) in zip(own, held, strict=True):
-            count += np.bincount(w, times * train[docs], len(names))
-        logs = np.log10(count + 0.5)
-        for w, (key, _, _, docs, times, _) in zip(own, held, strict=True):
-            texts, at = np.unique(docs, return_inverse=True)
-            sums = np.bincount(at, times * logs[w], len(texts))
-            known = np.bincount(at, times * (count[w] > 0), len(texts)).astype(np.int64)
-            rows.append((key, None, texts.astype(np.uint32).tobytes(), sums.tobytes(), known.tobytes(), 0, 0))
-        key, *rest = rows[-1]
-        rows[-1] = (key, *rest[:-2], int(count.sum()), int((count > 0).sum()))
-    names = [f.split()[0] for f in _PARTIAL.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-    return pa.table({c: pa.array(v, k) for c, v, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+    """Counts over all training texts of a shard's words, and their ranks by them, in the order of each slice."""
+    rows = table.to_pylist()
+    held = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    names, at = np.unique(np.concatenate(held), return_inverse=True)
+    times = np.concatenate([_unpack(r["times"]) for r in rows])
+    count = np.bincount(at, times, len(names)).astype(np.int64)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(names))
+    ends, out = np.cumsum([len(w) for w in held]), []
+    for r, w, e in zip(rows, held, ends, strict=True):
+        first = r is rows[0]
+        n, v = (int(count.sum()), int((count > 0).sum())) if first else (0, 0)
+        own = at[e - len(w) : e]
+        out.append((r["slice"], r["shard"], _pack(rank[own]), _pack(count[own]), _mark(w), n, v))
+    return pa.Table.from_batches([_batch(out, _COUNTS)])
+
+
+_TEXTS = "slice bigint, shard int, ranks binary, counts binary, mark bigint, head binary, cuts binary, marks binary, tokens binary, stop bigint"
+
+
+def _texts(docs: DataFrame, n_shards: int) -> DataFrame:
+    """Each slice as one row: its texts, how its words are dealt, and its tokens as numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 1, BYTES):
+                h, doc = _tokens(part)
+                names, at = _vocabulary(h, n_shards)
+                ids, head = part.column(0), np.zeros(part.num_rows, _HEAD)
+                head["id"], head["null"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()).astype(np.uint8)
+                head["held"] = 1 - part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+                head["n"] = np.bincount(doc, minlength=part.num_rows)
+                cuts, stop = _cuts(names, n_shards), int(np.flatnonzero(names == END)[0])
+                marks = np.array([_mark(names[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                row = (part.column(3)[0].as_py(), *[None] * 4, head.tobytes(), _pack(cuts), marks.tobytes(), _pack(at), stop)
+                yield _batch([row], _TEXTS)
+
+    return docs.mapInArrow(run, _TEXTS)
+
+
+_DEALT = "shard int, slice bigint, head binary, words binary, counts binary, events binary, texts binary, sizes binary"
+
+
+def _dealing(n_shards: int, below: float) -> Callable[[pa.Table], pa.Table]:
+    """A slice's base scores, and its tokens by the shard of the token before."""
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["head"] is not None)
+        key, head, end = own["slice"], np.frombuffer(own["head"], _HEAD).copy(), own["stop"]
+        at, cuts, marks = _unpack(own["tokens"]), _unpack(own["cuts"]), np.frombuffer(own["marks"], np.int64)
+        count, ids = np.full(cuts[-1], -1), np.zeros(cuts[-1], np.int64)
+        for r in rows:
+            if r["counts"] is not None:
+                i = r["shard"]
+                if r["mark"] != marks[i]:
+                    raise RuntimeError("a slice of texts differs from the one whose words were counted")
+                count[cuts[i] : cuts[i + 1]] = _unpack(r["counts"])
+                ids[cuts[i] : cuts[i + 1]] = _unpack(r["ranks"]) * n_shards + i
+        if count.min() < 0:
+            raise RuntimeError("words of a slice of texts were not counted")
+        doc = np.repeat(np.arange(len(head)), head["n"])
+        logs = np.log10((count + 0.5) / below)
+        head["base"], head["known"] = np.bincount(doc, logs[at], len(head)), np.bincount(doc, count[at] > 0, len(head))
+        before = np.append(end, at[:-1])
+        second = np.concatenate([[end], before[:-1]])
+        second[np.cumsum(head["n"]) - head["n"]] = end
+        shard = (ids % n_shards).astype(np.int32)[before]
+        order = np.argsort(shard, kind="stable")
+        order = order[count[before[order]] > 0]  # a context that no training text has is not retained
+        ends = np.searchsorted(shard[order], np.arange(n_shards + 1))
+        number = np.empty(len(ids), np.int64)
+        out = [(int(key % n_shards), key, head.tobytes(), *[None] * 5)]
+        for i in range(n_shards):
+            e = order[ends[i] : ends[i + 1]]
+            if len(e):
+                event = np.concatenate([second[e], before[e], at[e]])
+                used = np.unique(event)
+                used = used[np.argsort(ids[used])]
+                number[used] = np.arange(len(used))
+                texts, sizes = np.unique(doc[e], return_counts=True)
+                texts = 2 * texts + 1 - head["held"][texts]
+                data = (np.diff(ids[used], prepend=0), count[used], number[event], texts, sizes)
+                out.append((i, key, None, *map(_pack, data)))
+        return pa.Table.from_batches([_batch(out, _DEALT)])
+
+    return deal
+
+
+def _retained(context: np.ndarray, n: np.ndarray, p: np.ndarray, contexts: int) -> np.ndarray:
+    """Probability of each (context, next token), given its count and that by the shorter context."""
+    total = np.bincount(context, n, contexts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.bincount(context, np.where(n > 0, n * np.log(n / total[context] / p), 0), contexts)
+    free = np.bincount(context, n > 0, contexts) - 1
+    kept = (free >= 0) & (2 * gain > free * np.log(np.maximum(total, 2)))
+    return np.where(kept[context], (n + PRIOR * p) / (total[context] + PRIOR), p)
+
+
+_SUMS = "slice bigint, head binary, texts binary, sums binary"
+
+
+def _growing(below: float) -> Callable[[pa.Table], pa.Table]:
+    """What the contexts of a shard add to the base scores of each slice's texts."""
+
+    def tree(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        held = []
+        for r in table.to_pylist():
+            if r["head"] is not None:
+                out.append((r["slice"], r["head"], None, None))
+                continue
+            w, count, event, texts, sizes = (_unpack(r[c]) for c in ("words", "counts", "events", "texts", "sizes"))
+            held.append((r["slice"], np.cumsum(w), count, event.astype(np.int32), texts, sizes))
+        if not held:
+            return pa.Table.from_batches([_batch(out, _SUMS)])
+        names, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+        count = np.zeros(len(names), np.int64)
+        count[at] = np.concatenate([x[2] for x in held])
+        at = at.astype(np.int32) if len(names) < 1 << 31 else at
+        stops = np.cumsum([len(x[1]) for x in held])
+        events, train = [], []
+        for (_, w, _, event, texts, sizes), stop in zip(held, stops, strict=True):
+            events.append(at[stop - len(w) : stop][event].reshape(3, -1))
+            train.append(np.repeat((texts & 1).astype(np.uint8), sizes))
+        (second, before, token), counted = np.concatenate(events, axis=1), np.concatenate(train)
+        held = [(key, texts, sizes) for key, _, _, _, texts, sizes in held]
+        del events, train
+        base = (count + 0.5) / below
+        pair, own = np.unique(before.astype(np.int64) * len(names) + token, return_inverse=True)
+        before, token = pair // len(names), pair % len(names)
+        p = _retained(before, np.bincount(own, counted, len(pair)), base[token], len(names))
+        own += second.astype(np.int64) * len(pair)
+        triple, own = np.unique(own, return_inverse=True)
+        second, pair = triple // len(pair), triple % len(pair)
+        context = np.unique(second * len(names) + before[pair], return_inverse=True)[1]
+        p = _retained(context, np.bincount(own, counted, len(triple)), p[pair], int(context.max()) + 1)
+        added = np.log10(p / base[token[pair]])[own]
+        first = 0
+        for key, texts, sizes in held:
+            last = first + int(sizes.sum())
+            sums = np.add.reduceat(added[first:last], np.cumsum(sizes) - sizes)
+            out.append((key, None, _pack(texts >> 1), sums.tobytes()))
+            first = last
+        return pa.Table.from_batches([_batch(out, _SUMS)])
+
+    return tree
 
 
 def _together(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     head = np.frombuffer(next(r["head"] for r in rows if r["head"] is not None), _HEAD)
-    sums, known = np.zeros(len(head)), np.zeros(len(head), np.int64)
+    score = head["base"].copy()
     for r in rows:
-        if r["docs"] is not None:
-            at = np.frombuffer(r["docs"], np.uint32)
-            sums[at] += np.frombuffer(r["sums"], np.float64)
-            known[at] += np.frombuffer(r["known"], np.int64)
+        if r["texts"] is not None:
+            score[_unpack(r["texts"])] += np.frombuffer(r["sums"], np.float64)
     ids = pa.array(head["id"], mask=head["null"].astype(bool))
-    columns = {"doc_id": ids, "held_out": pa.array(head["held"].astype(bool)), "n_tokens": head["n"], "n_known": known}
-    return pa.table({**columns, "sums": sums, "other": head["other"], "tree": head["tree"], "frequent": head["frequent"]})
+    columns = {"doc_id": ids, "held_out": pa.array(head["held"].astype(bool)), "n_tokens": head["n"], "n_known": head["known"]}
+    return pa.table({**columns, "base_score": head["base"], "score": score})
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Base and tree scores of every row; see the module for the model."""
-    n = shards(docs.sparkSession)
+    n = FINER * shards(docs.sparkSession)
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)) != HELD_OUT
     rows = docs.select("doc_id", "text", train.alias("train"), F.monotonically_increasing_id().alias("slice"))
-    top = _frequent(rows)
-    transitions = _transitions(rows, top)
-    frequent = transitions.reshape(-1, SYMBOLS).sum(0)
-    parts = stage(_dealt(rows, top, grow(transitions), frequent[: len(top)], n).groupBy("shard").applyInArrow(_counted, _PARTIAL), "op5-parts")
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    tokens, below = int(total["n"]), total["n"] + 0.5 * (total["v"] + 1)
-    rest = max(1.0 - (frequent[: len(top)] + 0.5).sum() / below, 0.5 / below)
-    scored = parts.groupBy("slice").applyInArrow(
-        _together,
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, sums double, other bigint, tree double, frequent double",
+    counts = stage(_words(rows, n).groupBy("shard").applyInArrow(_counted, _COUNTS), "op5-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    tokens, below = int(total["n"]), float(total["n"] + 0.5 * (total["v"] + 1))
+    texts = _texts(rows, n).unionByName(counts.drop("n", "v"), allowMissingColumns=True)
+    dealt = texts.groupBy("slice").applyInArrow(_dealing(n, below), _DEALT)
+    sums = dealt.groupBy("shard").applyInArrow(_growing(below), _SUMS)
+    scored = sums.groupBy("slice").applyInArrow(
+        _together, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     )
-    lost = float(np.log10(below))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("sums") - F.col("n_tokens") * lost).alias("base_score"),
-        (F.col("tree") + F.col("sums") - F.col("frequent") - F.col("other") * (lost + float(np.log10(rest)))).alias("score"),
-    )
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )

@@ -51,3 +51,27 @@ def test_distributions_sum_to_one(monkeypatch):
 
 def test_empty_table(documents):
     assert lm.score(documents(["x"]).limit(0)).count() == 0
+
+
+def test_dealt_tree_equals_the_dense_one_over_all_words(documents, monkeypatch):
+    texts = corpus(5, 150) + ["rare%d tells late%d" % (i % 40, i % 40) for i in range(400)]
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for t in texts]
+    held = [zlib.crc32(str(3 * i).encode()) % 5 == 1 for i in range(len(texts))]
+    number = {w: k for k, w in enumerate({w: 0 for ws, h in zip(words, held) if not h for w in ws})}
+    # every trained word is a symbol, and one more stands for any unknown word
+    monkeypatch.setattr(lm, "SYMBOLS", len(number) + 1)
+    states = [lm._states(np.array([number.get(w, len(number)) for w in ws]), number[None]) for ws in words]
+    counts = np.zeros(lm.SYMBOLS ** (lm.DEPTH + 1), np.int64)
+    for s, h in zip(states, held):
+        if not h:
+            np.add.at(counts, s, 1)
+    tree = lm.grow(counts)
+    for r in lm.score(documents(texts)).collect():
+        want = tree[states[r["doc_id"] // 3]].astype(float).sum()
+        assert abs(r["score"] - want) < 1e-5 * max(1, r["n_tokens"])
+
+
+def test_rare_words_keep_contexts(documents):
+    texts = ["rare%d late%d" % (i % 1000, i % 1000) for i in range(8000)]
+    rows = [r for r in lm.score(documents(texts)).collect() if r["held_out"]]
+    assert len(rows) > 1000 and sum(r["score"] > r["base_score"] + 2 for r in rows) > 0.95 * len(rows)
