@@ -541,6 +541,13 @@ SELECT p.ci_participante AS ci, b.id_reserva, b.nombre_sala, b.edificio, b.fecha
         WHERE x.confirmado AND x.id_reserva = b.id_reserva AND x.ci_participante <> p.ci_participante), '') AS otros
 FROM rp p JOIN base b USING (id_reserva) JOIN turno t USING (id_turno) JOIN confirmados c USING (id_reserva)
 WHERE p.confirmado AND b.estado = 'Activa'"""
+    o["vw06_rosters"] = """
+SELECT b.id_reserva, 0 AS pagina,
+       coalesce(string_agg(h.nombre || ' ' || h.apellido, '|' ORDER BY h.nombre || ' ' || h.apellido, h.ci), '') AS personas,
+       count(*) AS confirmados,
+       coalesce(string_agg(h.ci, '|' ORDER BY h.nombre || ' ' || h.apellido, h.ci), '') AS cis
+FROM base b JOIN rp p USING (id_reserva) LEFT JOIN participantes h ON h.ci = p.ci_participante
+WHERE p.confirmado AND b.estado = 'Activa' GROUP BY b.id_reserva"""
     o["vw07_active_reservations"] = """
 SELECT b.id_reserva, b.id_turno, b.fecha, t.inicio_min, t.fin_min, b.estado, b.nombre_sala, b.edificio, b.capacidad,
        count(p.ci_participante) AS ocupacion

@@ -136,6 +136,12 @@ on_model(
     "vw06_my_reservations",
     lambda t: listings.my_reservations(t).withColumn("otros", F.array_join("otros", "|")),
 )
+on_model(
+    "vw06_rosters",
+    lambda t: listings.roster_pages(t)
+    .withColumn("cis", F.array_join("personas.ci", "|"))
+    .withColumn("personas", F.array_join("personas.nombre_completo", "|")),
+)
 on_model("vw07_active_reservations", listings.active_reservations)
 on_model("vw08_reservation_detail", listings.reservation_detail)
 on_model("vw09_roster_all", lambda t: listings.roster(t, "all"))

@@ -122,7 +122,8 @@ def my_reservations(t: Model) -> DataFrame:
     ``otros`` lists the other confirmed people by name. No room seats more than 60, so a lawful
     reservation has one roster page and its list is complete. For an overfull reservation a list
     per person would grow with the square of its people: there ``otros`` is NULL, ``paginas`` is
-    above 1, and the names are the pages of :func:`roster_pages` with the same ``id_reserva``.
+    above 1, and the names are the pages of :func:`roster_pages` with the same ``id_reserva``, the
+    second output of this listing, which has the names of every reservation in one shape.
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA)
     rosters = roster_pages(t).groupBy("id_reserva").agg(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
 from demo_rows import table
@@ -124,6 +125,19 @@ def test_overfull_reservation_has_its_names_in_pages(spark, demo):
     assert ana.otros == ["Luis González"] and ana.confirmados == 2
 
 
+def test_names_of_an_overfull_reservation_are_registered(spark, demo):
+    crowd = [(f"2{k:07d}", f"N{k}", "X", f"{k}@x") for k in range(150)]
+    people = demo.participantes.unionByName(table(spark, "participantes", crowd))
+    rows = table(spark, "reserva_participante", [(c[0], 1, DAY0, False, True) for c in crowd])
+    t = demo.replace(participantes=people, reserva_participante=demo.reserva_participante.unionByName(rows))
+    with pytest.MonkeyPatch.context() as held:
+        held.setattr("aulario.catalog.queries.Batches", lambda *_: SimpleNamespace(model=t))
+        pages = QUERIES["vw06_rosters"](spark, "").filter("id_reserva = 1").collect()
+    cis = [ci for p in pages for ci in p.cis.split("|")]
+    assert len(pages) > 1 and len(cis) == len(set(cis)) == 153 == sum(p.confirmados for p in pages)
+    assert {c[0] for c in crowd} < set(cis) and all(len(p.personas.split("|")) == p.confirmados for p in pages)
+
+
 LAZY = [
     "flt4_open_slots", "vw06_my_reservations", "rp04_bookings_by_programme", "rp08_state_share", "wn3_island_summary",
     "ad1_bookings_self_snapshot", "ad2_bookings_admin_snapshot", "ad3_joins_snapshot", "sw2_sweep_blocks",
