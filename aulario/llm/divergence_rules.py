@@ -4,7 +4,9 @@ A text has two histograms: its characters by class, and its common words (lower-
 ``COMMON_LENGTH`` letters that are among the ``TOP_WORDS`` most frequent of the language, all other
 words being one bin). References are the same histograms over all documents of a language. A text is
 kept if the base rules pass and neither Jensen-Shannon distance exceeds its limit; a text too short
-for a histogram is not judged by it.
+for a histogram is not judged by it. The limit for words is a part of the distance that a text without
+any common word has from the reference, as no text without them can be further away. A text of which
+the reference expects too few common words strays that far by chance; it has the fixed limit.
 
 Only DataFrame functions are used. The histograms of a row are built inside the row, so that nothing
 but counts per language is shuffled; the features are written once to the shared folder.
@@ -29,6 +31,10 @@ TOP_WORDS = 40
 #: Fewest characters and words for which the two distances are judged, and their limits.
 GUARD_CHARS, GUARD_WORDS = 250, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+#: Part of the distance of a text without common words, and the expected common words from which it is the limit.
+WORD_PART, WORDS_EXPECTED = 0.83, 26
+#: Expected common words from which a judged text without any is rejected.
+NONE_EXPECTED = 12
 #: Parts into which the documents of one language are dealt when they meet its reference.
 SALTS = 256
 
@@ -167,13 +173,17 @@ def judge(docs: DataFrame) -> DataFrame:
     rest = F.greatest(F.lit(0.0), 1 - F.col("sums.p"))
     by_word = F.col("sums.d") + 0.5 * (F.col("ref_common") - F.col("sums.q")) + _term(rest, 1 - F.col("ref_common"))
     root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
+    expected = F.col("n_words") * F.col("ref_common")
+    farthest = root(0.5 * F.col("ref_common") + _term(F.lit(1.0), 1 - F.col("ref_common")))
+    limit = F.when(expected >= WORDS_EXPECTED, F.least(F.lit(MAX_WORD_DISTANCE), WORD_PART * farthest)).otherwise(MAX_WORD_DISTANCE)
+    without = (F.col("sums.p") == 0) & (expected >= NONE_EXPECTED)
+    far = (F.col("n_words") >= GUARD_WORDS) & (F.coalesce(without, F.lit(False)) | (root(by_word) > limit))
     f = f.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.col("chars") >= GUARD_CHARS, root(by_class)).alias("class_distance"),
         F.when(F.col("n_words") >= GUARD_WORDS, root(by_word)).alias("word_distance"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+        F.coalesce(far, F.lit(False)).alias("far"),
     )
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE
-    )
-    return f.withColumn("kept", ~F.col("base_failed") & near)
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & ~F.col("far")
+    return f.withColumn("kept", ~F.col("base_failed") & near).drop("far")

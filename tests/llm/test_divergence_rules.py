@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -73,6 +74,23 @@ def test_base_and_distances_equal_brute_force(documents):
     assert not rows[3 * (len(texts) - 2)]["kept"]
 
 
+def test_a_text_without_common_words_is_rejected_and_short_clean_ones_stay(documents):
+    rnd = random.Random(7)
+    rare = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4))
+    common = ["the", "of", "and", "to", "in", "is", "it", "was", "for", "on"]
+    clean = [" ".join(rnd.choice(common) if rnd.random() < 0.27 else rare() for _ in range(n)) for n in [60] * 100 + [120] * 100 + [400] * 100]
+    lists = [" | ".join(rare() for _ in range(n)) for n in [60, 120, 400]]
+    rows = {r["doc_id"]: r for r in dr.judge(documents(clean + lists)).collect()}
+    assert sum(rows[3 * i]["kept"] for i in range(len(clean))) >= 0.99 * len(clean)
+    lists = [rows[3 * (len(clean) + i)] for i in range(len(lists))]
+    assert not any(r["kept"] or r["base_failed"] for r in lists)
+    words = [" ".join(rare() for _ in range(n)) for n in [60, 120, 400]]
+    rows = {r["doc_id"]: r for r in dr.judge(documents(clean + words)).collect()}
+    words = [rows[3 * (len(clean) + i)] for i in range(len(words))]
+    assert not any(r["kept"] or r["base_failed"] for r in words)
+    assert all((r["class_distance"] or 0) <= dr.MAX_CLASS_DISTANCE and r["word_distance"] <= dr.MAX_WORD_DISTANCE for r in words)
+
+
 def test_no_python_in_the_plan_and_empty_table(documents):
     df = dr.judge(documents(["x"]).limit(0))
     assert df.count() == 0
