@@ -73,12 +73,17 @@ k AS (SELECT b.doc_id, sum({_term("(coalesce(u.n, 0) / b.n_words)", "q.q")}) AS
       FROM b JOIN q USING (lang) LEFT JOIN u ON u.doc_id = b.doc_id AND u.x = q.x WHERE b.n_words > 0 GROUP BY b.doc_id),
 j AS (SELECT b.doc_id, b.n_words, b.word_chars, b.symbol AS n_symbols, b.n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words,
              CASE WHEN b.chars >= {rules.GUARD_CHARS} THEN sqrt(greatest(0, {_BY_CLASS})) ELSE 0 END AS dc,
-             CASE WHEN b.n_words >= {rules.GUARD_WORDS} THEN sqrt(greatest(0, k.d + {_term("greatest(0, 1 - k.p)", "(1 - k.q)")})) ELSE 0 END AS dw
+             CASE WHEN b.n_words >= {rules.GUARD_WORDS} THEN sqrt(greatest(0, k.d + {_term("greatest(0, 1 - k.p)", "(1 - k.q)")})) ELSE 0 END AS dw,
+             b.n_words >= {rules.GUARD_WORDS} AND k.p = 0 AND b.n_words * k.q >= {rules.NONE_EXPECTED} AS without,
+             CASE WHEN b.n_words * k.q >= {rules.WORDS_EXPECTED} THEN least({rules.MAX_WORD_DISTANCE},
+                  {rules.WORD_PART} * sqrt(greatest(0, 0.5 * k.q + {_term("1.0", "(1 - k.q)")})))
+                  ELSE {rules.MAX_WORD_DISTANCE} END AS word_limit
       FROM b JOIN r USING (lang) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
 f AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM j)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(dc, 0) <= {rules.MAX_CLASS_DISTANCE} AND coalesce(dw, 0) <= {rules.MAX_WORD_DISTANCE} AS kept
+       NOT base_failed AND coalesce(dc, 0) <= {rules.MAX_CLASS_DISTANCE} AND coalesce(dw, 0) <= word_limit
+       AND NOT coalesce(without, false) AS kept
 FROM f
 """
 

@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 def test_matches_sql(spark, name):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW documents AS FROM '{SF_DIR}/documents.parquet'")
-        want = con.execute(ORACLES[name]).to_arrow_table()
+        want = con.sql(ORACLES[name]).to_arrow_table()
     got = QUERIES[name](spark, SF_DIR).toArrow()
     assert sorted(got.column_names) == sorted(want.column_names)
     columns = sorted(got.column_names)

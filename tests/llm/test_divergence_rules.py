@@ -23,7 +23,7 @@ def base(t):
 
 
 def distances(texts, langs):
-    """Both Jensen-Shannon distances of every text, by loops."""
+    """Both Jensen-Shannon distances of every text, its word limit and whether it has no common word, by loops."""
     marks, out = ".,;:!?'\"()-_/@+=~^{}[]", []
     classes, common = {}, {}
     own = []
@@ -45,6 +45,7 @@ def distances(texts, langs):
     for (c, s, n), lang in zip(own, langs):
         chars, all_chars = sum(c.values()), sum(classes[lang].values())
         by_class = by_word = None
+        limit, without = dr.MAX_WORD_DISTANCE, False
         if chars >= dr.GUARD_CHARS:
             by_class = math.sqrt(max(0, sum(term(c[k] / chars, classes[lang][k] / all_chars) for k in dr.CLASSES)))
         if n >= dr.GUARD_WORDS:
@@ -54,7 +55,12 @@ def distances(texts, langs):
             d = sum(term(s[k] / n, q[k]) for k in q)
             d += term(max(0, 1 - sum(s[k] for k in q) / n), 1 - sum(q.values()))
             by_word = math.sqrt(max(0, d))
-        out.append((by_class, by_word))
+            expected = n * sum(q.values())
+            if expected >= dr.WORDS_EXPECTED:
+                farthest = math.sqrt(max(0, sum(term(0, x) for x in q.values()) + term(1, 1 - sum(q.values()))))
+                limit = min(limit, dr.WORD_PART * farthest)
+            without = expected >= dr.NONE_EXPECTED and not any(s[k] for k in q)
+        out.append((by_class, by_word, limit, without))
     return out
 
 
@@ -63,13 +69,13 @@ def test_base_and_distances_equal_brute_force(documents):
     langs = [("en", "de", None)[i % 3] for i in range(len(texts))]
     rows = {r["doc_id"]: r for r in dr.judge(documents(texts, langs)).collect()}
     assert len(rows) == len(texts)
-    for i, (t, (c, w)) in enumerate(zip(texts, distances(texts, langs))):
+    for i, (t, (c, w, limit, without)) in enumerate(zip(texts, distances(texts, langs))):
         r = rows[3 * i]
         got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])
         assert got == base(t), t
         for x, y in ((r["class_distance"], c), (r["word_distance"], w)):
             assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
-        good = (c is None or c <= dr.MAX_CLASS_DISTANCE) and (w is None or w <= dr.MAX_WORD_DISTANCE)
+        good = (c is None or c <= dr.MAX_CLASS_DISTANCE) and (w is None or w <= limit) and not without
         assert r["kept"] == (good and not r["base_failed"])
     assert not rows[3 * (len(texts) - 2)]["kept"]
 
