@@ -87,8 +87,44 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+# CRC-32 by its table of 256 entries, over the bytes of "<doc_id>:<run>" (code points up to U+00FF).
+_CRC = """list_reduce(list_prepend(4294967295, {bytes}), lambda a, b: xor(a >> 8, k[1 + CAST(xor(a, b) & 255 AS INTEGER)]))"""
+_TABLE = (
+    "SELECT list(c ORDER BY i) AS k FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), "
+    "lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) t(i))"
+)
+_BYTES = (
+    "flatten(list_transform(string_split(concat(doc_id, ':', r), ''), "
+    "lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] "
+    "ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))"
+)
+
+VARIANTS = f"""
+WITH RECURSIVE k AS ({_TABLE}),
+o AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+      WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT r, n, CASE WHEN doc_id IS NOT NULL THEN xor({_CRC.format(bytes=_BYTES)}, 4294967295) END AS h FROM o, k),
+d AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(r, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) + 2 AS INTEGER))
+      ELSE r END AS word FROM h),
+w AS (SELECT word, sum(n) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT x.word, w.word, w.n FROM x JOIN w ON w.word = x.less
+      UNION SELECT w.word, x.word, x.n FROM x JOIN w ON w.word = x.less),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS m, arg_min(near, (-near_n, near)) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN b.best END AS form,
+             CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n FROM w LEFT JOIN b USING (word)),
+r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN e USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op6_jaccard_join": COMPONENTS,
     "op8_fm_index": REPEATED_WORDS,
     "op10_divergence_rules": RULES,
+    "op11_spelling_index": VARIANTS,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from aulario.llm import (
@@ -15,8 +16,11 @@ from aulario.llm import (
     jaccard_join,
     language_masks,
     min_cut_blocks,
+    periodic_runs,
+    piece_agenda,
     run_length_index,
     simhash_windows,
+    spelling_index,
     suffix_tree_lm,
     token_counts,
 )
@@ -69,6 +73,26 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("class_distance", "word_distance")
 
 
+def op11_spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_index.vocabulary(table(spark, sf_dir, "documents"), drop_every=spelling_index.DROP_EVERY)
+    return spelling_index.group(words)
+
+
+def op12_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_agenda.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.runs(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,6 +110,9 @@ QUERIES: dict[str, Query] = {
         op8_fm_index,
         op9_token_counts,
         op10_divergence_rules,
+        op11_spelling_index,
+        op12_piece_agenda,
+        op13_periodic_runs,
         pipeline,
     )
 }

@@ -22,4 +22,4 @@ def test_matches_sql(spark, name):
 
 
 def test_queries_are_registered_under_their_numbers():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10 and "pipeline" in QUERIES
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13 and "pipeline" in QUERIES
