@@ -146,25 +146,42 @@ FROM rp p JOIN reserva r USING (id_reserva) WHERE r.estado = 'Activa'"""
 
 _VERDICT = "CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict"
 
-VIEWS["ad1"] = f"""
-SELECT request_id, ci, CASE
+
+
+def _before(x: str, condition: str) -> str:
+    """Requests granted before request q, as a source to count."""
+    return f"FROM {x}_dado g WHERE {condition} AND (g.request_ts, g.request_id) < (q.request_ts, q.request_id)"
+
+
+_SAME_SLOT = "g.nombre_sala = q.nombre_sala AND g.edificio = q.edificio AND g.fecha = q.fecha AND g.id_turno = q.id_turno"
+_DAY_USE = "(SELECT count(*) FROM uso u WHERE u.ci = q.ci AND u.fecha = q.fecha)"
+_WEEK_USE = f"(SELECT count(*) FROM uso u WHERE u.ci = q.ci AND u.fecha BETWEEN {MONDAY} AND {SUNDAY})"
+_SUNDAY_USE = """(SELECT count(*) FROM uso u WHERE u.ci = q.ci
+       AND u.anio = year(q.fecha) AND u.semana = CAST(strftime(q.fecha, '%U') AS INTEGER))"""
+
+
+def _ad1(taken: str = "false", day: str = "0", week: str = "0") -> str:
+    return f"""
+SELECT request_id, request_ts, ci, nombre_sala, edificio, fecha, id_turno, rol, CASE
   WHEN EXISTS (FROM sancionado z WHERE z.ci = q.ci) THEN 'sanctioned'
   WHEN fecha < {TODAY} THEN 'past_date'
   WHEN fecha = {TODAY} AND inicio_min IS NULL THEN 'unknown_turno'
   WHEN fecha = {TODAY} AND fecha + to_minutes(inicio_min) < {NOW} THEN 'turno_started'
   WHEN EXISTS (FROM reserva r WHERE r.estado = 'Activa' AND r.nombre_sala = q.nombre_sala AND r.edificio = q.edificio
-               AND r.fecha = q.fecha AND r.id_turno = q.id_turno) THEN 'slot_taken'
+               AND r.fecha = q.fecha AND r.id_turno = q.id_turno) OR {taken} THEN 'slot_taken'
   WHEN rol IS NULL THEN 'no_type'
   WHEN tipo_sala IS NULL THEN 'unknown_room'
   WHEN tipo_sala = 'Docente' AND rol <> 'Docente' THEN 'room_for_docentes'
   WHEN tipo_sala = 'Posgrado' AND NOT (rol = 'Estudiante' AND tipo = 'Posgrado') THEN 'room_for_posgrado'
-  WHEN rol = 'Estudiante' AND (SELECT count(*) FROM uso u WHERE u.ci = q.ci AND u.fecha = q.fecha) >= 2 THEN 'daily_limit'
-  WHEN rol = 'Estudiante' AND (SELECT count(*) FROM uso u WHERE u.ci = q.ci AND u.fecha BETWEEN {MONDAY} AND {SUNDAY}) >= 3
-    THEN 'weekly_limit'
+  WHEN rol = 'Estudiante' AND {_DAY_USE} + {day} >= 2 THEN 'daily_limit'
+  WHEN rol = 'Estudiante' AND {_WEEK_USE} + {week} >= 3 THEN 'weekly_limit'
   WHEN inicio_min IS NULL THEN 'unknown_turno' END AS reason
 FROM q_booking q LEFT JOIN persona USING (ci) LEFT JOIN turno USING (id_turno) LEFT JOIN sala USING (nombre_sala, edificio)"""
-VIEWS["ad2"] = f"""
-SELECT request_id, request_ts, ci, nombre_sala, edificio, fecha, id_turno, CASE
+
+
+def _ad2(taken: str = "false", day: str = "0", week: str = "0") -> str:
+    return f"""
+SELECT request_id, request_ts, ci, nombre_sala, edificio, fecha, id_turno, rol, tipo, CASE
   WHEN fecha < {TODAY} THEN 'past_date'
   WHEN fecha = {TODAY} AND fecha + to_minutes(inicio_min) <= {NOW} THEN 'turno_started'
   WHEN NOT regexp_full_match(ci, '[0-9]{{7,8}}') THEN 'bad_ci'
@@ -174,43 +191,127 @@ SELECT request_id, request_ts, ci, nombre_sala, edificio, fecha, id_turno, CASE
   WHEN tipo_sala = 'Docente' AND rol <> 'Docente' THEN 'room_for_docentes'
   WHEN tipo_sala = 'Posgrado' AND NOT (rol = 'Estudiante' AND tipo = 'Posgrado') THEN 'room_for_posgrado'
   WHEN EXISTS (FROM sancionado z WHERE z.ci = q.ci) THEN 'sanctioned'
-  WHEN rol = 'Estudiante' AND tipo = 'Grado' AND (SELECT count(*) FROM uso u WHERE u.ci = q.ci AND u.fecha = q.fecha) >= 2
-    THEN 'daily_limit'
-  WHEN rol = 'Estudiante' AND tipo = 'Grado' AND (SELECT count(*) FROM uso u WHERE u.ci = q.ci
-       AND u.anio = year(q.fecha) AND u.semana = CAST(strftime(q.fecha, '%U') AS INTEGER)) >= 3 THEN 'weekly_limit'
+  WHEN rol = 'Estudiante' AND tipo = 'Grado' AND {_DAY_USE} + {day} >= 2 THEN 'daily_limit'
+  WHEN rol = 'Estudiante' AND tipo = 'Grado' AND {_SUNDAY_USE} + {week} >= 3 THEN 'weekly_limit'
   WHEN EXISTS (FROM reserva r WHERE r.estado = 'Activa' AND r.nombre_sala = q.nombre_sala AND r.edificio = q.edificio
-               AND r.fecha = q.fecha AND r.id_turno = q.id_turno) THEN 'slot_taken'
+               AND r.fecha = q.fecha AND r.id_turno = q.id_turno) OR {taken} THEN 'slot_taken'
   WHEN inicio_min IS NULL THEN 'unknown_turno' END AS reason
 FROM q_booking q LEFT JOIN persona USING (ci) LEFT JOIN turno USING (id_turno) LEFT JOIN sala USING (nombre_sala, edificio)"""
-VIEWS["ad3"] = f"""
-SELECT q.request_id, q.ci, q.id_reserva, p.ci_participante IS NOT NULL AS fila, CASE
+_JOIN_DAY_USE = "(SELECT count(*) FROM uso u WHERE u.confirmado AND u.ci = q.ci AND u.fecha = b.fecha)"
+_JOIN_WEEK_USE = f"(SELECT count(*) FROM uso u WHERE u.confirmado AND u.ci = q.ci AND u.fecha BETWEEN {MONDAY} AND {SUNDAY})"
+
+
+def _ad3(there: str = "false", seats: str = "0", day: str = "0", week: str = "0") -> str:
+    return f"""
+SELECT q.request_id, q.request_ts, q.ci, q.id_reserva, b.fecha, b.capacidad, h.rol, p.ci_participante IS NOT NULL AS fila, CASE
   WHEN b.estado IS NULL OR b.estado <> 'Activa' THEN 'not_active'
   WHEN EXISTS (FROM sancionado z WHERE z.ci = q.ci) THEN 'sanctioned'
   WHEN b.tipo_sala = 'Posgrado' AND h.rol = 'Estudiante' THEN 'room_for_posgrado'
   WHEN b.tipo_sala = 'Docente' AND h.rol IS DISTINCT FROM 'Docente' THEN 'room_for_docentes'
-  WHEN p.confirmado THEN 'already_confirmed'
-  WHEN coalesce(c.n, 0) >= b.capacidad THEN 'full'
-  WHEN h.rol = 'Estudiante' AND (SELECT count(*) FROM uso u WHERE u.confirmado AND u.ci = q.ci AND u.fecha = b.fecha) >= 2
-    THEN 'daily_limit'
-  WHEN h.rol = 'Estudiante' AND (SELECT count(*) FROM uso u WHERE u.confirmado AND u.ci = q.ci
-       AND u.fecha BETWEEN {MONDAY} AND {SUNDAY}) >= 3 THEN 'weekly_limit' END AS reason
+  WHEN p.confirmado OR {there} THEN 'already_confirmed'
+  WHEN coalesce(c.n, 0) + {seats} >= b.capacidad THEN 'full'
+  WHEN h.rol = 'Estudiante' AND {_JOIN_DAY_USE} + {day} >= 2 THEN 'daily_limit'
+  WHEN h.rol = 'Estudiante' AND {_JOIN_WEEK_USE} + {week} >= 3 THEN 'weekly_limit' END AS reason
 FROM q_join q LEFT JOIN base b ON b.id_reserva = q.id_reserva LEFT JOIN persona h ON h.ci = q.ci
 LEFT JOIN confirmados c ON c.id_reserva = q.id_reserva
 LEFT JOIN rp p ON p.ci_participante = q.ci AND p.id_reserva = q.id_reserva"""
-VIEWS["ad4"] = """
-SELECT q.request_id, q.ci, CASE
+
+
+def _ad4(there: str = "false", seats: str = "0") -> str:
+    return f"""
+SELECT q.request_id, q.request_ts, q.ci, q.id_reserva, b.capacidad, CASE
   WHEN b.estado IS NULL THEN 'unknown_reservation'
   WHEN b.estado <> 'Activa' THEN 'not_active'
-  WHEN NOT regexp_full_match(q.ci, '[0-9]{7,8}') THEN 'bad_ci'
+  WHEN NOT regexp_full_match(q.ci, '[0-9]{{7,8}}') THEN 'bad_ci'
   WHEN q.ci NOT IN (SELECT ci FROM participantes) THEN 'unknown_participant'
   WHEN h.rol IS NULL THEN 'no_programme'
   WHEN b.tipo_sala = 'Docente' AND h.rol <> 'Docente' THEN 'room_for_docentes'
   WHEN b.tipo_sala = 'Posgrado' AND NOT (h.rol = 'Estudiante' AND h.tipo = 'Posgrado') THEN 'room_for_posgrado'
   WHEN EXISTS (FROM sancionado z WHERE z.ci = q.ci) THEN 'sanctioned'
-  WHEN (SELECT count(*) FROM rp WHERE rp.id_reserva = q.id_reserva) >= b.capacidad THEN 'full'
-  WHEN EXISTS (FROM rp WHERE rp.id_reserva = q.id_reserva AND rp.ci_participante = q.ci) THEN 'already_present' END AS reason
+  WHEN (SELECT count(*) FROM rp WHERE rp.id_reserva = q.id_reserva) + {seats} >= b.capacidad THEN 'full'
+  WHEN EXISTS (FROM rp WHERE rp.id_reserva = q.id_reserva AND rp.ci_participante = q.ci) OR {there} THEN 'already_present' END AS reason
 FROM q_join q LEFT JOIN base b ON b.id_reserva = q.id_reserva LEFT JOIN persona h ON h.ci = q.ci"""
 
+
+VIEWS |= {"ad1": _ad1(), "ad2": _ad2(), "ad3": _ad3(), "ad4": _ad4()}
+
+# --- the same requests one after the other ---------------------------------------------------
+# Requests no rule refuses outright are folded in order: a state of units used per resource, a row
+# '#' with the number of the last request, and a row 'g' per grant. One request is looked at a step.
+
+
+def _unit(key: str, free: str, uses: str = "true", bound: str = "true") -> str:
+    return f"{{'k': CASE WHEN {bound} THEN concat({key}) END, 'free': CAST({free} AS BIGINT), 'uses': {uses}}}"
+
+
+def _one_by_one(x: str, units: list[str]) -> None:
+    VIEWS[f"{x}_pedido"] = f"""
+SELECT row_number() OVER (ORDER BY request_ts, request_id) AS n, request_id,
+       list_filter([{", ".join(units)}], lambda c: c.k IS NOT NULL) AS claves FROM {x}_uso q"""
+    VIEWS[f"{x}_turnos"] = f"""
+SELECT '#' AS k, CAST(0 AS BIGINT) AS usado, CAST(0 AS BIGINT) AS n
+UNION
+SELECT e.k, e.usado, v.n FROM (
+  SELECT p.n, p.request_id, bool_and(coalesce(f.usado, 0) < c.free) AS dado,
+         list({{'k': c.k, 'usado': coalesce(f.usado, 0) + 1}}) FILTER (c.uses) AS toma
+  FROM {x}_turnos w JOIN {x}_pedido p ON w.k = '#' AND p.n = w.n + 1, unnest(p.claves) AS t(c)
+  LEFT JOIN recurring.{x}_turnos f ON f.k = c.k GROUP BY ALL) v,
+  unnest(list_concat([{{'k': '#', 'usado': CAST(0 AS BIGINT)}}],
+    CASE WHEN v.dado THEN list_prepend({{'k': concat('g', v.request_id), 'usado': CAST(1 AS BIGINT)}}, v.toma) END)) AS s(e)"""
+    HEADS[f"{x}_turnos"] = "(k, usado, n) USING KEY (k)"
+    VIEWS[f"{x}_dado"] = f"SELECT * FROM {x} WHERE concat('g', request_id) IN (SELECT k FROM {x}_turnos)"
+
+
+HEADS: dict[str, str] = {}
+_SLOT_UNIT = _unit("'s|', nombre_sala, '|', edificio, '|', fecha, '|', id_turno", "1")
+_DAY_UNIT = "'d|', ci, '|', fecha"
+VIEWS["ad1_uso"] = f"SELECT q.*, {_DAY_USE} AS dia, {_WEEK_USE} AS sem FROM ad1 q WHERE reason IS NULL"
+_one_by_one("ad1", [
+    _SLOT_UNIT,
+    _unit(_DAY_UNIT, "2 - dia", bound="rol = 'Estudiante'"),
+    _unit("'w|', ci", "3 - sem", f"fecha BETWEEN {MONDAY} AND {SUNDAY}", "rol = 'Estudiante'"),
+])
+VIEWS["ad2_uso"] = f"SELECT q.*, {_DAY_USE} AS dia, {_SUNDAY_USE} AS sem FROM ad2 q WHERE reason IS NULL"
+_GRADO = "rol = 'Estudiante' AND tipo = 'Grado'"
+_one_by_one("ad2", [
+    _SLOT_UNIT,
+    _unit(_DAY_UNIT, "2 - dia", bound=_GRADO),
+    _unit("'w|', ci, '|', year(fecha), '|', strftime(fecha, '%U')", "3 - sem", bound=_GRADO),
+])
+VIEWS["ad3_uso"] = f"""
+SELECT q.*, {_JOIN_DAY_USE.replace("b.fecha", "q.fecha")} AS dia, {_JOIN_WEEK_USE} AS sem,
+       coalesce((SELECT n FROM confirmados c WHERE c.id_reserva = q.id_reserva), 0) AS gente FROM ad3 q WHERE reason IS NULL"""
+_one_by_one("ad3", [
+    _unit("'f|', ci, '|', id_reserva", "1"),
+    _unit("'r|', id_reserva", "capacidad - gente"),
+    _unit(_DAY_UNIT, "2 - dia", bound="rol = 'Estudiante'"),
+    _unit("'w|', ci", "3 - sem", f"fecha BETWEEN {MONDAY} AND {SUNDAY}", "rol = 'Estudiante'"),
+])
+VIEWS["ad4_uso"] = """
+SELECT q.*, (SELECT count(*) FROM rp WHERE rp.id_reserva = q.id_reserva) AS gente FROM ad4 q WHERE reason IS NULL"""
+_one_by_one("ad4", [_unit("'f|', ci, '|', id_reserva", "1"), _unit("'r|', id_reserva", "capacidad - gente")])
+
+
+def _count(x: str, condition: str) -> str:
+    return f"(SELECT count(*) {_before(x, condition)})"
+
+
+_SAME_DAY = "g.ci = q.ci AND g.fecha = {}"
+_SAME_WEEK = f"g.ci = q.ci AND g.fecha BETWEEN {MONDAY} AND {SUNDAY}"
+_SAME_SUNDAY_WEEK = "g.ci = q.ci AND year(g.fecha) = year(q.fecha) AND strftime(g.fecha, '%U') = strftime(q.fecha, '%U')"
+_SAME_ROW = "g.ci = q.ci AND g.id_reserva = q.id_reserva"
+VIEWS["ad1_seguido"] = _ad1(
+    f"EXISTS ({_before('ad1', _SAME_SLOT)})", _count("ad1", _SAME_DAY.format("q.fecha")), _count("ad1", _SAME_WEEK)
+)
+VIEWS["ad2_seguido"] = _ad2(
+    f"EXISTS ({_before('ad2', _SAME_SLOT)})", _count("ad2", _SAME_DAY.format("q.fecha")), _count("ad2", _SAME_SUNDAY_WEEK)
+)
+VIEWS["ad3_seguido"] = _ad3(
+    f"EXISTS ({_before('ad3', _SAME_ROW)})", _count("ad3", "g.id_reserva = q.id_reserva"),
+    _count("ad3", _SAME_DAY.format("b.fecha")), _count("ad3", _SAME_WEEK),
+)
+VIEWS["ad4_seguido"] = _ad4(f"EXISTS ({_before('ad4', _SAME_ROW)})", _count("ad4", "g.id_reserva = q.id_reserva"))
+
 VIEWS["isla_fila"] = """
 SELECT *, CASE WHEN lag(fin_min) OVER dia = inicio_min THEN 0 ELSE 1 END AS comienza_bloque
 FROM (SELECT r.id_reserva, r.fecha, r.nombre_sala, r.edificio, r.id_turno, t.inicio_min, t.fin_min
@@ -413,8 +514,8 @@ def statement(body: str) -> str:
                 visit(VIEWS[word])
 
     visit(body)
-    ctes = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in VIEWS.items() if name in needed)
-    return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
+    ctes = ",\n".join(f"{name}{HEADS.get(name, '')} AS ({sql.strip()})" for name, sql in VIEWS.items() if name in needed)
+    return f"WITH {'RECURSIVE ' if needed & HEADS.keys() else ''}{ctes}\n{body.strip()}" if ctes else body.strip()
 
 
 def _rank(column: str, total: str) -> str:
@@ -611,21 +712,31 @@ GROUP BY ci_participante, tramo"""
     o["ad3_joins_snapshot"] = f"""SELECT request_id, ci, {_VERDICT}, reason,
        CASE WHEN reason IS NULL THEN CASE WHEN fila THEN 'reactivate' ELSE 'insert' END END AS action FROM ad3"""
     o["ad4_adds_admin_snapshot"] = f"SELECT request_id, ci, {_VERDICT}, reason FROM ad4"
+    for n, name in enumerate(("bookings_self", "bookings_admin", "joins", "adds_admin"), start=1):
+        extra = ", CASE WHEN reason IS NULL THEN CASE WHEN fila THEN 'reactivate' ELSE 'insert' END END AS action" if n == 3 else ""
+        o[f"ad{n}_{name}_sequential"] = f"SELECT request_id, ci, {_VERDICT}, reason{extra} FROM ad{n}_seguido"
     o["ad5_quota_day"] = "SELECT ci, fecha, count(*) AS bloques FROM uso GROUP BY ALL"
     o["ad5_quota_day_confirmed"] = "SELECT ci, fecha, count(*) AS bloques FROM uso WHERE confirmado GROUP BY ALL"
     o["ad5_quota_week_monday"] = "SELECT ci, lunes AS semana_inicio, count(*) AS cantidad FROM uso WHERE confirmado GROUP BY ALL"
     o["ad5_quota_week_sunday"] = "SELECT ci, anio, semana, count(*) AS cantidad FROM uso GROUP BY ALL"
 
     # change application
-    booked = "(SELECT *, (SELECT max(id_reserva) FROM reserva) + row_number() OVER (ORDER BY request_id) AS nuevo FROM ad2 WHERE reason IS NULL)"
+    booked = "(SELECT *, (SELECT max(id_reserva) FROM reserva) + row_number() OVER (ORDER BY request_id) AS nuevo FROM ad2_dado)"
+    own_booked = booked.replace("ad2_dado", "ad1_dado")
     o["ch01_apply_bookings_reserva"] = f"""
 SELECT {reserva_all} FROM reserva UNION ALL SELECT nuevo, nombre_sala, edificio, fecha, id_turno, 'Activa' FROM {booked}"""
     o["ch01_apply_bookings_participation"] = f"""
 SELECT {rp_all} FROM rp UNION ALL SELECT ci, nuevo, {TODAY}, false, true FROM {booked}"""
+    o["ch01_apply_own_bookings_reserva"] = o["ch01_apply_bookings_reserva"].replace(booked, own_booked)
+    o["ch01_slots_held_twice"] = """
+SELECT nombre_sala, edificio, fecha, id_turno, count(*) AS veces, 'one_per_slot' AS regla FROM reserva WHERE estado = 'Activa'
+GROUP BY ALL HAVING count(*) > 1"""
     o["ch01_apply_joins"] = f"""
 SELECT p.* REPLACE (p.confirmado OR a.ci IS NOT NULL AS confirmado) FROM rp p
-LEFT JOIN (SELECT DISTINCT ci, id_reserva FROM ad3 WHERE reason IS NULL) a ON a.ci = p.ci_participante AND a.id_reserva = p.id_reserva
-UNION ALL SELECT DISTINCT ci, id_reserva, {TODAY}, false, true FROM ad3 WHERE reason IS NULL AND NOT fila"""
+LEFT JOIN ad3_dado a ON a.ci = p.ci_participante AND a.id_reserva = p.id_reserva
+UNION ALL SELECT ci, id_reserva, {TODAY}, false, true FROM ad3_dado WHERE NOT fila"""
+    o["ch01_apply_adds"] = f"""
+SELECT * FROM rp UNION ALL SELECT ci, id_reserva, {TODAY}, false, true FROM ad4_dado"""
 
     o["ch02_cancel_verdicts"] = """SELECT ci, id_reserva, CASE WHEN fila THEN 'accepted' ELSE 'rejected' END AS verdict,
        CASE WHEN NOT fila THEN 'not_in_reservation' END AS reason FROM cancelado"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aulario.catalog.batches import Batches
-from aulario.operators import admission, changes, filters, islands, listings, propagation, quality, reports
+from aulario.operators import admission, changes, filters, intake, islands, listings, propagation, quality, reports
 from aulario.operators import sanctions, sweeps
 from aulario.operators.filters import ReportFilter
 from aulario.plans.intervals import merge_intervals
@@ -204,18 +204,26 @@ on_model("ad5_quota_week_sunday", lambda t: admission.quota_usage(t, "week", Fal
 # --- change application ----------------------------------------------------------------------
 
 
-def _booked(b: Batches) -> Model:
-    verdicts = admission.admit_bookings_admin(b.model, b.booking(), AS_OF)
-    return changes.apply_bookings(b.model, verdicts, AS_OF)
+def _booked(b: Batches, by: str = "admin") -> Model:
+    return intake.book(b.model, b.booking(), AS_OF, by).model
 
 
-def _joined(b: Batches) -> Model:
-    return changes.apply_joins(b.model, admission.admit_joins(b.model, b.join(), AS_OF), AS_OF)
+def _joined(b: Batches, by: str = "self") -> Model:
+    return intake.join(b.model, b.join(), AS_OF, by).model
 
 
 query("ch01_apply_bookings_reserva")(lambda b: _booked(b).reserva)
 query("ch01_apply_bookings_participation")(lambda b: _booked(b).reserva_participante)
+query("ch01_apply_own_bookings_reserva")(lambda b: _booked(b, "self").reserva)
 query("ch01_apply_joins")(lambda b: _joined(b).reserva_participante)
+query("ch01_apply_adds")(lambda b: _joined(b, "admin").reserva_participante)
+
+
+@query("ch01_slots_held_twice")
+def _(b: Batches) -> DataFrame:
+    """Slots with several active reservations after the bookings: those that had them before."""
+    reserva = _booked(b).reserva
+    return quality.check_slots(filters.active_only(reserva))
 
 
 def _outcome(name: str, run: Callable[[Batches], changes.Outcome], **tables: Callable[[Model], DataFrame]) -> None:

@@ -6,7 +6,7 @@ import random
 import pytest
 from demo_rows import table
 
-from aulario.operators import admission, changes
+from aulario.operators import admission, changes, intake
 from aulario.operators.verdicts import Outcome
 from aulario.plans.first_come import Resource, grant_in_order
 from aulario.sources.model import Model
@@ -303,3 +303,44 @@ def test_units_of_a_group_come_from_the_data(spark):
             expected.add(k)
             left -= k % 4 != 0
     assert granted == expected
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_requests_become_a_state_without_conflicts(spark, seed):
+    rows, t, rnd = random_state(spark, 50 + seed)
+    asked = [
+        (k, dt.datetime(2025, 2, 5, 9, rnd.randint(0, 3)), rnd.choice(PEOPLE), rnd.choice(ROOMS)[0], "E",
+         TODAY + dt.timedelta(days=rnd.randint(0, 3)), rnd.randint(1, 4))
+        for k in range(60)
+    ]
+    for by, reason in (("self", self_reason), ("admin", admin_reason)):
+        w, granted = Loop(rows), {}
+        for k, _, ci, room, _, day, slot in sorted(asked, key=lambda r: (r[1], r[0])):
+            if reason(w, ci, room, day, slot) is None:
+                granted[k] = (room, day, slot, ci)
+                w.book(ci, room, day, slot)
+        after, verdicts = intake.book(t, spark.createDataFrame(asked, REQUESTS["booking"]), AS_OF, by)
+        assert {r["request_id"] for r in verdicts.filter("verdict = 'accepted'").collect()} == set(granted)
+        new = after.reserva.filter("id_reserva > 12").join(
+            after.reserva_participante.withColumnRenamed("ci_participante", "ci"), "id_reserva"
+        )
+        got = {r["id_reserva"]: (r["nombre_sala"], r["fecha"], r["id_turno"], r["ci"]) for r in new.collect()}
+        assert got == {13 + i: granted[k] for i, k in enumerate(sorted(granted))}
+
+
+def test_the_gate_refuses_what_must_not_happen(spark):
+    rows, t, _ = random_state(spark, 9)
+    held = next(b for b in rows["reserva"] if b[5] == "Activa")
+    slots = spark.createDataFrame([held[1:5]], "nombre_sala string, edificio string, fecha date, id_turno int")
+    with pytest.raises(intake.BrokenRule, match="one_per_slot"):
+        intake.gate_bookings(t, slots)
+    free = slots.withColumn("id_turno", slots["id_turno"] + 50)
+    intake.gate_bookings(t, free)
+    with pytest.raises(intake.BrokenRule, match="one_per_slot"):
+        intake.gate_bookings(t, free.union(free))
+    crowd = t.reserva_participante.limit(0).union(
+        spark.createDataFrame([(ci, held[0], TODAY, False, True) for ci in PEOPLE], t.reserva_participante.schema)
+    )
+    with pytest.raises(intake.BrokenRule, match="seats"):
+        intake.gate_joins(t.replace(reserva_participante=crowd), t.reserva.select("id_reserva"), True)
+    intake.gate_joins(t.replace(reserva_participante=crowd), t.reserva.filter(f"id_reserva <> {held[0]}"), True)
