@@ -36,18 +36,16 @@ def quota_usage(
     period: Literal["day", "week"],
     confirmed_only: bool = False,
     week_def: Literal["monday", "sunday"] = "monday",
-    reserva: DataFrame | None = None,
 ) -> DataFrame:
     """Active reservations per person and day or week.
 
     Weeks start on Monday (``semana_inicio``) or are the Sunday-start weeks of a year (``anio``,
-    ``semana``). ``reserva`` narrows the reservations looked at.
+    ``semana``).
     """
-    reserva = t.reserva if reserva is None else reserva
     rp = t.reserva_participante
     if confirmed_only:
         rp = rp.filter(F.col("confirmado") == F.lit(True))
-    active = reserva.filter(F.col("estado") == fixed.ACTIVA).select("id_reserva", "fecha")
+    active = t.reserva.filter(F.col("estado") == fixed.ACTIVA).select("id_reserva", "fecha")
     rows = rp.select(F.col("ci_participante").alias("ci"), "id_reserva").join(active, "id_reserva")
     if period == "day":
         return rows.groupBy("ci", "fecha").agg(F.count("*").alias("bloques"))
@@ -70,8 +68,7 @@ def _with_use(
     count per person and day, so participations meet reservations once. ``since`` leaves out
     reservations that no request can run into.
     """
-    reserva = t.reserva if since is None else t.reserva.filter(F.col("fecha") >= F.lit(since))
-    by_day = quota_usage(t, "day", confirmed_only, reserva=reserva)
+    by_day = quota_usage(t.between(since, None), "day", confirmed_only)
     days = by_day.withColumnRenamed("bloques", "_dia")
     if week == "current":
         # a conditional sum, not a filter: the count per day below it stays the same and is shared
@@ -115,7 +112,7 @@ def _with_person(t: Model, reqs: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def _with_slot_facts(t: Model, reqs: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Add start minute, room type, whether room and slot exist, whether the slot is taken."""
-    taken = occupied_slots(t.replace(reserva=t.reserva.filter(F.col("fecha") >= today(as_of))))
+    taken = occupied_slots(t.between(as_of.date(), None))
     room = t.sala.select(*ROOM, "tipo_sala", F.lit(True).alias("_sala"))
     return (
         reqs.join(t.turno.select("id_turno", "inicio_min"), "id_turno", "left")

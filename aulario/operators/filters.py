@@ -26,13 +26,18 @@ class ReportFilter(NamedTuple):
     edificio: str | None = None
     tipo_sala: str | None = None
 
+    def days(self) -> tuple[dt.date | None, dt.date | None]:
+        """First and last day, None where open."""
+        return tuple(dt.date.fromisoformat(d) if d else None for d in (self.desde, self.hasta))
+
 
 def report_filter(base: DataFrame, f: ReportFilter = ReportFilter()) -> DataFrame:
     """Keep the reservations (joined to their room) that meet every given condition; case does not matter."""
-    if f.desde:
-        base = base.filter(F.col("fecha") >= F.lit(dt.date.fromisoformat(f.desde)))
-    if f.hasta:
-        base = base.filter(F.col("fecha") <= F.lit(dt.date.fromisoformat(f.hasta)))
+    first, last = f.days()
+    if first:
+        base = base.filter(F.col("fecha") >= F.lit(first))
+    if last:
+        base = base.filter(F.col("fecha") <= F.lit(last))
     if f.edificio and f.edificio.lower() != fixed.TODOS_EDIFICIOS.lower():
         base = base.filter(text_key("edificio") == text_key(F.lit(f.edificio)))
     if f.tipo_sala and f.tipo_sala.lower() != fixed.TODAS_SALAS.lower():
@@ -63,7 +68,7 @@ def open_slots(t: Model, first: dt.date, last: dt.date) -> DataFrame:
     Rooms are expanded to days, the slots taken in each room and day (at most the timetable) are
     subtracted as arrays, and only what is left is expanded to slots: the join runs on room days.
     """
-    in_range = t.reserva.filter((F.col("estado") == fixed.ACTIVA) & F.col("fecha").between(first, last))
+    in_range = t.between(first, last).reserva.filter(F.col("estado") == fixed.ACTIVA)
     taken = in_range.groupBy(*ROOM, "fecha").agg(F.collect_set("id_turno").alias("tomados"))
     timetable = t.turno.agg(F.sort_array(F.collect_set("id_turno")).alias("turnos")).scalar()
     days = F.sequence(F.lit(first), F.lit(last))

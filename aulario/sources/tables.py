@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ _MANIFEST = T.StructType([T.StructField("tabla", T.StringType())])
 def load_tables(spark: SparkSession, path: str) -> Model:
     """The model stored as parquet folders under ``path``, with the declared schema.
 
-    Fails if the snapshot was not written to its end. The month folders do not show as a column; a filter on ``fecha`` reaches the files, which hold
-    one month each and are skipped by their statistics.
+    Fails if the snapshot was not written to its end. The month folders do not show as a column:
+    ``Model.between`` reads only those of the months it is asked for, of both tables stored by month.
     """
 
     spark.read.schema(_MANIFEST).parquet(f"{path}/{MANIFEST}")
@@ -35,15 +36,20 @@ def load_tables(spark: SparkSession, path: str) -> Model:
         columns = TABLES[name].fieldNames()
         return lambda m: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}").select(*columns)
 
-    return Model(spark, {name: opener(name) for name in TABLES})
+    def reader(name: str):
+        with_month = T.StructType([*TABLES[name].fields, T.StructField(MONTH, T.StringType())])
 
+        def read(first: dt.date | None, last: dt.date | None) -> DataFrame:
+            rows = spark.read.schema(with_month).parquet(f"{path}/{name}")
+            if first is not None:
+                rows = rows.filter(F.col(MONTH) >= first.strftime("%Y-%m"))
+            if last is not None:
+                rows = rows.filter(F.col(MONTH) <= last.strftime("%Y-%m"))
+            return rows.drop(MONTH)
 
-def reserva_between(path: str, spark: SparkSession, first, last) -> DataFrame:
-    """Stored reservations between two dates; reads only the months in between."""
-    with_month = T.StructType([*TABLES["reserva"].fields, T.StructField(MONTH, T.StringType())])
-    table = spark.read.schema(with_month).parquet(f"{path}/reserva")
-    months = F.col(MONTH).between(F.lit(first.strftime("%Y-%m")), F.lit(last.strftime("%Y-%m")))
-    return table.filter(months & F.col("fecha").between(first, last)).drop(MONTH)
+        return read
+
+    return Model(spark, {name: opener(name) for name in TABLES}, {name: reader(name) for name in _BY_MONTH})
 
 
 def write_snapshot(t: Model, path: str) -> None:
@@ -70,19 +76,13 @@ def write_snapshot(t: Model, path: str) -> None:
 
 
 def write_reports(t: Model, f: ReportFilter, out: str) -> None:
-    """Write all eleven reports in one run over one cached join of reservations and rooms."""
-    joined = reports.base(t, f).persist()
-    narrowed = t.replace(
-        reserva=joined.select(*t.reserva.columns), sala=t.sala.select(*t.sala.columns)
-    )
+    """Write all eleven reports in one run; what several of them need is computed once and kept for the run."""
+    shared = reports.Inputs(t, f).keep()
     try:
         for name, report in reports.REPORTS.items():
-            # the share of states is taken over all reservations, filtered or not
-            source = t if name in ("state_share", "sanctions_by_role") else narrowed
-            given = f if name == "state_share" else reports.NO_FILTER
-            report(source, given).write.mode("errorifexists").parquet(f"{out}/{name}")
+            report(t, f, shared).write.mode("errorifexists").parquet(f"{out}/{name}")
     finally:
-        joined.unpersist()
+        shared.release()
 
 
 def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "parquet") -> DataFrame:
@@ -126,7 +126,6 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 __all__ = [
     "load_tables",
     "read_requests",
-    "reserva_between",
     "row_counts",
     "split_corrupt",
     "write_reports",

@@ -181,3 +181,65 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "LessThanOrEqual(fecha,2025-01-20)" in booked
     assert booked.split("ReadSchema")[1].count(":") == 4  # room, building, date
     assert any("EqualTo(tipo_sala,Libre)" in line for line in scans)
+
+
+def _scans(spark, df):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return [line for line in plan.splitlines() if "FileScan" in line]
+
+
+def test_days_prune_the_months_of_both_stored_tables(spark, tmp_path):
+    from aulario.operators import admission, filters, reports
+    from aulario.sources.projection import project_testdata
+    from aulario.sources.tables import load_tables, write_snapshot
+
+    path = str(tmp_path / "v1")
+    whole = project_testdata(spark, "/root/testdata/sf0.001")
+    write_snapshot(whole, path)
+    t = load_tables(spark, path)
+    f = reports.ReportFilter(desde="2025-02-03", hasta="2025-02-07")
+    months = "PartitionFilters: [isnotnull(mes#"
+    for name in ("avg_participants", "bookings_by_programme", "building_occupancy", "bookings_by_role", "top_participants", "mean_lead_days"):
+        scans = _scans(spark, reports.REPORTS[name](t, f))
+        assert scans
+        for table in ("reserva", "reserva_participante"):
+            own = [s for s in scans if f"/{table}]" in s.split("PartitionFilters")[0]]
+            assert own and all(months in s and ">= 2025-02)" in s and "<= 2025-02)" in s for s in own), (name, table)
+        got = reports.REPORTS[name](t, f).collect()
+        assert got == reports.REPORTS[name](whole, f).collect(), name
+    taken = _scans(spark, filters.open_slots(t, dt.date(2025, 2, 1), dt.date(2025, 2, 7)))
+    assert any(months in s for s in taken)
+    # state that differs from what is stored is not cut
+    moved = t.replace(reserva=t.reserva.withColumn("fecha", F.date_add("fecha", 31)))
+    later = moved.between(dt.date(2025, 3, 1), None)
+    assert later.reserva.count() == t.reserva.filter("fecha >= date'2025-01-29'").count() > 0
+    assert later.reserva_participante.count() == t.reserva_participante.count()
+    used = admission.quota_usage(t.between(dt.date(2025, 2, 1), None), "day")
+    assert used.count() == admission.quota_usage(whole, "day").filter("fecha >= date'2025-02-01'").count()
+
+
+def test_a_run_of_all_reports_scans_big_tables_once(spark, tmp_path):
+    from aulario.operators import reports
+    from aulario.sources.projection import project_testdata
+    from aulario.sources.tables import load_tables, write_snapshot
+
+    path = str(tmp_path / "v1")
+    write_snapshot(project_testdata(spark, "/root/testdata/sf0.001"), path)
+    t = load_tables(spark, path)
+    f = reports.ReportFilter(desde="2025-02-03", hasta="2025-02-07", tipo_sala="Libre")
+    shared = reports.Inputs(t, f).keep()
+    try:
+        for name, report in reports.REPORTS.items():
+            df = report(t, f, shared)
+            assert df.collect() == report(t, f).collect(), name
+            leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+            read = [str(leaves.apply(k)) for k in range(leaves.size())]
+            stored = [leaf for leaf in read if leaf.startswith("Relation")]
+            # rooms and participations come from what is kept
+            assert not any("capacidad" in leaf or "asistencia" in leaf for leaf in stored), name
+    finally:
+        shared.release()
