@@ -631,17 +631,33 @@ SELECT f.nombre AS facultad, 0 AS pagina, string_agg(nombre_programa, '|' ORDER
 FROM programas_academicos JOIN facultad f USING (id_facultad) GROUP BY ALL"""
     o["vw04_rooms_by_building"] = """
 SELECT edificio, 0 AS pagina, string_agg(nombre_sala, '|' ORDER BY nombre_sala) AS salas FROM sala GROUP BY ALL"""
+    o["vw03_programmes_by_faculty_short_pages"] = """
+SELECT facultad, pagina, string_agg(nombre_programa, '|' ORDER BY nombre_programa) AS programas
+FROM (SELECT f.nombre AS facultad, nombre_programa,
+             CAST((row_number() OVER (PARTITION BY f.nombre ORDER BY nombre_programa) - 1) // 3 AS INTEGER) AS pagina
+      FROM programas_academicos JOIN facultad f USING (id_facultad)) GROUP BY ALL"""
+    o["vw04_rooms_by_building_short_pages"] = """
+SELECT edificio, pagina, string_agg(nombre_sala, '|' ORDER BY nombre_sala) AS salas
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY edificio ORDER BY nombre_sala) - 1) // 3 AS INTEGER) AS pagina FROM sala)
+GROUP BY ALL"""
     o["vw04_rooms_json"] = """
 SELECT edificio, 0 AS pagina, CAST(to_json(list(nombre_sala ORDER BY nombre_sala)) AS VARCHAR) AS salas FROM sala GROUP BY ALL"""
     o["vw05_room_list"] = "SELECT * FROM sala"
     o["vw06_my_reservations"] = """
 SELECT p.ci_participante AS ci, b.id_reserva, b.nombre_sala, b.edificio, b.fecha, t.inicio_min, t.fin_min, b.estado,
-       b.capacidad, c.n AS confirmados, 1 AS paginas,
-       coalesce((SELECT string_agg(h.nombre || ' ' || h.apellido, '|' ORDER BY h.nombre || ' ' || h.apellido, h.ci)
-        FROM rp x JOIN participantes h ON h.ci = x.ci_participante
-        WHERE x.confirmado AND x.id_reserva = b.id_reserva AND x.ci_participante <> p.ci_participante), '') AS otros
+       b.capacidad, c.n AS confirmados
 FROM rp p JOIN base b USING (id_reserva) JOIN turno t USING (id_turno) JOIN confirmados c USING (id_reserva)
 WHERE p.confirmado AND b.estado = 'Activa'"""
+    for size, suffix in ((60, ""), (3, "_short_pages")):
+        o[f"vw06_others_in_reservation{suffix}"] = f"""
+WITH lista AS (SELECT p.id_reserva, p.ci_participante AS ci, h.nombre || ' ' || h.apellido AS nombre,
+  CAST((row_number() OVER (PARTITION BY p.id_reserva ORDER BY h.nombre || ' ' || h.apellido NULLS LAST, h.ci NULLS LAST) - 1) // {size}
+       AS INTEGER) AS pagina
+  FROM rp p JOIN reserva r USING (id_reserva) LEFT JOIN participantes h ON h.ci = p.ci_participante
+  WHERE p.confirmado AND r.estado = 'Activa')
+SELECT m.ci, m.id_reserva, g.pagina, coalesce((SELECT string_agg(o.nombre, '|' ORDER BY o.nombre, o.ci) FROM lista o
+       WHERE o.id_reserva = m.id_reserva AND o.pagina = g.pagina AND o.ci <> m.ci), '') AS otros
+FROM lista m JOIN (SELECT DISTINCT id_reserva, pagina FROM lista) g USING (id_reserva)"""
     o["vw06_rosters"] = """
 SELECT b.id_reserva, 0 AS pagina,
        coalesce(string_agg(h.nombre || ' ' || h.apellido, '|' ORDER BY h.nombre || ' ' || h.apellido, h.ci), '') AS personas,

@@ -130,11 +130,24 @@ on_model(
     "vw04_rooms_by_building",
     lambda t: listings.rooms_by_building(t).withColumn("salas", F.array_join("salas", "|")),
 )
+on_model(
+    "vw03_programmes_by_faculty_short_pages",
+    lambda t: listings.programmes_by_faculty(t, 3).withColumn("programas", F.array_join("programas", "|")),
+)
+on_model(
+    "vw04_rooms_by_building_short_pages",
+    lambda t: listings.rooms_by_building(t, 3).withColumn("salas", F.array_join("salas", "|")),
+)
 on_model("vw04_rooms_json", listings.rooms_json)
 on_model("vw05_room_list", listings.room_list)
+on_model("vw06_my_reservations", listings.my_reservations)
+on_model(
+    "vw06_others_in_reservation",
+    lambda t: listings.others_in_reservation(t).withColumn("otros", F.array_join("otros", "|")),
+)
 on_model(
-    "vw06_my_reservations",
-    lambda t: listings.my_reservations(t).withColumn("otros", F.array_join("otros", "|")),
+    "vw06_others_in_reservation_short_pages",
+    lambda t: listings.others_in_reservation(t, 3).withColumn("otros", F.array_join("otros", "|")),
 )
 on_model(
     "vw06_rosters",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aulario.functions.dates import at_minute, now, plus_minutes, today
 from aulario.operators.filters import ROOM
-from aulario.plans.paging import paged_lists
+from aulario.plans.paging import PAGE, paged_lists
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
@@ -64,16 +64,18 @@ def participant_directory(t: Model, admin_email: str = fixed.EMAIL_PROTEGIDO) ->
     )
 
 
-def programmes_by_faculty(t: Model) -> DataFrame:
+def programmes_by_faculty(t: Model, page_size: int = PAGE) -> DataFrame:
+    """Programmes of each faculty in order, in pages."""
     named = t.programas_academicos.join(t.facultad.withColumnRenamed("nombre", "facultad"), "id_facultad")
-    return paged_lists(named, ["facultad"], "nombre_programa", "programas").orderBy("facultad", "pagina")
+    return paged_lists(named, ["facultad"], "nombre_programa", "programas", page_size).orderBy("facultad", "pagina")
 
 
 # --- rooms -----------------------------------------------------------------------------------
 
 
-def rooms_by_building(t: Model) -> DataFrame:
-    return paged_lists(t.sala, ["edificio"], "nombre_sala", "salas")
+def rooms_by_building(t: Model, page_size: int = PAGE) -> DataFrame:
+    """Rooms of each building in order, in pages."""
+    return paged_lists(t.sala, ["edificio"], "nombre_sala", "salas", page_size)
 
 
 def rooms_json(t: Model) -> DataFrame:
@@ -98,10 +100,10 @@ def confirmed_counts(t: Model) -> DataFrame:
 
 
 def roster_pages(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
-    """Confirmed people of each active reservation, sorted by name, in pages of about ``page_size``.
+    """Confirmed people of each active reservation, sorted by name, in pages of ``page_size``.
 
-    Up to ``page_size`` people are one page; a fuller reservation is spread over several.
-    ``confirmados`` counts the page's participations.
+    No room seats more people than a page holds by default, so a lawful reservation has one page; an
+    overfull one has several, in order. ``confirmados`` counts the page's participations.
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA).select("id_reserva")
     confirmed = (
@@ -116,48 +118,33 @@ def roster_pages(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
     return paged_lists(named, ["id_reserva"], "persona", "personas", page_size, rows_as="confirmados")
 
 
+def _own_confirmed(t: Model) -> DataFrame:
+    return t.reserva_participante.filter(F.col("confirmado") == F.lit(True)).select(
+        F.col("ci_participante").alias("ci"), "id_reserva"
+    )
+
+
 def my_reservations(t: Model) -> DataFrame:
-    """Each person's active, confirmed reservations and who else confirmed.
+    """Each person's active, confirmed reservations with how many confirmed, one row of the same shape each.
 
-    ``otros`` lists the other confirmed people by name. No room seats more than 60, so a lawful
-    reservation has one roster page and its list is complete. For an overfull reservation a list
-    per person would grow with the square of its people: there ``otros`` is NULL, ``paginas`` is
-    above 1, and the names are the pages of :func:`roster_pages` with the same ``id_reserva``, the
-    second output of this listing, which has the names of every reservation in one shape.
+    The names are a relation of their own: :func:`roster_pages` has them per reservation,
+    :func:`others_in_reservation` per person.
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA)
-    rosters = roster_pages(t).groupBy("id_reserva").agg(
-        F.count("*").cast("int").alias("paginas"),
-        F.any_value("personas").alias("personas"),
-        F.sum("confirmados").alias("confirmados"),
-    )
-    one_page = rosters.withColumn("personas", F.when(F.col("paginas") == 1, F.col("personas")))
-    mine = t.reserva_participante.filter(F.col("confirmado") == F.lit(True)).select(
-        F.col("ci_participante").alias("ci"), "id_reserva"
-    )
-    per_reservation = _with_room_and_turno(t, active).join(one_page, "id_reserva")
+    per_reservation = _with_room_and_turno(t, active).join(confirmed_counts(t), "id_reserva")
+    columns = ["ci", "id_reserva", *ROOM, "fecha", "inicio_min", "fin_min", "estado", "capacidad", "confirmados"]
+    return _own_confirmed(t).join(per_reservation, "id_reserva").select(*columns).orderBy("ci", F.desc("fecha"), "id_reserva")
+
+
+def others_in_reservation(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
+    """Who else confirmed, per person and active reservation, by name, in the pages of the roster.
+
+    Every person has all pages, whatever the size of the reservation; on their own page their name is
+    left out, so a page may be one short, or empty for somebody alone.
+    """
     own = F.col("ci")
-    others = F.transform(
-        F.filter(F.col("personas"), lambda p: p.getField("ci") != own), lambda p: p.getField("nombre_completo")
-    )
-    return (
-        mine.join(per_reservation, "id_reserva")
-        .select(
-            "ci",
-            "id_reserva",
-            "nombre_sala",
-            "edificio",
-            "fecha",
-            "inicio_min",
-            "fin_min",
-            "estado",
-            "capacidad",
-            "confirmados",
-            "paginas",
-            others.alias("otros"),
-        )
-        .orderBy("ci", F.desc("fecha"), "id_reserva")
-    )
+    names = F.transform(F.filter("personas", lambda p: p["ci"] != own), lambda p: p["nombre_completo"])
+    return _own_confirmed(t).join(roster_pages(t, page_size), "id_reserva").select("ci", "id_reserva", "pagina", names.alias("otros"))
 
 
 def active_reservations(t: Model) -> DataFrame:

@@ -67,14 +67,18 @@ def test_touching_by_a_day_merges_and_by_two_does_not(spark):
     assert got == [(d(0), d(3)), (d(5), d(6))]
 
 
-def test_lists_of_a_big_key_are_cut_into_pages(spark):
-    rows = [("big", f"i{k:04d}") for k in range(1000)] + [("small", "z"), ("small", "a")]
-    got = paged_lists(spark.createDataFrame(rows, "k string, i string"), ["k"], "i", "l", page_size=50).collect()
-    small = [r for r in got if r.k == "small"]
-    assert [(r.pagina, r.l) for r in small] == [(0, ["a", "z"])]
-    big = [r for r in got if r.k == "big"]
-    assert sorted(i for r in big for i in r.l) == [f"i{k:04d}" for k in range(1000)]
-    assert len(big) == 20 and max(len(r.l) for r in big) < 150
+@pytest.mark.parametrize("page_size", [1, 50, 999, 1000, 1001])
+def test_pages_one_after_the_other_are_the_sorted_list(spark, page_size):
+    rnd = random.Random(8)
+    rows = [("big", f"i{k:04d}") for k in range(1000)] + [("small", "z"), ("small", "a"), ("small", "a"), ("none", None)]
+    rows += [("some", None), ("some", "b")]
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "k string, i string").repartition(3)
+    got = paged_lists(df, ["k"], "i", "l", page_size=page_size, rows_as="n").collect()
+    for key in ("big", "small", "none", "some"):
+        mine = sorted((i for k, i in rows if k == key), key=lambda i: (i is None, i or ""))
+        cut = [mine[a : a + page_size] for a in range(0, len(mine), page_size)]
+        pages = sorted((r.pagina, r.n, r.l) for r in got if r.k == key)
+        assert pages == [(p, len(c), [i for i in c if i is not None]) for p, c in enumerate(cut)]
 
 
 @pytest.mark.parametrize("seed", [5, 6])
@@ -118,11 +122,14 @@ def test_overfull_reservation_has_its_names_in_pages(spark, demo):
     t = demo.replace(participantes=people, reserva_participante=demo.reserva_participante.unionByName(rows))
     mine = listings.my_reservations(t).cache()
     packed = mine.filter("id_reserva = 1")
-    assert packed.count() == 153 and packed.filter("otros IS NOT NULL OR paginas < 2").count() == 0
-    names = listings.roster_pages(t).filter("id_reserva = 1").select(F.explode("personas").alias("p")).distinct()
-    assert names.count() == 153
-    ana = mine.filter("ci = '48562347' AND id_reserva = 3").collect()[0]
-    assert ana.otros == ["Luis González"] and ana.confirmados == 2
+    assert packed.count() == 153 and packed.filter("confirmados <> 153").count() == 0
+    others = listings.others_in_reservation(t).filter("id_reserva = 1").collect()
+    assert len(others) == 153 * 3 and {r.pagina for r in others} == {0, 1, 2}
+    one = sorted((r for r in others if r.ci == "20000007"), key=lambda r: r.pagina)
+    names = [n for r in one for n in r.otros]
+    assert names == sorted(names) and len(names) == 152 and "N7 X" not in names
+    ana = listings.others_in_reservation(t).filter("ci = '48562347' AND id_reserva = 3").collect()
+    assert [(r.pagina, r.otros) for r in ana] == [(0, ["Luis González"])]
 
 
 def test_names_of_an_overfull_reservation_are_registered(spark, demo):
