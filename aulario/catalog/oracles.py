@@ -386,6 +386,53 @@ SELECT * REPLACE (CASE WHEN reason IS NULL AND estado_final = 'Activa' AND id_re
     min(id_reserva) FILTER (reason IS NULL AND estado_final = 'Activa')
       OVER (PARTITION BY nombre_sala, edificio, fecha_nueva, id_turno_nuevo) THEN 'slot_taken' ELSE reason END AS reason)
 FROM ch4_uno"""
+# the same edits one after the other, in the order of the reservation; rooms do not touch one another, so
+# each step looks at one edit per room: rows '#' say how far a room is, 'g' what was granted, the rest
+# how many hold a slot
+VIEWS["ch4_hecho"] = f"""
+SELECT q.*, r.nombre_sala, r.edificio, r.estado AS estado_previo, CASE lower(q.estado_nuevo) WHEN 'cancelada' THEN 'Cancelada'
+         WHEN 'activa' THEN 'Activa' WHEN 'sin asistencia' THEN 'Sin Asistencia' END AS estado_final,
+  concat(r.nombre_sala, '|', r.edificio) AS sala_e,
+  CASE WHEN r.estado = 'Activa' THEN concat(r.nombre_sala, '|', r.edificio, '|', r.fecha, '|', r.id_turno) END AS origen,
+  concat(r.nombre_sala, '|', r.edificio, '|', q.fecha_nueva, '|', q.id_turno_nuevo) AS destino,
+  CASE WHEN r.id_reserva IS NULL THEN 'unknown_reservation'
+       WHEN q.fecha_nueva < {TODAY} THEN 'past_date'
+       WHEN q.fecha_nueva = {TODAY} AND q.fecha_nueva + to_minutes(t.inicio_min) <= {NOW} THEN 'turno_started' END AS antes,
+  CASE WHEN t.id_turno IS NULL THEN 'unknown_turno'
+       WHEN lower(q.estado_nuevo) NOT IN ('activa', 'cancelada', 'sin asistencia', 'finalizada') THEN 'bad_state' END AS despues
+FROM q_edit q LEFT JOIN reserva r ON r.id_reserva = q.id_reserva LEFT JOIN turno t ON t.id_turno = q.id_turno_nuevo"""
+VIEWS["ch4_pedido"] = """
+SELECT id_reserva, sala_e, origen, destino, estado_final = 'Activa' AS queda,
+       row_number() OVER (PARTITION BY sala_e ORDER BY id_reserva) AS n
+FROM ch4_hecho WHERE antes IS NULL AND despues IS NULL"""
+VIEWS["ch4_inicio"] = """
+SELECT origen AS k, count(*) AS n FROM (SELECT concat(nombre_sala, '|', edificio, '|', fecha, '|', id_turno) AS origen
+  FROM reserva WHERE estado = 'Activa') GROUP BY ALL"""
+VIEWS["ch4_turnos"] = """
+SELECT DISTINCT concat('#', sala_e) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS paso FROM ch4_pedido
+UNION
+SELECT e.k, e.n, v.paso FROM (
+  SELECT p.*, p.n AS paso, coalesce(d.n, di.n, 0) AS en_destino, coalesce(o.n, oi.n, 0) AS en_origen,
+         p.origen IS NOT DISTINCT FROM p.destino AS ya_esta
+  FROM ch4_turnos w JOIN ch4_pedido p ON w.k = concat('#', p.sala_e) AND p.n = w.paso + 1
+  LEFT JOIN recurring.ch4_turnos d ON d.k = p.destino LEFT JOIN ch4_inicio di ON di.k = p.destino
+  LEFT JOIN recurring.ch4_turnos o ON o.k = p.origen LEFT JOIN ch4_inicio oi ON oi.k = p.origen) v,
+  unnest(list_filter(list_concat([{'k': concat('#', v.sala_e), 'n': CAST(0 AS BIGINT)}],
+    CASE WHEN v.en_destino - CAST(v.ya_esta AS INTEGER) = 0 THEN [
+      {'k': concat('g', v.id_reserva), 'n': CAST(1 AS BIGINT)},
+      {'k': CASE WHEN v.origen IS NOT NULL AND NOT (v.ya_esta AND v.queda) THEN v.origen END, 'n': CAST(v.en_origen - 1 AS BIGINT)},
+      {'k': CASE WHEN v.queda AND NOT v.ya_esta THEN v.destino END, 'n': CAST(v.en_destino + 1 AS BIGINT)}] END),
+    lambda y: y.k IS NOT NULL)) AS s(e)"""
+HEADS["ch4_turnos"] = "(k, n, paso) USING KEY (k)"
+VIEWS["ch4_dado"] = "SELECT * FROM ch4_hecho WHERE concat('g', id_reserva) IN (SELECT k FROM ch4_turnos)"
+# edits that fail anyway say so only if the slot was free at their turn
+VIEWS["ch4_seguido"] = """
+SELECT h.*, coalesce(h.antes, CASE WHEN h.despues IS NULL THEN CASE WHEN d.id_reserva IS NULL THEN 'slot_taken' END
+  WHEN EXISTS (FROM ch4_hecho o WHERE o.origen = h.destino AND o.id_reserva <> h.id_reserva AND NOT EXISTS (FROM ch4_dado g
+         WHERE g.id_reserva = o.id_reserva AND g.id_reserva < h.id_reserva AND NOT (g.destino = g.origen AND g.estado_final = 'Activa')))
+    OR EXISTS (FROM ch4_dado g WHERE g.destino = h.destino AND g.estado_final = 'Activa' AND g.id_reserva < h.id_reserva)
+    THEN 'slot_taken' ELSE h.despues END) AS reason
+FROM ch4_hecho h LEFT JOIN ch4_dado d ON d.id_reserva = h.id_reserva"""
 VIEWS["pr1_ch4"] = """
 SELECT p.ci_participante AS ci, min(p.id_reserva) AS id_reserva FROM rp p JOIN ch4 c USING (id_reserva)
 WHERE c.reason IS NULL AND c.estado_final = 'Sin Asistencia' AND c.estado_previo <> 'Sin Asistencia'
@@ -777,6 +824,11 @@ SELECT id_reserva, CASE WHEN id_reserva IN (SELECT id_reserva FROM ch3 WHERE rea
 SELECT r.id_reserva, r.nombre_sala, r.edificio, coalesce(c.fecha_nueva, r.fecha) AS fecha,
        coalesce(c.id_turno_nuevo, r.id_turno) AS id_turno, coalesce(c.estado_final, r.estado) AS estado
 FROM reserva r LEFT JOIN (FROM ch4 WHERE reason IS NULL) c USING (id_reserva)"""
+    for what in ("verdicts", "reserva"):
+        o[f"ch04_modify_sequential_{what}"] = o[f"ch04_modify_{what}"].replace("FROM ch4", "FROM ch4_seguido")
+    o["ch04_slots_held_twice"] = f"""
+SELECT nombre_sala, edificio, fecha, id_turno, count(*) AS veces, 'one_per_slot' AS regla
+FROM ({o["ch04_modify_sequential_reserva"]}) WHERE estado = 'Activa' GROUP BY ALL HAVING count(*) > 1"""
     o["ch04_modify_participation"] = """
 SELECT * FROM rp WHERE id_reserva NOT IN (SELECT id_reserva FROM ch4 WHERE reason IS NULL AND estado_final = 'Cancelada')"""
     o["ch04_modify_sanctions"] = f"""

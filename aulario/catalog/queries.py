@@ -282,6 +282,20 @@ _outcome(
     participation=_participation,
     sanctions=_sanctions,
 )
+_outcome(
+    "ch04_modify_sequential",
+    lambda b: changes.modify_reservations(b.model, b.edit(), AS_OF, "sequential"),
+    reserva=lambda t: t.reserva,
+)
+
+
+@query("ch04_slots_held_twice")
+def _(b: Batches) -> DataFrame:
+    """Slots with several active reservations after the edits in order."""
+    after = changes.modify_reservations(b.model, b.edit(), AS_OF, "sequential").model
+    return quality.check_slots(filters.active_only(after.reserva))
+
+
 _outcome(
     "ch05_attendance",
     lambda b: changes.record_attendance(b.model, b.attendance(), AS_OF),

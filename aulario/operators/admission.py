@@ -18,13 +18,12 @@ from aulario.functions.dates import at_minute, monday_of, now, sunday_week, toda
 from aulario.functions.text import contains_ci, is_ci_shape
 from aulario.operators.filters import ROOM, SLOT, flag_in_reservation, flag_people, occupied_slots, sanctioned
 from aulario.operators.listings import confirmed_counts, memberships, person_label
-from aulario.operators.verdicts import Rule, any_fails, judge
+from aulario.operators.verdicts import Mode, Rule, any_fails, judge
 from aulario.plans.first_come import Resource, grant_in_order, granted_before
 from aulario.plans.staging import stage
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
-Mode = Literal["snapshot", "sequential"]
 ORDER = "_orden"
 
 

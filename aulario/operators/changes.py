@@ -22,8 +22,9 @@ from aulario.operators.filters import ROOM, SLOT, flag_existing
 from aulario.operators.listings import attendance_editable
 from aulario.operators.notices import append_notifications, message, notifications
 from aulario.operators.propagation import cancel_where, left_without_confirmed, sanctions_from_transitions
-from aulario.operators.verdicts import Outcome, any_fails, judge
+from aulario.operators.verdicts import Mode, Outcome, Rule, any_fails, judge
 from aulario.plans.first_come import Resource, grant_in_order, granted_before
+from aulario.plans.moves import held_by_others, settle
 from aulario.plans.numbering import id_levels, next_ids
 from aulario.plans.staging import stage
 from aulario.sources import fixed
@@ -170,54 +171,81 @@ def remove_participants(t: Model, pairs: DataFrame) -> Outcome:
 # --- editing reservations --------------------------------------------------------------------
 
 
-def edit_verdicts(t: Model, edits: DataFrame, as_of: dt.datetime) -> DataFrame:
+def edit_verdicts(t: Model, edits: DataFrame, as_of: dt.datetime, mode: Mode = "snapshot") -> DataFrame:
     """Judge edits (``id_reserva``, ``fecha_nueva``, ``id_turno_nuevo``, ``estado_nuevo``).
 
-    Every edit meets the state before the batch. A slot is taken if an active reservation other
-    than the edited one holds it: the holders of a slot are folded to their number and one id. Of
-    the edits that would otherwise move active reservations into one free slot, those of the lowest
-    reservation have it, and the slot is taken for the others; a slot that an edit leaves stays
-    closed until the next batch.
+    A slot is taken if an active reservation other than the edited one holds it. With
+    ``mode="snapshot"`` every edit meets the state before the batch: the holders of a slot are folded
+    to their number and one id. Of the edits that would otherwise move active reservations into one
+    free slot, those of the lowest reservation have it, and the slot is taken for the others; a slot
+    that an edit leaves stays closed until the next batch. With ``mode="sequential"`` the edits are
+    taken one after the other, by ``request_id`` where the batch has one, then by reservation and
+    values: a slot left by an earlier edit is free for a later one.
     """
     current = t.reserva.select("id_reserva", *ROOM, F.col("estado").alias("_estado_previo"))
-    holders = (
-        t.reserva.filter((F.col("estado") == fixed.ACTIVA) & (F.col("fecha") >= today(as_of)))
-        .groupBy(*SLOT)
-        .agg(F.count("*").alias("_n"), F.min("id_reserva").alias("_id"))
-        .withColumnsRenamed({"fecha": "fecha_nueva", "id_turno": "id_turno_nuevo"})
-    )
     turno = t.turno.select(F.col("id_turno").alias("id_turno_nuevo"), "inicio_min")
     facts = (
         edits.join(current, "id_reserva", "left")
         .join(turno, "id_turno_nuevo", "left")
-        .join(holders, [*ROOM, "fecha_nueva", "id_turno_nuevo"], "left")
         .withColumn("_estado", canonical("estado_nuevo", fixed.ESTADOS))
     )
     is_today = F.col("fecha_nueva") == today(as_of)
-    by_another = (F.col("_n") > 1) | (F.col("_id") != F.col("id_reserva"))
-    rules = [
+    before = [
         ("unknown_reservation", F.col("_estado_previo").isNull()),
         ("bad_date", F.col("fecha_nueva").isNull()),
         ("past_date", F.col("fecha_nueva") < today(as_of)),
         ("turno_started", is_today & (at_minute("fecha_nueva", "inicio_min") <= now(as_of))),
-        ("slot_taken", by_another),
-        ("unknown_turno", F.col("inicio_min").isNull()),
-        ("bad_state", F.col("_estado").isNull()),
     ]
+    after = [("unknown_turno", F.col("inicio_min").isNull()), ("bad_state", F.col("_estado").isNull())]
     slot = [*ROOM, "fecha_nueva", "id_turno_nuevo"]
+    holders = t.between(as_of.date(), None).reserva.filter(F.col("estado") == fixed.ACTIVA)
+    holders = holders.withColumnsRenamed({"fecha": "fecha_nueva", "id_turno": "id_turno_nuevo"})
+    if mode == "sequential":
+        return _edits_in_order(facts, holders, slot, before, after)
+    folded = holders.groupBy(*slot).agg(F.count("*").alias("_n"), F.min("id_reserva").alias("_id"))
+    facts = facts.join(folded, slot, "left")
+    by_another = (F.col("_n") > 1) | (F.col("_id") != F.col("id_reserva"))
+    rules = [*before, ("slot_taken", by_another), *after]
     wants = F.col("_estado") == fixed.ACTIVA
     first = facts.filter(~any_fails(rules)).filter(wants).groupBy(*slot).agg(F.min("id_reserva").alias("_primera"))
     late = wants & (F.col("_primera") < F.col("id_reserva"))
     return judge(facts.join(first, slot, "left"), [*rules, ("slot_taken", late)])
 
 
-def modify_reservations(t: Model, edits: DataFrame, as_of: dt.datetime) -> Outcome:
+def _edits_in_order(
+    facts: DataFrame, holders: DataFrame, slot: list[str], before: list[Rule], after: list[Rule]
+) -> DataFrame:
+    """Verdicts of edits taken one after the other; see :mod:`aulario.plans.moves`."""
+    place = F.struct(*slot)
+    first = [F.col("request_id")] if "request_id" in facts.columns else []
+    turn = F.struct(*first, "id_reserva", "fecha_nueva", "id_turno_nuevo", "_estado")
+    facts = facts.withColumns({"_who": F.col("id_reserva"), "_at": turn, "_place": place})
+    facts = stage(facts, "edits")
+    stays = F.col("_estado") == fixed.ACTIVA
+    asked = facts.filter(~any_fails(before)).select(
+        F.col("_who").alias("who"), F.col("_at").alias("at"), F.col("_place").alias("place"), stays.alias("stays"),
+        any_fails(after).alias("hopeless"),
+    ).distinct()
+    initial = holders.select(F.col("id_reserva").alias("who"), place.alias("place"))
+    moves = asked.filter(~F.col("hopeless")).drop("hopeless")
+    granted = stage(settle(moves, initial), "granted")
+    # with every move decided, what may be held is held
+    seen = held_by_others(asked.select("who", "at", "place"), granted, initial)
+    taken = seen.select(F.col("at").alias("_at"), (F.col("may") > 0).alias("_tomado"))
+    rules = [*before, ("slot_taken", F.col("_tomado")), *after]
+    return judge(facts.join(taken, "_at", "left"), rules)
+
+
+def modify_reservations(t: Model, edits: DataFrame, as_of: dt.datetime, mode: Mode = "snapshot") -> Outcome:
     """Move reservations and set their state; of several edits of one the last accepted counts.
 
     People of an edited reservation are notified, then removed if it was cancelled; a reservation
-    set to no-show has its people sanctioned like any other no-show.
+    set to no-show has its people sanctioned like any other no-show. ``mode`` as in
+    :func:`edit_verdicts`; a sequential batch is decided when this is called.
     """
-    verdicts = edit_verdicts(t, edits, as_of)
+    verdicts = edit_verdicts(t, edits, as_of, mode)
+    if mode == "sequential":
+        verdicts = stage(verdicts, "verdicts")
     named = [c for c in ("request_id",) if c in edits.columns]
     done = accepted(verdicts).select("id_reserva", "fecha_nueva", "id_turno_nuevo", "_estado", "_estado_previo", *named)
     done = last_edit(done, ["id_reserva"]).drop("request_id")

@@ -19,13 +19,13 @@ from aulario.operators import admission
 from aulario.operators.changes import accepted, apply_bookings, apply_joins
 from aulario.operators.filters import SLOT
 from aulario.operators.quality import check_seats, check_slots
-from aulario.operators.verdicts import Outcome
+from aulario.operators.verdicts import Mode, Outcome
 from aulario.plans.staging import stage
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
 By = Literal["self", "admin"]
-Admit = Callable[[Model, DataFrame, dt.datetime, admission.Mode], DataFrame]
+Admit = Callable[[Model, DataFrame, dt.datetime, Mode], DataFrame]
 
 _BOOKINGS: Mapping[str, Admit] = {"self": admission.admit_bookings_self, "admin": admission.admit_bookings_admin}
 _JOINS: Mapping[str, Admit] = {"self": admission.admit_joins, "admin": admission.admit_adds_admin}

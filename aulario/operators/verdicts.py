@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from typing import NamedTuple
+from typing import Literal, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from aulario.sources.model import Model
 
 Rule = tuple[str, Column]
+#: Whether requests meet the state before the batch, or the one that earlier requests left.
+Mode = Literal["snapshot", "sequential"]
 
 
 class Outcome(NamedTuple):

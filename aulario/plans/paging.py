@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aulario.functions.numbers import int_div
+from aulario.plans.running import dealt_by_range
 from aulario.plans.staging import stage
 
 PAGE = 1000
@@ -20,8 +21,7 @@ def ranked_within(df: DataFrame, keys: Sequence[str], item: str, out: str) -> Da
     the key in earlier ranges plus the place within the own one. No task holds more than a range,
     whatever a key has.
     """
-    dealt = df.repartitionByRange(*keys, F.col(item).asc_nulls_last())
-    dealt = stage(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = dealt_by_range(df, keys, F.col(item).asc_nulls_last())
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     starts = starts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
