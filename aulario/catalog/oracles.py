@@ -628,7 +628,12 @@ def _build() -> dict[str, str]:
         f"SELECT '{t}' AS tabla, count(*) AS filas FROM {names.get(t, t)}" for t in model
     )
     o["src2_projection_participation"] = "SELECT * FROM rp"
-    o["src4_requests_json"] = "SELECT * FROM q_booking"
+    o["src4_requests_json"] = o["src4_requests_parquet"] = "SELECT * FROM q_booking"
+    o["src4_requests_csv"] = """
+SELECT * REPLACE (nombre_sala || chr(10) || '"sala", 1' AS nombre_sala) FROM q_booking"""
+    o["src4_rejected_requests"] = """
+SELECT CASE WHEN request_id % 7 < 3 THEN 'bad_fecha' ELSE 'bad_id_turno' END AS reason, count(*) AS n
+FROM q_booking WHERE request_id % 7 < 3 OR request_id % 11 = 0 GROUP BY ALL"""
 
     # filters
     cols = "id_reserva, nombre_sala, edificio, fecha, id_turno, estado, tipo_sala"
@@ -717,7 +722,8 @@ SELECT b.id_reserva, b.id_turno, b.fecha, t.inicio_min, t.fin_min, b.estado, b.n
        count(p.ci_participante) AS ocupacion
 FROM base b JOIN turno t USING (id_turno) LEFT JOIN rp p USING (id_reserva) WHERE b.estado = 'Activa' GROUP BY ALL"""
     o["vw08_reservation_detail"] = """
-SELECT id_reserva, nombre_sala, edificio, fecha, inicio_min, fin_min, capacidad, tipo_sala, estado
+SELECT id_reserva, nombre_sala, edificio, fecha, inicio_min, fin_min, printf('%02d:%02d', inicio_min // 60, inicio_min % 60) AS hora_inicio,
+       printf('%02d:%02d', fin_min // 60, fin_min % 60) AS hora_fin, capacidad, tipo_sala, estado
 FROM base JOIN turno USING (id_turno)"""
     roster = "SELECT p.id_reserva, p.ci_participante, h.nombre, h.apellido{} FROM rp p JOIN participantes h ON h.ci = p.ci_participante{}"
     o["vw09_roster_all"] = roster.format("", "")

@@ -72,6 +72,37 @@ def _(b: Batches) -> DataFrame:
     return good
 
 
+@query("src4_requests_csv")
+def _(b: Batches) -> DataFrame:
+    """Booking requests through CSV files with line breaks and quotes in a field and the columns in another order."""
+    path = scratch_path(b.spark, "requests")
+    asked = b.booking().withColumn("nombre_sala", F.concat("nombre_sala", F.lit('\n"sala", 1')))
+    asked.select("id_turno", "nombre_sala", "fecha", "edificio", "ci", "request_ts", "request_id").write.csv(path, header=True, escape='"')
+    good, _bad = split_corrupt(read_requests(b.spark, "booking", path, "csv"))
+    return good
+
+
+@query("src4_requests_parquet")
+def _(b: Batches) -> DataFrame:
+    """Booking requests through parquet files."""
+    path = scratch_path(b.spark, "requests")
+    b.booking().write.parquet(path)
+    return read_requests(b.spark, "booking", path)
+
+
+@query("src4_rejected_requests")
+def _(b: Batches) -> DataFrame:
+    """Reasons why booking requests with odd dates and slots do not fit."""
+    path = scratch_path(b.spark, "requests")
+    key = F.col("request_id") % 7
+    odd = F.when(key == 0, F.date_format("fecha", "dd/MM/yyyy")).when(key == 1, "2025-02-30").when(key == 2, "2025-2-3")
+    slot = F.when(F.col("request_id") % 11 == 0, "1.5").otherwise(F.col("id_turno").cast("string"))
+    asked = b.booking().withColumns({"fecha": F.coalesce(odd, F.col("fecha").cast("string")), "id_turno": slot})
+    asked.write.csv(path, header=True)
+    _good, bad = split_corrupt(read_requests(b.spark, "booking", path, "csv", multi_line=False))
+    return bad.groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("snk2_report_rows")
 def _(b: Batches) -> DataFrame:
     """Write all filtered reports in one run and count the rows of each."""

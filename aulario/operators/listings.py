@@ -8,7 +8,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aulario.functions.dates import at_minute, now, plus_minutes, today
+from aulario.functions.dates import at_minute, clock, now, plus_minutes, today
 from aulario.operators.filters import ROOM
 from aulario.plans.paging import PAGE, paged_lists
 from aulario.sources import fixed
@@ -171,6 +171,7 @@ def active_reservations(t: Model) -> DataFrame:
 
 
 def reservation_detail(t: Model) -> DataFrame:
+    """Every reservation with its room and hours, also as HH:MM."""
     return _with_room_and_turno(t, t.reserva).select(
         "id_reserva",
         "nombre_sala",
@@ -178,6 +179,8 @@ def reservation_detail(t: Model) -> DataFrame:
         "fecha",
         "inicio_min",
         "fin_min",
+        clock("inicio_min").alias("hora_inicio"),
+        clock("fin_min").alias("hora_fin"),
         "capacidad",
         "tipo_sala",
         "estado",

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aulario.functions.dates import iso_date
 from aulario.operators import reports
 from aulario.operators.filters import ReportFilter
+from aulario.operators.verdicts import first_failing
 from aulario.sources.model import Model
 from aulario.sources.schema import REQUESTS, TABLES
 
 #: Big tables are stored by month of the reservation, so date filters prune whole folders.
 MONTH = "mes"
 _BY_MONTH = ("reserva", "reserva_participante")
-CORRUPT = "_corrupt_record"
+CORRUPT, REASON = "_corrupt_record", "_reason"
 #: Table of table names that completes a snapshot.
 MANIFEST = "manifest"
 _MANIFEST = T.StructType([T.StructField("tabla", T.StringType())])
@@ -85,33 +87,68 @@ def write_reports(t: Model, f: ReportFilter, out: str) -> None:
         shared.release()
 
 
-def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "parquet") -> DataFrame:
+def _parsed(text: Column, kind: T.DataType) -> Column:
+    """A form field as the declared type; NULL if it does not fit (dates are YYYY-MM-DD and nothing else)."""
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.DateType):
+        return iso_date(text)
+    if isinstance(kind, T.IntegralType):
+        text = F.when(text.rlike("^[+-]?[0-9]+$"), text)
+    return text.try_cast(kind)
+
+
+def _typed(texts: DataFrame, schema: T.StructType, raw: Column) -> DataFrame:
+    """Declared columns from text ones; what does not fit keeps ``raw`` and says which field is to blame."""
+    parsed = {f.name: _parsed(F.col(f.name), f.dataType) for f in schema.fields}
+    unfit = [(f"bad_{name}", F.col(name).isNotNull() & value.isNull()) for name, value in parsed.items()]
+    reason = first_failing([("malformed", F.col(CORRUPT).isNotNull()), *unfit])
+    columns = [value.alias(name) for name, value in parsed.items()]
+    return texts.select(*columns, F.when(reason.isNotNull(), raw).alias(CORRUPT), reason.alias(REASON))
+
+
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+
+
+def _read_csv(spark: SparkSession, schema: T.StructType, path: str, multi_line: bool) -> DataFrame:
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [n for n in schema.fieldNames() if n not in header]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    # every file must have the same header; Spark compares it by name
+    options = {"header": True, "enforceSchema": False, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE"}
+    texts = spark.read.schema(_text_schema(header)).options(columnNameOfCorruptRecord=CORRUPT, **options).csv(path)
+    return _typed(texts, schema, F.coalesce(CORRUPT, F.to_csv(F.struct(*[F.col(f"`{c}`") for c in header]))))
+
+
+def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     """A batch of requests in parquet, JSON lines or CSV with a header.
 
-    Text formats are read permissively: a record that does not fit keeps its raw text in
-    ``_corrupt_record`` and comes back with NULLs, for the caller to report or drop.
+    Text formats hold form fields: they are read as texts and converted strictly. A record that does
+    not fit keeps its raw text in ``_corrupt_record`` and a reason (``malformed`` or ``bad_<field>``) in
+    ``_reason``, for the caller to report or drop. CSV columns are found by name, in any order, others
+    are left out; quoted fields may hold line breaks. A CSV file with those cannot be split between
+    tasks: pass ``multi_line=False`` for big files without them.
     """
     schema = REQUESTS[kind]
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    permissive = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if fmt == "csv":
+        return _read_csv(spark, schema, path, multi_line)
+    if fmt != "json":
+        raise ValueError(f"unknown request format: {fmt}")
     lines = spark.read.text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # parsed as an expression, so that any subset of the columns can be read on its own
-    if fmt == "json":
-        record = F.from_json("value", permissive, options)
-    elif fmt == "csv":
-        lines = lines.filter(F.col("value") != ",".join(schema.fieldNames()))
-        record = F.from_csv("value", permissive.simpleString()[len("struct<") : -1].replace(":", " "), options)
-    else:
-        raise ValueError(f"unknown request format: {fmt}")
-    return lines.select(record.alias("r")).select("r.*")
+    record = F.from_json("value", _text_schema(schema.fieldNames()), options)
+    return _typed(lines.select("value", record.alias("r")).select("value", "r.*"), schema, F.col("value"))
 
 
 def split_corrupt(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Well-formed requests, and the raw text of the malformed ones."""
-    good = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, batch.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """Well-formed requests, and the raw text and reason of the others."""
+    good = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, REASON)
+    return good, batch.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, REASON)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

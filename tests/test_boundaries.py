@@ -326,7 +326,22 @@ def test_malformed_requests_keep_their_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ci,id_reserva\n1,2\n3,x\n")
     ok, bad = split_corrupt(read_requests(spark, "cancel", str(tmp_path / "a.csv"), "csv"))
     assert [tuple(r) for r in ok.collect()] == [("1", 2)]
-    assert [r[0] for r in bad.collect()] == ["3,x"]
+    assert [tuple(r) for r in bad.collect()] == [("3,x", "bad_id_reserva")]
+
+
+def test_csv_by_name_with_line_breaks_and_strict_dates(spark, tmp_path):
+    head = "id_turno_nuevo,extra,estado_nuevo,fecha_nueva,id_reserva\n"
+    rows = '3,x,"Acti\nva, ""si""",2025-02-03,7\n3,x,Activa,03/02/2025,8\n3,x,Activa,2025-02-30,9\n,,,,10\n3,x,Activa,2025-2-3,11\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(head + rows)
+    # a record like the header is a record
+    (tmp_path / "in" / "b.csv").write_text(head + "4.5,x,Activa,2025-02-03,12\n" + head + "5,short\n")
+    ok, bad = split_corrupt(read_requests(spark, "edit", str(tmp_path / "in"), "csv"))
+    assert sorted(map(tuple, ok.collect())) == [(7, d(3, 2), 3, 'Acti\nva, "si"'), (10, None, None, None)]
+    assert sorted(r[1] for r in bad.collect()) == ["bad_fecha_nueva"] * 3 + ["bad_id_reserva", "bad_id_turno_nuevo", "malformed"]
+    (tmp_path / "c.csv").write_text("id_reserva,estado_nuevo\n1,Activa\n")
+    with pytest.raises(ValueError, match="fecha_nueva"):
+        read_requests(spark, "edit", str(tmp_path / "c.csv"), "csv")
 
 
 def test_reports_written_in_one_run_equal_the_reports(spark, demo, tmp_path):
