@@ -25,7 +25,7 @@ from aulario.operators.propagation import cancel_where, left_without_confirmed,
 from aulario.operators.verdicts import Mode, Outcome, Rule, any_fails, judge
 from aulario.plans.first_come import Resource, grant_in_order, granted_before
 from aulario.plans.moves import held_by_others, settle
-from aulario.plans.numbering import id_levels, next_ids
+from aulario.plans.numbering import next_ids
 from aulario.plans.staging import stage
 from aulario.sources import fixed
 from aulario.sources.model import Model
@@ -52,7 +52,7 @@ def apply_bookings(t: Model, verdicts: DataFrame, as_of: dt.datetime) -> Model:
 
     @cache
     def numbered() -> DataFrame:  # both tables must see the same ids
-        return next_ids(accepted(verdicts), id_levels("request_id"), "id_reserva", t.reserva)
+        return next_ids(accepted(verdicts), ["request_id"], "id_reserva", t.reserva)
 
     def reserva(_: Model) -> DataFrame:
         new = numbered().withColumn("estado", F.lit(fixed.ACTIVA))
@@ -450,7 +450,7 @@ def intake_participants(t: Model, reqs: DataFrame) -> Outcome:
         rows = new.select(
             "request_id", F.col("ci").alias("ci_participante"), F.col("programa").alias("nombre_programa"), "rol"
         )
-        numbered = next_ids(rows, id_levels("request_id"), "id_alumno_programa", ppa)
+        numbered = next_ids(rows, ["request_id"], "id_alumno_programa", ppa)
         return ppa.unionByName(numbered.select(*ppa.columns))
 
     return Outcome(

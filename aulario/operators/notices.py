@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aulario.functions.dates import now
 from aulario.functions.text import fill
-from aulario.plans.numbering import ci_levels, id_levels, next_ids
+from aulario.plans.numbering import next_ids
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
@@ -44,7 +44,5 @@ def notifications(rows: DataFrame, mensaje: Column, as_of: dt.datetime) -> DataF
 
 def append_notifications(t: Model, new: DataFrame) -> DataFrame:
     """The notification table with ``new`` numbered after the existing ones by (reservation, person)."""
-    numbered = next_ids(
-        new, [*id_levels("sobre"), *ci_levels("ci_participante")], "id_notificacion", t.notificacion
-    )
+    numbered = next_ids(new, ["sobre", "ci_participante"], "id_notificacion", t.notificacion)
     return t.notificacion.unionByName(numbered.select(*t.notificacion.columns))

@@ -14,7 +14,7 @@ from aulario.operators.filters import flag_people
 from aulario.operators.notices import append_notifications, message, notifications
 from aulario.operators.verdicts import Outcome, judge
 from aulario.plans.intervals import merge_intervals
-from aulario.plans.numbering import ci_levels, next_ids
+from aulario.plans.numbering import next_ids
 from aulario.sources import fixed
 from aulario.sources.model import Model
 
@@ -35,7 +35,7 @@ def two_months(as_of: dt.datetime) -> Column:
 def append_sanctions(t: Model, people: DataFrame, start: Column, end: Column) -> DataFrame:
     """The sanction table plus an active sanction for each row of ``people`` (distinct ``ci``)."""
     new = _new_sanctions(people, start, end)
-    numbered = next_ids(new, ci_levels("ci_participante"), "id_sancion", t.sancion_participante)
+    numbered = next_ids(new, ["ci_participante"], "id_sancion", t.sancion_participante)
     return t.sancion_participante.unionByName(numbered.select(*t.sancion_participante.columns))
 
 
@@ -113,7 +113,7 @@ def add_sanctions(t: Model, reqs: DataFrame, as_of: dt.datetime) -> Outcome:
     def with_new(_: Model) -> DataFrame:
         # numbered after every id in use, the absorbed ones included
         new = _new_sanctions(result, F.col("ini"), F.col("fin"))
-        numbered = next_ids(new, ci_levels("ci_participante"), "id_sancion", t.sancion_participante)
+        numbered = next_ids(new, ["ci_participante"], "id_sancion", t.sancion_participante)
         return kept.unionByName(numbered.select(*kept.columns))
 
     notices = notifications(result.filter(~F.col("fusion")), message("sanction"), as_of)

@@ -4,66 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aulario.plans.staging import stage
 
+_PLACE_BITS = 33  # of monotonically_increasing_id: the place within the partition
 
-def id_levels(key: Column | str) -> list[Column]:
-    """A 64-bit key as (block of 2^20 values, value): a block holds at most 2^20 distinct keys."""
-    key = F.col(key) if isinstance(key, str) else key
-    return [F.shiftright(key, 20), key]
 
+def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out`` = 1-based position of each row in the order of the columns ``order``.
 
-def ci_levels(ci: Column | str) -> list[Column]:
-    """An eight-character identity number as (first four characters, whole)."""
-    ci = F.col(ci) if isinstance(ci, str) else ci
-    return [F.substring(ci, 1, 4), ci]
-
-
-def number_rows(df: DataFrame, levels: Sequence[Column], out: str) -> DataFrame:
-    """Add ``out`` = 1-based position of each row in the order of ``levels``.
-
-    ``levels`` go from coarse to fine and together are unique. Rows are counted per prefix, the
-    counts are turned into starting offsets from the coarsest prefix down, and only the rows that
-    share all but the last level are numbered together. Each window therefore spans one fan-out of
-    one level, never the table; the coarsest one runs over one small row per coarsest prefix.
-    """
-    names = [f"_lv{i}" for i in range(len(levels))]
-    keyed = df.withColumns(dict(zip(names, levels)))
-    inner = Window.partitionBy(*names[:-1]).orderBy(names[-1])
-    numbered = keyed.withColumn("_pos", F.row_number().over(inner))
-
-    counts = keyed.groupBy(*names[:-1]).agg(F.count("*").alias("_n"))
-    per_depth = {len(names) - 1: counts}
-    for depth in range(len(names) - 2, 0, -1):
-        per_depth[depth] = per_depth[depth + 1].groupBy(*names[:depth]).agg(F.sum("_n").alias("_n"))
-
-    starts: DataFrame | None = None
-    for depth in range(1, len(names)):
-        before = Window.partitionBy(*names[: depth - 1]).orderBy(names[depth - 1])
-        before = before.rowsBetween(Window.unboundedPreceding, -1)
-        here = per_depth[depth].withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        if starts is None:
-            starts = here.select(*names[:depth], F.col("_before").alias("_start"))
-        else:
-            starts = here.join(starts, names[: depth - 1]).select(
-                *names[:depth], (F.col("_start") + F.col("_before")).alias("_start")
-            )
-    return (
-        numbered.join(starts, names[:-1])
-        .withColumn(out, F.col("_start") + F.col("_pos"))
-        .select(*df.columns, out)
-    )
-
-
-def next_ids(new_rows: DataFrame, levels: Sequence[Column], id_col: str, existing: DataFrame) -> DataFrame:
-    """Number ``new_rows`` upwards from the highest ``id_col`` in ``existing``.
-
-    The rows are written to the shared folder first: numbering reads them several times, and an id
-    once given must not depend on computing them again.
+    The rows are dealt by ranges of the order, sorted within each and written to the shared folder
+    with range and place: a number once given does not depend on computing the rows again. Ranges are
+    cut by sampling, so each is a part of the table whatever the keys are like. Counts per range, as
+    many rows as there are ranges, turn into where each starts.
     """
-    new_rows = stage(new_rows, id_col)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stage(dealt.withColumn("_place", F.monotonically_increasing_id()), out)
+    dealt = dealt.withColumn("_range", F.shiftright("_place", _PLACE_BITS))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = starts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return dealt.join(starts, "_range").withColumn(out, F.col("_start") + place + 1).select(*df.columns, out)
+
+
+def next_ids(new_rows: DataFrame, order: Sequence[str], id_col: str, existing: DataFrame) -> DataFrame:
+    """Number ``new_rows`` in the order of columns upwards from the highest ``id_col`` in ``existing``."""
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("top")).scalar()
-    return number_rows(new_rows, levels, "_seq").withColumn(id_col, F.col("_seq") + top).drop("_seq")
+    return number_rows(new_rows, order, "_seq").withColumn(id_col, F.col("_seq") + top).drop("_seq")

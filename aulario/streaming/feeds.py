@@ -19,7 +19,7 @@ from aulario.functions.dates import at_minute, plus_minutes, today
 from aulario.operators.notices import message, notifications
 from aulario.operators.propagation import newly_sanctioned
 from aulario.operators.sanctions import two_months
-from aulario.plans.numbering import ci_levels, next_ids
+from aulario.plans.numbering import next_ids
 from aulario.sources import fixed
 from aulario.sources.model import Model
 from aulario.sources.schema import CHANGES, TABLES
@@ -104,11 +104,11 @@ def sanction_no_show_stream(t: Model, changes: DataFrame, out: str, checkpoint:
                 two_months(as_of).alias("fecha_fin"),
                 F.lit(True).alias("activa"),
             )
-            new = next_ids(rows, ci_levels("ci_participante"), "id_sancion", now_state.sancion_participante)
+            new = next_ids(rows, ["ci_participante"], "id_sancion", now_state.sancion_participante)
             sanctions.write(new, lote)
             texts = notifications(people, message("no_show"), as_of)
             # one text per person in a batch, so the person alone orders them
-            told = next_ids(texts, ci_levels("ci_participante"), "id_notificacion", now_state.notificacion)
+            told = next_ids(texts, ["ci_participante"], "id_notificacion", now_state.notificacion)
             notices.write(told, lote)
         finally:
             people.unpersist()

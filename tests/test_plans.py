@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aulario.catalog.queries import QUERIES
 from aulario.operators import islands, listings
 from aulario.plans.intervals import merge_intervals
-from aulario.plans.numbering import ci_levels, id_levels, next_ids, number_rows
+from aulario.plans.numbering import next_ids, number_rows
 from aulario.plans.paging import paged_lists
 
 DAY0 = dt.date(2025, 1, 1)
@@ -21,18 +21,29 @@ def test_numbering_of_sparse_ids(spark):
     rnd = random.Random(1)
     ids = sorted({rnd.choice([rnd.randint(0, 50), rnd.randint(0, 2**21), rnd.randint(0, 2**45)]) for _ in range(500)})
     df = spark.createDataFrame([(i,) for i in rnd.sample(ids, len(ids))], "k long")
-    got = {r.k: r.n for r in number_rows(df, id_levels("k"), "n").collect()}
+    got = {r.k: r.n for r in number_rows(df, ["k"], "n").collect()}
     assert got == {k: i + 1 for i, k in enumerate(ids)}
 
 
+def test_numbering_deals_a_single_key_by_the_rest_of_the_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = number_rows(spark.range(20_000).select(F.lit(5).alias("r"), (20_000 - F.col("id")).alias("k")), ["r", "k"], "n")
+        parts = numbered.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert numbered.filter("n <> k").isEmpty()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_numbering_continues_after_existing_ids(spark):
     rnd = random.Random(2)
     rows = sorted({(rnd.choice([7, 7, rnd.randint(0, 2**22)]), f"{rnd.randint(0, 99999999):08d}") for _ in range(400)})
     df = spark.createDataFrame(rnd.sample(rows, len(rows)), "r long, ci string")
     old = spark.createDataFrame([(5,), (41,)], "id long")
-    got = {(x.r, x.ci): x.id for x in next_ids(df, [*id_levels("r"), *ci_levels("ci")], "id", old).collect()}
+    got = {(x.r, x.ci): x.id for x in next_ids(df, ["r", "ci"], "id", old).collect()}
     assert got == {row: 42 + i for i, row in enumerate(rows)}
-    first = next_ids(df.limit(1), ci_levels("ci"), "id", old.limit(0)).collect()
+    first = next_ids(df.limit(1), ["ci"], "id", old.limit(0)).collect()
     assert [x.id for x in first] == [1]
 
 
