@@ -3,8 +3,9 @@
 A text is written with a mark for every space and one mark in front. Its characters are the first
 symbols; adjacent pairs whose joined string is a piece wait in an agenda ordered by score, the
 leftmost of equals first. The best pair is joined, entries that name a joined symbol are stale and
-skipped, and the new neighbours enter the agenda. What stays a character without a piece is spelled
-in byte pieces. As no piece has a mark after another character (proved when the vocabulary is read),
+skipped, and the new neighbours enter the agenda. Short parts go through it together: the pairs of one
+part are a row of scores, of which the best is joined in every row at once. What stays a character
+without a piece is spelled in byte pieces. As no piece has a mark after another character (proved when the vocabulary is read),
 pairs never cross the start of a run of marks, so a text is cut there and equal parts are encoded once
 per worker; the number of characters remembered is bounded. A vocabulary with longer pieces is taken
 whole text by whole text.
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,6 +36,9 @@ from aulario.llm.text import sliced
 MARK = "▁"
 #: Characters of parts that a worker remembers before it starts afresh, and the longest part remembered.
 REMEMBERED, LONGEST = 4_000_000, 200
+#: Longest part that shares a matrix with others, and rows of such a matrix.
+SHORT, ROWS = 24, 8192
+_PAD = -1
 
 codecs.register_error("one-by-one", lambda e: ("�", e.start + 1))
 
@@ -87,6 +92,7 @@ class Pieces:
         self.surface = {i: p.replace(MARK, " ") for p, i in self.ids.items()}
         self.unknown = sp.unk_id()
         self.surface |= {self.unknown: " ⁇ "}
+        self._tabulate()
         cuts = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.parts: Callable[[str], list[str]] = re.compile(f"{MARK}+[^{MARK}]*" if cuts else "(?s).+").findall
         self._forget()
@@ -104,11 +110,84 @@ class Pieces:
             raise ValueError("needs a merge-type vocabulary that leaves texts as they are and puts a mark in front")
 
     def _forget(self) -> None:
-        self.count: dict[str, int] = {}
-        self.decimal: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.known: dict[str, tuple[str, str]] = {}
         self.held = 0
 
+    def _tabulate(self) -> None:
+        """Numbers of characters, and of what adjacent pieces join to, sorted by the numbers of both."""
+        ids, size = self.ids, self.library.get_piece_size()
+        self.character = np.full(0x110000, _PAD - 1, np.int64) - np.arange(0x110000)  # below the pad: no piece
+        for piece in ids:
+            if len(piece) == 1:
+                self.character[ord(piece)] = ids[piece]
+        joined = [
+            (ids[p[:k]] * size + ids[p[k:]], i, self.scores[p])
+            for p, i in ids.items()
+            for k in range(1, len(p))
+            if p[:k] in ids and p[k:] in ids
+        ]
+        joined.sort()
+        keys, results, scores = zip(*joined, strict=True)
+        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max])
+        self.pair_results, self.pair_scores = np.array([*results, 0]), np.array([*scores, np.inf])
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and result of joining neighbours; infinite where they do not join."""
+        key = a * self.library.get_piece_size() + b
+        at = np.searchsorted(self.pair_keys, key)
+        fits = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(fits, self.pair_scores[at], np.inf), self.pair_results[at]
+
+    def merge_equally_long(self, parts: list[str]) -> list[list[int]]:
+        """Symbols left of parts of one length, as ids; characters without a piece are negative."""
+        symbols = self.character[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)].reshape(len(parts), -1)
+        width = symbols.shape[1]
+        left = np.full(symbols.shape, _PAD)
+        rows, place = np.arange(len(parts)), np.arange(width)
+        symbols = np.concatenate([symbols, np.full((len(parts), 1), _PAD)], 1)
+        score, result = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            at = score.argmin(1)
+            own = np.arange(len(rows))
+            live = score[own, at] < np.inf
+            left[rows[~live]] = symbols[~live, :width]
+            rows, at, symbols, score, result = rows[live], at[live], symbols[live], score[live], result[live]
+            own = np.arange(len(rows))
+            joined = result[own, at]
+            moved = place + (place > at[:, None])  # close the gap of the right one
+            symbols[:, :width] = np.take_along_axis(symbols, moved, 1)
+            symbols[own, at] = joined
+            moved = np.minimum(moved, width - 1)
+            score, result = np.take_along_axis(score, moved, 1), np.take_along_axis(result, moved, 1)
+            score[own, at], result[own, at] = self._pairs(joined, symbols[own, at + 1])
+            inner = np.flatnonzero(at > 0)
+            before = at[inner] - 1
+            score[inner, before], result[inner, before] = self._pairs(symbols[inner, before], joined[inner])
+        kept = left != _PAD
+        ids, ends = left[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
+        out: dict[str, list[int]] = {}
+        by_length: dict[int, list[str]] = {}
+        for part in parts:
+            by_length.setdefault(len(part), []).append(part)
+        for n, group in by_length.items():
+            if n > SHORT:
+                out |= {part: self.part_ids(part) for part in group}
+                continue
+            for first in range(0, len(group), ROWS):
+                some = group[first : first + ROWS]
+                for part, ids in zip(some, self.merge_equally_long(some), strict=True):
+                    if min(ids) < 0:
+                        ids = [j for i in ids for j in ([i] if i >= 0 else self._spelled(chr(_PAD - 1 - i)))]
+                    out[part] = ids
+        return [out[part] for part in parts]
+
+    def _spelled(self, character: str) -> list[int]:
+        return [self.byte_ids[b] for b in character.encode()]
+
     def merge(self, part: str) -> list[str]:
         """Symbols left when no adjacent pair is a piece any more."""
         symbols: list[str | None] = list(part)
@@ -145,13 +224,17 @@ class Pieces:
         for symbol in self.merge(part):
             known = self.ids.get(symbol)
             if known is None:
-                ids += [self.byte_ids[b] for b in symbol.encode()]
+                ids += self._spelled(symbol)
             else:
                 ids.append(known)
         return ids
 
     def spoken(self, ids: Iterable[int]) -> str:
         """Text of ids, marks as spaces; byte pieces that spell no character give replacement characters."""
+        ids = list(ids)
+        out = [self.surface.get(i) for i in ids]
+        if None not in out:
+            return "".join(out)
         out = []
         for spelled, run in groupby(ids, self.byte_of.__contains__):
             if spelled:
@@ -170,25 +253,23 @@ class Pieces:
 
     def learn(self, parts: set[str]) -> None:
         """Encode parts not met before and hold them against the library."""
-        new = [p for p in parts if p not in self.count]
+        new = [p for p in parts if p not in self.known]
         if self.held + sum(map(len, new)) > REMEMBERED:
             self._forget()
             new = list(parts)
-        encoded = [self.part_ids(p) for p in new]
+        encoded = self.encode_parts(new)
         plain = [p[1:].replace(MARK, " ") for p in new]
         for part, text, ids, theirs in zip(new, plain, encoded, self.library.encode(plain, num_threads=1), strict=True):
             spoken = self.spoken(ids)
             if spoken != " " + text or (text and ids != theirs):
                 raise AssertionError(f"{part!r}: {ids} here, {theirs} in the library")
-            self.count[part] = len(ids)
-            self.decimal[part] = ",".join(map(str, ids))
-            self.text[part] = spoken
+            self.known[part] = ",".join(map(str, ids)), spoken
             self.held += len(part)
 
     def release(self, parts: set[str]) -> None:
         """Forget parts too long to be worth remembering."""
         for part in (p for p in parts if len(p) > LONGEST):
-            del self.count[part], self.decimal[part], self.text[part]
+            del self.known[part]
             self.held -= len(part)
 
     def round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -196,8 +277,11 @@ class Pieces:
         cut = [self.parts(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         parts = set().union(*cut)
         self.learn(parts)
-        count, decimal, text = (d.__getitem__ for d in (self.count, self.decimal, self.text))
-        out = [(sum(map(count, c)), ",".join(map(decimal, c)), "".join(map(text, c))[1:]) for c in cut]
+        out = []
+        for c in cut:
+            both = list(map(self.known.__getitem__, c))
+            ids = ",".join([b[0] for b in both])
+            out.append((ids.count(",") + 1 if ids else 0, ids, "".join([b[1] for b in both])[1:]))
         self.release(parts)
         return out
 

@@ -47,10 +47,19 @@ def test_any_ids_decode_as_in_the_library(library):
 def test_a_wrong_merge_is_noticed(monkeypatch):
     v = pa.Pieces(PATH)
     monkeypatch.setattr(v, "scores", {p: -s for p, s in v.scores.items()})
+    with pytest.raises(AssertionError):
+        v.round_trip(["internationalunderstandingoflongwords"])
+    v._tabulate()
     with pytest.raises(AssertionError):
         v.round_trip(["international understanding"])
 
 
+def test_both_agendas_agree():
+    v = pa.Pieces(PATH)
+    parts = sorted({p for t in odd_texts(21, 400) for p in v.parts("▁" + t.replace(" ", "▁")) if len(p) <= pa.SHORT})
+    assert v.encode_parts(parts) == [v.part_ids(p) for p in parts]
+
+
 def test_what_a_worker_remembers_is_bounded(monkeypatch, library):
     monkeypatch.setattr(pa, "REMEMBERED", 200)
     v = pa.Pieces(PATH)
