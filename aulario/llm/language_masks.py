@@ -15,11 +15,11 @@ the empty string in the folds.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ HASHES, CELLS_PER_GRAM = 3, 16
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -76,8 +76,9 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(gram: np.ndarray, size: int) -> list[np.ndarray]:
-    h = mix(gram.astype(np.uint64) + np.uint64(0x9E37))
-    return [((h >> np.uint64(21 * i)) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
+    # a hash of its own each, so that tables of any size are filled evenly
+    salted = (gram.astype(np.uint64) + np.uint64(0x9E37 + (i << 32)) for i in range(HASHES))
+    return [(mix(h) & np.uint64(size - 1)).astype(np.int64) for h in salted]
 
 
 class Masks:
@@ -86,7 +87,7 @@ class Masks:
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
         self.languages = languages
         held = max(1, len(np.unique(np.concatenate([np.empty(0, np.int64), *grams.values()]))))
-        self.size = min(1 << 21, 1 << int(held * CELLS_PER_GRAM - 1).bit_length())
+        self.size = 1 << int(held * CELLS_PER_GRAM - 1).bit_length()
         self.cells = np.zeros((self.size, -(-len(languages) // 64) or 1), np.uint64)
         for i, name in enumerate(languages):
             for at in _cells(grams.get(name, np.empty(0, np.int64)), self.size):

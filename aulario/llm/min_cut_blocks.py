@@ -32,7 +32,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 _BLOCK = frozenset(
@@ -55,6 +55,7 @@ _HINTS = frozenset(
     " promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe"
     " subscription tags toolbar widget".split()
 )
+_READERS = frozenset("comment comments disqus replies reply respond".split())
 _CONTENT_HINTS = frozenset("article content entry main post story body text".split())
 
 
@@ -80,15 +81,37 @@ class Weights:
 
 @dataclass
 class Element:
+    """An open element; flags are inherited from the elements around it."""
+
     tag: str
     number: int
     article: bool = False
     furniture: bool = False
-    hint: bool = False
     content_hint: bool = False
     hidden: bool = False
     link: bool = False
     block: bool = False
+    hint: Hint | None = None
+
+
+@dataclass
+class Hint:
+    """Words in the class or id of an element that speak for furniture, and what may speak against them."""
+
+    exact: bool
+    readers: bool
+    named: bool
+    outer: Hint | None
+    holds_article: bool = False
+    words: int = 0
+
+    def stands(self, words: int) -> bool:
+        """False for a wrapper of most of the page's words that is a layout rather than a piece of furniture."""
+        if 2 * self.words < words:
+            return True
+        if self.holds_article and not (self.exact and self.readers):
+            return False
+        return not self.named and (self.exact or self.readers)
 
 
 @dataclass
@@ -99,10 +122,12 @@ class Block:
     parent: int
     element: Element
     tag: str = field(default="")
+    furniture_hint: bool = False
 
 
 def _element(tag: str, attributes: str, number: int, up: Element) -> Element:
-    e = Element(tag, number, up.article, up.furniture, up.hint, up.content_hint, up.hidden, up.link or tag == "a", tag in _BLOCK)
+    e = Element(tag, number, up.article, up.furniture, up.content_hint, up.hidden, up.link or tag == "a", tag in _BLOCK, up.hint)
+    framed = tag in ("article", "main")
     if tag in ("article", "main"):
         e.article = True
     elif tag in _FURNITURE or tag == "header" and not up.article:
@@ -110,14 +135,17 @@ def _element(tag: str, attributes: str, number: int, up: Element) -> Element:
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            parts = set(_NAME.findall(value))
+            parts, tokens = set(_NAME.findall(value)), set(value.split())
             if parts & _HINTS and tag not in ("body", "html", "article", "main"):
-                e.hint = True
+                named = bool(tokens & _CONTENT_HINTS) and not tokens & _HINTS
+                e.hint = Hint(bool(tokens & _HINTS), bool(parts & _READERS), named, e.hint)
             elif parts & _CONTENT_HINTS:
                 e.content_hint = True
+            framed &= not parts & _HINTS
         elif name == "role":
             e.furniture |= value in _FURNITURE_ROLE
             e.article |= value in ("main", "article")
+            framed |= value in ("main", "article") and e.hint is up.hint
         elif name == "style":
             e.hidden |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
         elif name == "hidden":
@@ -125,6 +153,9 @@ def _element(tag: str, attributes: str, number: int, up: Element) -> Element:
         elif name == "aria-hidden":
             e.hidden |= value == "true"
     e.hidden |= tag in _OUT
+    around = up.hint if framed else None
+    while around:
+        around.holds_article, around = True, around.outer
     return e
 
 
@@ -198,16 +229,31 @@ def blocks(page: str) -> list[Block]:
             number += 1
             stack.append(_element(tag, attributes, number, stack[-1]))
     flush()
+    _weigh_hints(out)
     return out
 
 
+def _weigh_hints(found: list[Block]) -> None:
+    """Mark the blocks inside furniture by class or id; wrappers of most of the page may not count."""
+    words = sum(b.words for b in found)
+    for b in found:
+        hint = b.element.hint
+        while hint:
+            hint.words, hint = hint.words + b.words, hint.outer
+    for b in found:
+        hint = b.element.hint
+        while hint and not hint.stands(words):
+            hint = hint.outer
+        b.furniture_hint = hint is not None
+
+
 def preference(b: Block, w: Weights) -> float:
     """How much content speaks for itself: cost as boilerplate less cost as content."""
     e = b.element
     s = w.bias + w.words * min(1.0, b.words / w.full_words) + w.link * b.linked / b.words
     s += w.sentence * (b.text[-1] in ".!?…。")
     s += w.article * e.article + w.content_hint * (e.content_hint and not e.article)
-    s += w.furniture * e.furniture + w.hint * e.hint
+    s += w.furniture * e.furniture + w.hint * b.furniture_hint
     s += w.paragraph * (b.tag in ("p", "blockquote", "pre")) + w.heading * (len(b.tag) == 2 and b.tag[0] == "h" and b.tag != "hr")
     return s + w.item * (b.tag == "li" and not e.article)
 

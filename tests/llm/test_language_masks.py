@@ -33,6 +33,19 @@ def test_held_out_accuracy_and_folds(documents):
     assert und[0] == und[1] == und[2] == und[4] == "und" and und[3] != "und"
 
 
+def test_signs_that_are_no_letters_name_no_language(documents):
+    texts = ["the of and a letter"] * 20 + ["²½ Ⅷ ① ١٢", "_ _", "ª", "字"]
+    got = [r["lang_pred"] for r in sorted(lm.identify(documents(texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got[20:] == ["und", "und", "en", "en"]
+
+
+def test_a_big_filter_is_filled_evenly():
+    gram = np.arange(400_000).astype(np.uint32)
+    masks = lm.Masks(["x", "y"], {"x": gram.astype(np.int64), "y": gram[:1].astype(np.int64)})
+    assert masks.size > 1 << 21 and masks.false_rate[0] < 0.01
+    assert abs(masks.shares(gram, np.zeros(len(gram), np.int64), 1)[0, 0] - 1) < 1e-6
+
+
 def test_filter_holds_every_gram_and_corrects_false_hits():
     rnd = np.random.default_rng(1)
     names = [f"l{i:03}" for i in range(130)]  # more than two columns of masks

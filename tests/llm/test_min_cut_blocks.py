@@ -49,3 +49,24 @@ def test_edge_pages(spark):
     assert len(got) == len(pages) and got[0]["text"] == got[1]["text"] == "" and got[7]["n_chars"] == 50000 * 5 - 1
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert m.extract(df.limit(0)).count() == 0
+
+
+LONG = "".join(f"<p>Sentence number {i} of the text, which goes on for a while and then ends.</p>" for i in range(5))
+TEXT = "\n".join(f"Sentence number {i} of the text, which goes on for a while and then ends." for i in range(5))
+
+
+def test_layout_words_around_the_article_do_not_lose_it():
+    for page in (
+        f'<div class="layout with-sidebar"><article>{LONG}</article><div class="sidebar"><p>Other things to read.</p></div></div>',
+        f'<div class="post comments-open">{LONG}</div>',
+        f'<div data-id="main-footer" data-class="ad">{LONG}</div>',
+        f'<div class="no-sidebar"><main>{LONG}</main></div>',
+        f'<div id="page" class="has-navbar"><div class="post">{LONG}</div><div class="footer"><p>Imprint and more.</p></div></div>',
+    ):
+        assert m.main_text(f"<body>{page}</body>") == TEXT, page
+
+
+def test_furniture_stays_out_even_if_it_is_most_of_the_page():
+    page = "<body><article><p>One sentence of the author, that is all there is to say.</p></article>{}</body>"
+    for rest in (f'<div class="comments">{LONG}</div>', f'<div id="comments-area">{LONG}</div>', f'<div class="cookie-notice"><p>We use some.</p></div>'):
+        assert m.main_text(page.format(rest)) == "One sentence of the author, that is all there is to say."
