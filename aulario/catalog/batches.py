@@ -60,7 +60,7 @@ class Batches:
         )
 
     def attendance(self) -> DataFrame:
-        return self.model.reserva_participante.filter("confirmado").select(
+        return self.model.reserva_participante.select(
             F.col("ci_participante").alias("ci"), "id_reserva", (F.col("id_reserva") % 2 == 0).alias("asistencia")
         )
 
@@ -123,8 +123,8 @@ class Batches:
         )
 
     def leavers(self) -> DataFrame:
-        """People to delete: one market segment, and somebody unknown."""
-        people = self.model.participantes.filter(F.col("nombre") == "FURNITURE").select("ci")
+        """People to delete: everybody, and somebody unknown; whoever has notifications stays."""
+        people = self.model.participantes.select("ci")
         unknown = self.raw.region.filter(F.col("r_regionkey") == 0).select(F.lit("99999999").alias("ci"))
         return people.unionByName(unknown)
 

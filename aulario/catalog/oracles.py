@@ -93,7 +93,7 @@ SELECT id_reserva, DATE '2025-01-30' + CAST(id_reserva % 25 AS INTEGER) AS fecha
             WHEN id_reserva % 3 = 1 THEN 'Activa' ELSE 'Sin asistencia' END AS estado_nuevo
 FROM reserva"""
 VIEWS["q_attendance"] = """
-SELECT ci_participante AS ci, id_reserva, id_reserva % 2 = 0 AS asistencia FROM rp WHERE confirmado"""
+SELECT ci_participante AS ci, id_reserva, id_reserva % 2 = 0 AS asistencia FROM rp"""
 VIEWS["q_sanction"] = """
 SELECT o_orderkey AS request_id,
        CASE WHEN o_orderkey % 70 = 5 THEN '12A' ELSE lpad(CAST(o_custkey // 4 AS VARCHAR), 8, '0') END AS ci,
@@ -118,7 +118,7 @@ VIEWS["q_room_edit"] = """
 SELECT nombre_sala, edificio, CAST(s_suppkey % 70 - 3 AS VARCHAR) AS capacidad,
        CASE WHEN s_suppkey % 2 = 0 THEN 'libre' ELSE 'DOCENTE' END AS tipo_sala FROM sala_k"""
 VIEWS["q_leavers"] = """
-SELECT ci FROM participantes WHERE nombre = 'FURNITURE' UNION ALL SELECT '99999999'"""
+SELECT ci FROM participantes UNION ALL SELECT '99999999'"""
 VIEWS["c_state"] = """
 SELECT id_reserva, CASE WHEN id_reserva % 5 = 0 THEN 'Sin Asistencia' ELSE 'Activa' END AS estado_old,
        CASE WHEN id_reserva % 7 = 0 THEN 'Finalizada' ELSE 'Sin Asistencia' END AS estado_new FROM reserva"""
