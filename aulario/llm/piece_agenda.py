@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -38,6 +39,8 @@ MARK = "▁"
 REMEMBERED, LONGEST = 4_000_000, 200
 #: Longest part that shares a matrix with others, and rows of such a matrix.
 SHORT, ROWS = 24, 8192
+#: Code points below this have their first pairs in a table.
+COMMON = 0x180
 _PAD = -1
 
 codecs.register_error("one-by-one", lambda e: ("�", e.start + 1))
@@ -116,6 +119,7 @@ class Pieces:
     def _tabulate(self) -> None:
         """Numbers of characters, and of what adjacent pieces join to, sorted by the numbers of both."""
         ids, size = self.ids, self.library.get_piece_size()
+        self.size = size
         self.character = np.full(0x110000, _PAD - 1, np.int64) - np.arange(0x110000)  # below the pad: no piece
         for piece in ids:
             if len(piece) == 1:
@@ -130,22 +134,38 @@ class Pieces:
         keys, results, scores = zip(*joined, strict=True)
         self.pair_keys = np.array([*keys, np.iinfo(np.int64).max])
         self.pair_results, self.pair_scores = np.array([*results, 0]), np.array([*scores, np.inf])
+        # first pairs of common characters by a square table instead of a search; the last row is for all others
+        common = [*map(chr, range(COMMON)), MARK]
+        self.common = np.full(0x110000, len(common), np.int64)
+        self.common[[ord(c) for c in common]] = np.arange(len(common))
+        own = self.character[[ord(c) for c in common]]
+        self.first = np.full((len(common) + 1, len(common) + 1), len(keys))
+        key = own[:, None] * size + own
+        at = np.searchsorted(self.pair_keys, key)
+        fits = (self.pair_keys[at] == key) & (own[:, None] >= 0) & (own >= 0)
+        self.first[:-1, :-1] = np.where(fits, at, len(keys))
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and result of joining neighbours; infinite where they do not join."""
-        key = a * self.library.get_piece_size() + b
+        key = a * self.size + b
         at = np.searchsorted(self.pair_keys, key)
         fits = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(fits, self.pair_scores[at], np.inf), self.pair_results[at]
 
     def merge_equally_long(self, parts: list[str]) -> list[list[int]]:
         """Symbols left of parts of one length, as ids; characters without a piece are negative."""
-        symbols = self.character[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)].reshape(len(parts), -1)
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(len(parts), -1)
+        symbols = self.character[points]
         width = symbols.shape[1]
         left = np.full(symbols.shape, _PAD)
         rows, place = np.arange(len(parts)), np.arange(width)
         symbols = np.concatenate([symbols, np.full((len(parts), 1), _PAD)], 1)
-        score, result = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        common = self.common[points]
+        at = np.full((len(parts), width), len(self.pair_keys) - 1)  # the last column has no right neighbour
+        at[:, :-1] = self.first[common[:, :-1], common[:, 1:]]
+        score, result = self.pair_scores[at], self.pair_results[at]
+        rare = np.flatnonzero((common == len(self.first) - 1).any(1))
+        score[rare], result[rare] = self._pairs(symbols[rare, :-1], symbols[rare, 1:])
         while len(rows):
             at = score.argmin(1)
             own = np.arange(len(rows))
@@ -274,6 +294,16 @@ class Pieces:
 
     def round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids in decimals joined by commas, and the decoded text of each text."""
+        # nothing here is cyclic, and the collector would look through all that is remembered again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._round_trip(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
         cut = [self.parts(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         parts = set().union(*cut)
         self.learn(parts)
