@@ -967,7 +967,8 @@ FROM q_attendance q JOIN fin_de f USING (id_reserva) JOIN reserva r USING (id_re
 
     # integrity
     o["dq1_duplicate_emails"] = """
-SELECT email, count(*) AS veces, 'unique' AS regla FROM q_participant GROUP BY email HAVING count(*) > 1"""
+SELECT min(email) AS email, count(*) AS veces, 'unique' AS regla FROM q_participant
+GROUP BY lower(rtrim(email)) HAVING count(*) > 1"""
     o["dq2_unknown_people"] = """
 SELECT ci, id_reserva, 'reference' AS regla FROM q_cancel WHERE ci NOT IN (SELECT ci FROM participantes)"""
     o["dq3_missing_room"] = "SELECT request_id, 'not_null' AS regla FROM q_booking WHERE nombre_sala IS NULL"

@@ -64,14 +64,16 @@ def canonical(c: Column | str, spellings: tuple[str, ...]) -> Column:
     return out
 
 
-# Letters that compare equal under the database's Spanish collation (ñ stays apart).
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿç"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyyc"
+#: Collation of the database's text columns: no case, no accents, ñ a letter of its own.
+COLLATION = "es_CI_AI"
 
 
 def text_key(c: Column | str) -> Column:
-    """Key under which two texts are the same to the database: no case, no accents."""
-    return F.translate(F.lower(F.rtrim(_col(c))), _ACCENTED, _PLAIN)
+    """The text as the database compares it: equality, joins and grouping follow the Spanish collation.
+
+    Trailing blanks do not count. The value keeps its spelling; keys are for comparing, not for output.
+    """
+    return F.collate(F.rtrim(_col(c)), COLLATION)
 
 
 def contains_ci(c: Column | str, needle: str) -> Column:

@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from aulario.functions.text import canonical, check_digit_ok, email_domain_ok
+from aulario.functions.text import canonical, check_digit_ok, email_domain_ok, text_key
 from aulario.operators.filters import SLOT
 from aulario.sources import fixed
 from aulario.sources.model import Model
@@ -19,16 +20,33 @@ def _rule(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("regla", F.lit(name))
 
 
+def _compared(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Key columns as the database compares them: texts without case and accents, other types as they are."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return [(text_key(k) if k in texts else F.col(k)).alias(f"_{k}") for k in keys]
+
+
 def check_unique(df: DataFrame, keys: Sequence[str], name: str = "unique") -> DataFrame:
-    """Key values that occur more than once, with how often."""
-    return _rule(df.groupBy(*keys).agg(F.count("*").alias("veces")).filter(F.col("veces") > 1), name)
+    """Key values that occur more than once, with how often.
+
+    Texts that differ in case, accents or trailing blanks are the same value to the database; of their
+    spellings the smallest is shown.
+    """
+    shown = [F.min(k).alias(k) for k in keys]
+    groups = df.groupBy(*_compared(df, keys)).agg(*shown, F.count("*").alias("veces"))
+    return _rule(groups.filter(F.col("veces") > 1).select(*keys, "veces"), name)
 
 
 def check_reference(child: DataFrame, cols: Sequence[str], parent: DataFrame, parent_cols: Sequence[str], name: str = "reference") -> DataFrame:
-    """Child rows whose key is not in the parent; a key with a NULL part is not checked."""
-    keys = parent.select(*[F.col(p).alias(c) for c, p in zip(cols, parent_cols)])
+    """Child rows whose key is not in the parent; a key with a NULL part is not checked.
+
+    Texts refer to a key of any case and accents, as in the database.
+    """
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    return _rule(child.filter(whole).join(keys, list(cols), "left_anti"), name)
+    asked = child.select("*", *[k.alias(f"_c{i}") for i, k in enumerate(_compared(child, cols))])
+    keys = parent.select(*[k.alias(f"_c{i}") for i, k in enumerate(_compared(parent, parent_cols))])
+    on = [f"_c{i}" for i in range(len(cols))]
+    return _rule(asked.filter(whole).join(keys, on, "left_anti").select(*child.columns), name)
 
 
 def check_not_null(df: DataFrame, cols: Sequence[str], name: str = "not_null") -> DataFrame:

@@ -11,8 +11,9 @@ A grant takes its unit at once, also from undecided claims before it: it was onl
 was room for all of those too. So a round looks at undecided claims alone, with the units left. The
 earliest of them is always decidable, so the rounds end; in practice a round decides most of what is
 left, because a group settles as soon as its first few claims do. Of a group, only as many first
-claims matter as any group still has units: they are picked by a ranked filter that Spark applies
-before the shuffle too, and no task ever holds all the claims of a popular group.
+claims matter as it still has units itself. They are picked by a ranked filter; Spark applies its
+constant part (the most units any group has) before the shuffle too, so no task ever holds all the
+claims of a popular group, and a large group does not make the lists of small ones longer.
 """
 
 from __future__ import annotations
@@ -47,10 +48,12 @@ def _takers(claims: DataFrame, r: Resource) -> DataFrame:
 
 
 def _first_claims(claims: DataFrame, r: Resource, order: str, most: int) -> DataFrame:
-    """Per group: orders of its first ``most`` claims that take a unit."""
-    rows = _takers(claims, r).select(F.col(r.key).alias("_key"), F.col(order).alias("_ord"))
+    """Per group: orders of its first claims that take a unit, as many as it has left (``most`` at the most)."""
+    own = F.greatest(F.col(f"_{r.name}_left"), F.lit(1)).alias("_own")
+    rows = _takers(claims, r).select(F.col(r.key).alias("_key"), F.col(order).alias("_ord"), own)
     ranked = Window.partitionBy("_key").orderBy("_ord")
-    head = rows.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= most)
+    rows = rows.withColumn("_rank", F.row_number().over(ranked))
+    head = rows.filter((F.col("_rank") <= most) & (F.col("_rank") <= F.col("_own")))
     return head.groupBy("_key").agg(F.collect_list("_ord").alias(f"_{r.name}_open"))
 
 

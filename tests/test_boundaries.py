@@ -50,6 +50,24 @@ def test_closed_sets_and_keys(spark):
     assert value(spark, text.canonical(F.lit("Pendiente"), ("Activa",))) is None
     assert value(spark, text.text_key(F.lit("PÉREZ")) == text.text_key(F.lit("perez"))) is True
     assert value(spark, text.text_key(F.lit("año")) == text.text_key(F.lit("ano"))) is False
+    # letters no list of accents would name, and blanks at the end
+    assert value(spark, text.text_key(F.lit("Šimić  ")) == text.text_key(F.lit("SIMIC"))) is True
+
+
+def test_keys_compare_as_in_the_database(spark):
+    rows = spark.createDataFrame([("Šimić@x",), ("simic@X ",), ("año@x",), ("ano@x",), (None,)], "email string")
+    got = [tuple(r) for r in quality.check_unique(rows, ["email"]).collect()]
+    assert got == [("simic@X ", 2, "unique")]
+    child = spark.createDataFrame([("AÑO@X",), ("anó@x",), ("SIMIC@x",), ("nadie",), (None,)], "de string")
+    lost = quality.check_reference(child, ["de"], rows, ["email"]).collect()
+    assert [r.de for r in lost] == ["nadie"]
+
+
+def test_rooms_and_people_in_any_spelling_are_taken(spark, demo):
+    email = demo.participantes.orderBy("ci").first().email
+    asked = spark.createDataFrame([("1", email.upper().replace("A", "Ǎ") + " "), ("2", "nuevo@x")], "ci string, email string")
+    got = {r.ci: r.email_tomado for r in filters.flag_taken_identity(demo, asked).collect()}
+    assert got == {"1": True, "2": False}
 
 
 @pytest.mark.parametrize("a, b, out", [(1, 8, 12.5), (1, 3, 33.33), (2, 3, 66.67), (1, 1600, 0.06), (5, 0, None)])

@@ -98,6 +98,67 @@ def test_a_batch_run_again_writes_the_same(spark, demo, feed):
     assert written() == before
 
 
+def test_a_store_reads_few_folders_of_many_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())])
+    path = str(tmp_path / "store")
+    store = feeds.BatchStore(spark, path, schema, ["k"], fan_in=4)
+    batches, opened = 40, 0
+    for lote in range(batches):
+        opened = max(opened, len(store.folders(lote)))
+        store.write(spark.range(2).select((F.col("id") + lote).alias("k"), F.lit(lote).cast("long").alias("v")), lote)
+    assert opened <= 1 + 3 * 3  # the empty one, and three of each of three levels
+    want = [(lote + i, lote) for lote in range(batches) for i in range(2)]
+    assert sorted(map(tuple, store.before(batches).collect())) == sorted(want)
+    assert sorted(map(tuple, store.before(21).collect())) == sorted(w for w in want if w[1] < 21)
+    assert spark.read.parquet(path).count() == len(want)  # the copies do not show
+
+    # a copy that broke off lacks its mark and is written again; batches run again are final for others
+    merged = tmp_path / "store" / "_merged" / "l1-9"
+    (merged / "_SUCCESS").unlink()
+    spark.createDataFrame([], schema).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(str(merged))
+    again = feeds.BatchStore(spark, path, schema, ["k"], fan_in=4)
+    assert sorted(map(tuple, again.before(batches).collect())) == sorted(want)
+
+
+def test_a_long_feed_through_merged_folders(spark, demo, feed, monkeypatch):
+    """Many small batches with repetitions and restarts give what one batch gives, ids in a row."""
+    monkeypatch.setattr(feeds.BatchStore.__init__, "__defaults__", (None, 2))
+
+    def run():
+        stream = feeds.read_feed(spark, "reserva", feed.path, files_per_batch=1)
+        feeds.sanction_no_show_stream(demo, stream, feed.out, feed.state, AS_OF).awaitTermination()
+
+    ids = (4, 2, 5, 3)
+    for r in (4, 4, 2, 4, 5):
+        feed("reserva", [no_show(r)])
+    run()
+    for r in (2, 3, 4, 5):
+        feed("reserva", [no_show(r)])
+    run()
+    out = spark.read.parquet(f"{feed.out}/sancion_participante").collect()
+    batch = propagation.sanctions_from_transitions(
+        demo, spark.createDataFrame([no_show(r) for r in ids], CHANGES["reserva"]), AS_OF
+    ).sancion_participante
+    assert sorted(r.ci_participante for r in out) == sorted(r.ci_participante for r in batch.filter("id_sancion > 1").collect())
+    assert sorted(r.id_sancion for r in out) == list(range(2, 2 + len(out)))
+
+
+def test_batches_read_the_months_they_touch(spark, demo, tmp_path):
+    from aulario.sources.tables import load_tables, write_snapshot
+
+    write_snapshot(demo, str(tmp_path / "v1"))
+    t = load_tables(spark, str(tmp_path / "v1"))
+    ids = spark.createDataFrame([(1,)], "id_reserva long")
+    cut = feeds._in_months_of(t, ids)
+    plan = cut.reserva_participante._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(mes" in plan
+    unknown = feeds._in_months_of(t, ids.union(spark.createDataFrame([(999,)], "id_reserva long")))
+    assert unknown.reserva_participante.count() == demo.reserva_participante.count()
+
+
 def leave(ci, r, version=1, new=False):
     return (ci, r, version, not new, new, AS_OF)
 
