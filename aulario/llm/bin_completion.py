@@ -20,7 +20,9 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ from aulario.plans.staging import stage
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers before it starts afresh.
+#: Words whose ids a worker remembers before it forgets the rare ones (a slice of more words goes beyond).
 REMEMBERED = 400_000
 #: Nodes that one search for a filling may visit; the incumbent is used after that.
 NODES = 3000
@@ -41,6 +43,12 @@ NODES = 3000
 RUN = 2_000
 
 
+def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of spans one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - (ends - lengths), lengths) + np.arange(lengths.sum())
+
+
 class WordIds:
     """Ids of words between ASCII white space; no token of such a vocabulary spans white space."""
 
@@ -49,21 +57,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        self.rank: dict[str, int] = {}  # of each remembered word, in the order of the arrays below
+        self.ids = np.empty(0, "<u4")  # of all remembered words, one after the other
+        self.first = np.zeros(1, np.int64)  # where those of each begin
+        self.uses = np.empty(0, np.int64)  # slices of text a word was in
+
+    def _forget(self) -> None:
+        """Drop the words that were in one slice alone, and the rarer ones of the others beyond half of what fits."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argsort(self.uses[kept], kind="stable")[-(REMEMBERED // 2) :]])
+        words = list(self.rank)
+        self.rank = {words[k]: i for i, k in enumerate(kept.tolist())}
+        lengths = np.diff(self.first)[kept]
+        self.ids = self.ids[_spans(self.first[kept], lengths)]
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+        self.uses = self.uses[kept] // 2  # what was frequent long ago ages
+
+    def _ranks(self, words: list[str]) -> np.ndarray:
+        """Number of each distinct word among the remembered ones; the others are encoded and remembered."""
+        if len(self.rank) + len(words) > REMEMBERED:
+            self._forget()
+        ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(ranks < 0)
+        new = [words[i] for i in unknown.tolist()]
+        ranks[unknown] = np.arange(len(self.rank), len(self.rank) + len(new))
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(new)))
+        self.rank.update(zip(new, range(len(self.rank), len(self.rank) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + ends])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), "<u4")])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[ranks] += 1
+        return ranks
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (one more at the end).
+
+        Each distinct word of the texts is looked up once; the rest is a gather over their places.
+        """
         # the vocabulary is lower case; a special token's string must stay as it is
-        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list(set().union(*cut).difference(self.ids))
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids = {}
-            new = list(set().union(*cut))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.ids.update(
-            (w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(new, encoded, strict=True)
-        )
-        return [b"".join(map(self.ids.__getitem__, ws)) for ws in cut]
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)  # blanks at the ends give empty words, which have no ids
+        words = lists.flatten().dictionary_encode()
+        ranks = self._ranks(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        lengths = np.diff(self.first)[ranks]
+        ids = self.ids[_spans(self.first[ranks], lengths)]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[offsets - offsets[0]]
 
 
 @functools.cache
@@ -82,9 +124,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             for part in sliced(batch, 1):
                 rows = []
-                texts = pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()
-                for doc, ids in zip(part.column(0).to_pylist(), v.encode(texts), strict=True):
-                    ids += END
+                whole, bounds = v.encode(part.column(1))
+                for doc, a, b in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                    ids = whole[a:b].tobytes() + END
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc, p, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -106,3 +106,22 @@ def test_slots_stay_bounded_and_repeated_rows_are_packed_each(spark, documents):
     assert len(rows) == 10 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 10
     assert bc.pack(bc.pieces(docs.limit(0), path)).count() == 0
     assert tc.count_tokens(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), 9).count() == 0
+
+
+def test_ids_while_words_are_forgotten(monkeypatch):
+    """Words that are forgotten, kept or seen again give the ids of the library, slice after slice."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    common = [f"w{i}" for i in range(12)]
+    for limit in (1, 8, 30):
+        monkeypatch.setattr(bc, "REMEMBERED", limit)
+        v = bc.WordIds(path)
+        for _ in range(25):
+            own = [" ".join(rnd.choice(common + [f"Rare{rnd.random()}'s"]) for _ in range(rnd.randint(0, 15))) for _ in range(3)]
+            own = [*own, None, "  \n", "a <|endoftext|>B"]
+            ids, bounds = v.encode(pa.array(own))
+            got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in own]
