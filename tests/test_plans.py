@@ -180,6 +180,24 @@ def test_popular_groups_are_cut_before_the_shuffle(spark, tmp_path):
     assert "Partial" in plan[partial : partial + 200]
 
 
+def test_rows_without_a_group_are_dealt_by_their_order(spark):
+    """Rows whose group is null do not meet the groups in one task."""
+    from aulario.plans.first_come import Resource, granted_before
+
+    df = spark.range(20_000).selectExpr("id as o", "if(id % 10 = 0, id, null) as k")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        out = granted_before(df, df, "o", Resource("x", "k", "k"), "n")
+        sizes = [r["c"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 2 * 20_000 / len(sizes)
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     from aulario.operators import reports
     from aulario.sources.projection import project_testdata

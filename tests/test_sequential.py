@@ -305,6 +305,34 @@ def test_units_of_a_group_come_from_the_data(spark):
     assert granted == expected
 
 
+def test_a_claim_that_takes_nothing_keeps_the_room_it_had(spark):
+    """Claim 2 waits for a slot while a later claim takes the last unit it only needs to be free."""
+    rows = [(0, 1, None, None, True), (1, 1, 7, None, True), (2, None, 7, 5, False), (3, None, None, 5, True),
+            (4, None, 7, None, True), (5, None, None, 5, False)]
+    df = spark.createDataFrame(rows, "k long, q long, s long, p long, u boolean").selectExpr("*", "1L as f")
+    resources = [Resource("q", "q", "f"), Resource("s", "s", "f"), Resource("p", "p", "f", "u")]
+    assert {r.k for r in grant_in_order(df, "k", resources).collect()} == {0, 2, 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grants_are_those_of_a_loop_with_takers_and_others(spark, seed):
+    rnd = random.Random(70 + seed)
+    some = lambda n: None if rnd.random() < 0.3 else rnd.randint(1, n)
+    claims = [(k, some(40), some(25), some(15), rnd.random() < 0.4) for k in range(300)]
+    expected, left = set(), {}
+    for k, a, b, c, takes in claims:
+        groups = [(n, g) for n, g in (("a", a), ("b", b), ("c", c)) if g is not None]
+        units = {"a": 1, "b": 2, "c": 3}
+        if all(left.setdefault(g, units[g[0]]) > 0 for g in groups):
+            expected.add(k)
+            for g in groups:
+                left[g] -= takes if g[0] == "c" else 1
+    df = spark.createDataFrame(claims, "k long, a long, b long, c long, u boolean").selectExpr("*", "1 fa", "2 fb", "3 fc")
+    resources = [Resource("a", "a", "fa"), Resource("b", "b", "fb"), Resource("c", "c", "fc", "u")]
+    granted = grant_in_order(df, "k", resources)
+    assert granted.columns == df.columns and {r.k for r in granted.collect()} == expected
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_requests_become_a_state_without_conflicts(spark, seed):
     rows, t, rnd = random_state(spark, 50 + seed)
