@@ -191,7 +191,8 @@ def test_rows_without_a_group_are_dealt_by_their_order(spark):
         spark.conf.set(k, v)
     try:
         out = granted_before(df, df, "o", Resource("x", "k", "k"), "n")
-        sizes = [r["c"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+        per_task = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c"), F.sum("n"))
+        sizes = [r["c"] for r in per_task.collect()]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
