@@ -697,7 +697,10 @@ SELECT edificio, 0 AS pagina, CAST(to_json(list(nombre_sala ORDER BY nombre_sala
     o["vw05_room_list"] = "SELECT * FROM sala"
     o["vw06_my_reservations"] = """
 SELECT p.ci_participante AS ci, b.id_reserva, b.nombre_sala, b.edificio, b.fecha, t.inicio_min, t.fin_min, b.estado,
-       b.capacidad, c.n AS confirmados
+       b.capacidad, c.n AS confirmados, CAST((c.n + 59) // 60 AS INTEGER) AS paginas,
+       coalesce((SELECT string_agg(h.nombre || ' ' || h.apellido, '|' ORDER BY h.nombre || ' ' || h.apellido, h.ci)
+        FROM rp x JOIN participantes h ON h.ci = x.ci_participante
+        WHERE x.confirmado AND x.id_reserva = b.id_reserva AND x.ci_participante <> p.ci_participante), '') AS otros
 FROM rp p JOIN base b USING (id_reserva) JOIN turno t USING (id_turno) JOIN confirmados c USING (id_reserva)
 WHERE p.confirmado AND b.estado = 'Activa'"""
     for size, suffix in ((60, ""), (3, "_short_pages")):

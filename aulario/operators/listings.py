@@ -124,16 +124,29 @@ def _own_confirmed(t: Model) -> DataFrame:
     )
 
 
+def _others(people: Column) -> Column:
+    """Names of ``people``, in their order, without the one of the row's ``ci``."""
+    own = F.col("ci")
+    return F.transform(F.filter(people, lambda p: p["ci"] != own), lambda p: p["nombre_completo"])
+
+
 def my_reservations(t: Model) -> DataFrame:
-    """Each person's active, confirmed reservations with how many confirmed, one row of the same shape each.
+    """Each person's active, confirmed reservations and who else confirmed, one row of the same shape each.
 
-    The names are a relation of their own: :func:`roster_pages` has them per reservation,
-    :func:`others_in_reservation` per person.
+    ``otros`` names all the others by name, whatever their number; ``paginas`` says in how many pages
+    :func:`roster_pages` has the people per reservation and :func:`others_in_reservation` per person.
     """
     active = t.reserva.filter(F.col("estado") == fixed.ACTIVA)
-    per_reservation = _with_room_and_turno(t, active).join(confirmed_counts(t), "id_reserva")
-    columns = ["ci", "id_reserva", *ROOM, "fecha", "inicio_min", "fin_min", "estado", "capacidad", "confirmados"]
-    return _own_confirmed(t).join(per_reservation, "id_reserva").select(*columns).orderBy("ci", F.desc("fecha"), "id_reserva")
+    pages = F.sort_array(F.collect_list(F.struct("pagina", "personas")))
+    rosters = roster_pages(t).groupBy("id_reserva").agg(
+        F.count("*").cast("int").alias("paginas"),
+        F.flatten(F.transform(pages, lambda p: p["personas"])).alias("personas"),
+        F.sum("confirmados").alias("confirmados"),
+    )
+    per_reservation = _with_room_and_turno(t, active).join(rosters, "id_reserva")
+    columns = ["ci", "id_reserva", *ROOM, "fecha", "inicio_min", "fin_min", "estado", "capacidad", "confirmados", "paginas"]
+    mine = _own_confirmed(t).join(per_reservation, "id_reserva").select(*columns, _others(F.col("personas")).alias("otros"))
+    return mine.orderBy("ci", F.desc("fecha"), "id_reserva")
 
 
 def others_in_reservation(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> DataFrame:
@@ -142,9 +155,8 @@ def others_in_reservation(t: Model, page_size: int = fixed.MAX_CAPACIDAD) -> Dat
     Every person has all pages, whatever the size of the reservation; on their own page their name is
     left out, so a page may be one short, or empty for somebody alone.
     """
-    own = F.col("ci")
-    names = F.transform(F.filter("personas", lambda p: p["ci"] != own), lambda p: p["nombre_completo"])
-    return _own_confirmed(t).join(roster_pages(t, page_size), "id_reserva").select("ci", "id_reserva", "pagina", names.alias("otros"))
+    names = _others(F.col("personas")).alias("otros")
+    return _own_confirmed(t).join(roster_pages(t, page_size), "id_reserva").select("ci", "id_reserva", "pagina", names)
 
 
 def active_reservations(t: Model) -> DataFrame:
