@@ -50,17 +50,18 @@ def held_by_others(asked: DataFrame, moves: DataFrame, initial: DataFrame) -> Da
     closes = F.when(F.col("until").isNotNull(), step("until", -1, 0))
     unsure = F.when(F.col("ok") & F.col("until_any").isNotNull(), step("until_any", 0, -1))
     events = spans.select("place", "who", F.explode(F.array_compact(F.array(opens, closes, unsure))).alias("e"))
-    payload = F.struct(*asked.columns)
-    events = events.select("place", "who", "e.at", "e.may", "e.sure").withColumn("asked", F.lit(None).cast(asked.schema))
-    asking = asked.select("place", "who", "at", F.lit(0).alias("may"), F.lit(0).alias("sure"), payload.alias("asked"))
-    rows = events.unionByName(asking).withColumn("turn", F.struct("at", F.col("asked").isNotNull().alias("asks")))
+    more = [c for c in asked.columns if c not in ("place", "who", "at")]
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in more]
+    events = events.select("place", "who", "e.at", "e.may", "e.sure", F.lit(False).alias("asks"), *none)
+    asking = asked.select("place", "who", "at", F.lit(0).alias("may"), F.lit(0).alias("sure"), F.lit(True).alias("asks"), *more)
+    rows = events.unionByName(asking)
+    turn = F.struct("at", "asks")
     # what the asking holder has there does not count
-    own = Window.partitionBy("place", "who").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("place", "who").orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"own_may": F.sum("may").over(own), "own_sure": F.sum("sure").over(own)})
-    summed = running_sums(rows, ["place"], F.col("turn"), {"all_may": "may", "all_sure": "sure"})
-    return summed.filter("asked is not null").select(
-        "asked.*", (F.col("all_may") - F.col("own_may")).alias("may"), (F.col("all_sure") - F.col("own_sure")).alias("sure")
-    )
+    summed = running_sums(rows, ["place"], turn, {"all_may": "may", "all_sure": "sure"}).filter("asks")
+    others = [(F.col("all_may") - F.col("own_may")).alias("may"), (F.col("all_sure") - F.col("own_sure")).alias("sure")]
+    return summed.select(*asked.columns, *others)
 
 
 def settle(moves: DataFrame, initial: DataFrame) -> DataFrame:
