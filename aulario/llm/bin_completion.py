@@ -37,6 +37,8 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words whose ids a worker remembers before it forgets the rare ones (a slice of more words goes beyond).
 REMEMBERED = 400_000
+#: Words given to the library at once; what it returns for a word takes about a kB until its ids are taken out.
+AT_ONCE = 4096
 #: Nodes that one search for a filling may visit; the incumbent is used after that.
 NODES = 3000
 #: Pieces of one length that are numbered in one task.
@@ -82,11 +84,14 @@ class WordIds:
         unknown = np.flatnonzero(ranks < 0)
         new = [words[i] for i in unknown.tolist()]
         ranks[unknown] = np.arange(len(self.rank), len(self.rank) + len(new))
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(new)))
+        lengths, ids = [np.empty(0, np.int64)], [self.ids]
+        for at in range(0, len(new), AT_ONCE):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + AT_ONCE], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            ids.append(np.fromiter(chain.from_iterable(encoded), "<u4"))
         self.rank.update(zip(new, range(len(self.rank), len(self.rank) + len(new)), strict=True))
-        self.first = np.concatenate([self.first, self.first[-1] + ends])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), "<u4")])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
+        self.ids = np.concatenate(ids)
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses[ranks] += 1
         return ranks

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aulario.llm import bin_completion, divergence_rules, jaccard_join, run_length_index, simhash_windows
-from aulario.llm.text import table
+from aulario.llm.text import in_small_batches, table
 from aulario.plans.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,12 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
+    in_small_batches(spark)
     first = jaccard_join.link(docs).filter("component_id = doc_id or component_id is null")
     return _by_id(docs, first, "left_semi")
 
 
 def seen_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that an earlier document has; nothing is left of some."""
+    in_small_batches(spark)
     left = run_length_index.without_seen(docs, ("lang", "source")).filter("n_removed = 0 or trim(text) <> ''")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -47,6 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and offset."""
+    in_small_batches(spark)
     return bin_completion.pack(bin_completion.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -125,3 +125,30 @@ def test_ids_while_words_are_forgotten(monkeypatch):
             ids, bounds = v.encode(pa.array(own))
             got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
             assert got == [library.encode(t or "", add_special_tokens=False).ids for t in own]
+
+
+def test_workers_of_packing_hold_little(spark, documents):
+    """Rows reach a worker in batches of a few MB; the library gets the unknown words of a slice in lots."""
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).nbytes])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = documents(["x " * 250_000] * 48).coalesce(1)
+    assert cp.packing(spark, docs, "").count() == 48 * -(-250_001 // 2048)
+    got = [r["n"] for r in docs.select("text").mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) >= 24_000_000 and max(got) < 10_000_000
+
+    class Library:
+        def encode_batch_fast(self, words, **how):
+            lots.append(len(words))
+            return kept.encode_batch_fast(words, **how)
+
+    v, lots = bc.WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    kept, v.tokenizer = v.tokenizer, Library()
+    ids, bounds = v.encode(pa.array([" ".join(f"w{i}q" for i in range(10_000))]))
+    assert sum(lots) == 10_000 and max(lots) < 5_000
+    assert ids.tolist() == kept.encode(" ".join(f"w{i}q" for i in range(10_000)), add_special_tokens=False).ids
