@@ -16,11 +16,14 @@ Null texts are empty documents of one (end) token. Repeated rows are packed each
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from aulario.llm.text import sliced
+from aulario.llm.text import flat, sliced
 from aulario.plans.staging import stage
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers before it forgets the rare ones (a slice of more words goes beyond).
+#: Parts of words whose ids a worker remembers before it forgets the rare ones (a slice of more goes beyond).
 REMEMBERED = 400_000
-#: Words given to the library at once; what it returns for a word takes about a kB until its ids are taken out.
+#: Parts looked at at once; what the library returns for one takes about a kB until its ids are taken out.
 AT_ONCE = 4096
 #: Nodes that one search for a filling may visit; the incumbent is used after that.
 NODES = 3000
 #: Pieces of one length that are numbered in one task.
 RUN = 2_000
+#: How a text must be prepared for its words to be cut here (fixed values of this family of vocabularies).
+_PREPARED = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Strings that come out of that as one pre-token, unchanged.
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+").fullmatch
+#: Letters of which each is prepared alone.
+_LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_LETTER, _DIGIT, _SIGN, _UNSURE = 1, 2, 4, 8
+_KIND = np.full(256, _UNSURE, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[ord("'")] = _UNSURE  # it may begin an ending of its own
 
 
 def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -51,47 +75,93 @@ def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - lengths), lengths) + np.arange(lengths.sum())
 
 
+def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words cut between letters, signs and single digits, and where each word's parts begin (one more at the end).
+
+    Only ASCII signs, digits and the letters of Latin-1 are told apart. Words with anything else, with a digit next to
+    a letter or with what may begin a special token stay whole.
+    """
+    data, offsets = flat(words)
+    lengths = np.diff(offsets)
+    first = np.zeros(len(data), bool)
+    first[offsets[:-1][lengths > 0]] = True
+    kind = _KIND[data]
+    lead = np.flatnonzero(data == 0xC3)  # the letters from U+00C0 on, but for two signs
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    kept = (kind[1:] | kind[:-1] == _LETTER | _DIGIT) | (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    kind[1:][kept & ~first[1:]] = _UNSURE
+    whole = np.zeros(len(lengths), bool)
+    whole[np.searchsorted(offsets, np.flatnonzero(kind == _UNSURE), "right") - 1] = True
+    cuts = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first[1:] |= cuts & ~np.repeat(whole, lengths)[1:]
+    starts = np.flatnonzero(first)
+    bounds = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(starts, offsets)
+
+
 class WordIds:
-    """Ids of words between ASCII white space; no token of such a vocabulary spans white space."""
+    """Ids of words between ASCII white space; no token of such a vocabulary spans white space.
+
+    Most words are cut here where the library cuts them, and each distinct part is merged by its model alone; all
+    other parts go through the whole library in lots.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.rank: dict[str, int] = {}  # of each remembered word, in the order of the arrays below
-        self.ids = np.empty(0, "<u4")  # of all remembered words, one after the other
+        self.model, normalizer, cutter = (getattr(self.tokenizer, n) for n in ("model", "normalizer", "pre_tokenizer"))
+        settings = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in settings["added_tokens"]]
+        prepared = settings["normalizer"], settings["pre_tokenizer"]
+        self.cuts = prepared == _PREPARED and all("<|" in t and not _PLAIN(t) for t in special)
+        letters = filter(_LATIN, map(chr, range(0xC0, 0x100)))
+        self.latin = {ord(c): cutter.pre_tokenize_str(normalizer.normalize_str(c))[0][0] for c in letters if self.cuts}
+        self.rank: dict[str, int] = {}  # of each remembered part, in the order of the arrays below
+        self.ids = np.empty(0, "<u4")  # of all remembered parts, one after the other
         self.first = np.zeros(1, np.int64)  # where those of each begin
-        self.uses = np.empty(0, np.int64)  # slices of text a word was in
+        self.uses = np.empty(0, np.int64)  # slices of text a part was in
 
     def _forget(self) -> None:
-        """Drop the words that were in one slice alone, and the rarer ones of the others beyond half of what fits."""
+        """Drop the parts that were in one slice alone, and the rarer ones of the others beyond half of what fits."""
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > REMEMBERED // 2:
             kept = np.sort(kept[np.argsort(self.uses[kept], kind="stable")[-(REMEMBERED // 2) :]])
-        words = list(self.rank)
-        self.rank = {words[k]: i for i, k in enumerate(kept.tolist())}
+        parts = list(self.rank)
+        self.rank = {parts[k]: i for i, k in enumerate(kept.tolist())}
         lengths = np.diff(self.first)[kept]
         self.ids = self.ids[_spans(self.first[kept], lengths)]
         self.first = np.concatenate([[0], np.cumsum(lengths)])
         self.uses = self.uses[kept] // 2  # what was frequent long ago ages
 
-    def _ranks(self, words: list[str]) -> np.ndarray:
-        """Number of each distinct word among the remembered ones; the others are encoded and remembered."""
-        if len(self.rank) + len(words) > REMEMBERED:
+    def _prepared(self, part: str) -> str | None:
+        """What the model gets for a part that is one pre-token; none if that is left to the library."""
+        if not self.cuts:
+            return None
+        if _PLAIN(part):
+            return part
+        return part.translate(self.latin) if _LATIN(part) else None
+
+    def _ranks(self, parts: list[str]) -> np.ndarray:
+        """Number of each distinct part among the remembered ones; the others are encoded and remembered."""
+        if len(self.rank) + len(parts) > REMEMBERED:
             self._forget()
-        ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        ranks = np.fromiter(map(self.rank.get, parts, repeat(-1)), np.int64, len(parts))
         unknown = np.flatnonzero(ranks < 0)
-        new = [words[i] for i in unknown.tolist()]
+        new = [parts[i] for i in unknown.tolist()]
         ranks[unknown] = np.arange(len(self.rank), len(self.rank) + len(new))
-        lengths, ids = [np.empty(0, np.int64)], [self.ids]
+        ids, ends = array("I"), array("q")
         for at in range(0, len(new), AT_ONCE):
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + AT_ONCE], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
-            ids.append(np.fromiter(chain.from_iterable(encoded), "<u4"))
+            lot = [(p, self._prepared(p)) for p in new[at : at + AT_ONCE]]
+            others = iter(self.tokenizer.encode_batch_fast([p for p, own in lot if own is None], add_special_tokens=False))
+            for _, own in lot:
+                ids.extend(next(others).ids if own is None else [t.id for t in self.model.tokenize(own)])
+                ends.append(len(ids))
         self.rank.update(zip(new, range(len(self.rank), len(self.rank) + len(new)), strict=True))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
-        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.array(ends, np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses[ranks] += 1
         return ranks
@@ -99,18 +169,28 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more at the end).
 
-        Each distinct word of the texts is looked up once; the rest is a gather over their places.
+        Each distinct word of the texts is cut once and each distinct part looked up once; the rest is a gather
+        over their places.
         """
         # the vocabulary is lower case; a special token's string must stay as it is
         texts = pc.fill_null(texts, "")
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(texts)  # blanks at the ends give empty words, which have no ids
         words = lists.flatten().dictionary_encode()
-        ranks = self._ranks(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        lengths = np.diff(self.first)[ranks]
-        ids = self.ids[_spans(self.first[ranks], lengths)]
+        parts, bounds = _parts(words.dictionary) if self.cuts else (words.dictionary, np.arange(len(words.dictionary) + 1))
+        parts = parts.dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary)
+        joined = pc.binary_join(distinct, "\n")[0].as_py()  # no part holds white space; far quicker than one by one
+        ranks = self._ranks(joined.split("\n") if len(parts) else [])
+        ids, bounds = self._gathered(self.ids, self.first, ranks[parts.indices.to_numpy()], bounds)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(lengths)])[offsets - offsets[0]]
+        return self._gathered(ids, bounds, words.indices.to_numpy(), offsets - offsets[0])
+
+    @staticmethod
+    def _gathered(ids: np.ndarray, first: np.ndarray, chosen: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chosen ones, one after the other, and where those of groups of them begin."""
+        lengths = np.diff(first)[chosen]
+        return ids[_spans(first[chosen], lengths)], np.concatenate([[0], np.cumsum(lengths)])[bounds]
 
 
 @functools.cache

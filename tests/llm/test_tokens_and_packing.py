@@ -152,3 +152,24 @@ def test_workers_of_packing_hold_little(spark, documents):
     ids, bounds = v.encode(pa.array([" ".join(f"w{i}q" for i in range(10_000))]))
     assert sum(lots) == 10_000 and max(lots) < 5_000
     assert ids.tolist() == kept.encode(" ".join(f"w{i}q" for i in range(10_000)), add_special_tokens=False).ids
+
+
+def test_words_that_share_parts_are_merged_once(monkeypatch):
+    """Signs and letters of a word are remembered apart, so words that differ in signs cost one merge; ids stay the same."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    v = bc.WordIds(path)
+    stems = [f"{a}{b}zu{c}" for a in "klmnp" for b in "aeioü" for c in "rstÉß"]
+    v.encode(pa.array([" ".join(s + sign for s in stems for sign in ["", ".", ",", "###", "%%%", "$$$", '"']), "1234567 7654 321"]))
+    assert len(v.rank) == len(stems) + 6 + 7
+
+    rnd = random.Random(8)
+    signs = "aezEZéÉßÿ×÷µªÀÞø019.,'<|>_~!/:@[`{\x00\x1c\x7f\xa0́　ﬁΣ中😀"
+    words = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 7))) for _ in range(4000)]
+    words += ["a<", "|b", "<", "|", "a.<|endoftext|>1", "don't", "..'s", "''s", "é'll", "é.", "1é", "é1", "é.1", "E<|B"]
+    own = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)] + words[-14:]
+    ids, bounds = v.encode(pa.array(own))
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in own]
