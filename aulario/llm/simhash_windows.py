@@ -8,8 +8,9 @@ them in an equi-join: no pair within the radius is missed. Survivors are verifie
 weighted Jaccard similarity of the bags.
 
 Windows can only reach the threshold if shingles of items of their size make up that share of their
-weight. A bitmap of fixed size, filled with the (size, shingle) pairs of the benchmark, drops all
-others before anything is shuffled; false hits in it only let more windows through.
+weight. A bitmap of fixed size, filled with the shingles of the benchmark and with its (size, shingle)
+pairs, drops all others before anything is shuffled; false hits in it only let more windows through. Only
+windows that hold a shingle of the benchmark are looked at, whatever their size.
 
 Null, empty and blank items match nothing; null texts have no windows. Items with fewer than five
 words are one shingle. A text is compared without case (A-Z), words being cut at ASCII white space.
@@ -34,6 +35,8 @@ BITS, BLOCKS, RADIUS = 64, 4, 15
 _WIDTH = BITS // BLOCKS
 #: Bits of the bitmap; its 4 MB as bytes bound what is sent to every worker.
 BITMAP = 1 << 22
+#: Stands for all sizes in the bitmap.
+ANY = 0
 _FLIPS = np.array(
     [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(_WIDTH), r)], np.int64
 )
@@ -49,6 +52,7 @@ class Shingled:
         self.h = span_hashes(data, self.starts, self.ends)
         self.reach = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.likely: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and weight by number of the first word (0 where the text ends before ``k`` words)."""
@@ -60,6 +64,13 @@ class Shingled:
             self.by_length[k] = hashes, weights
         return self.by_length[k]
 
+    def met(self, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles of ``k`` words that the benchmark may have, and the weight of all before each place."""
+        if k not in self.likely:
+            hashes, weights = self.of(k)
+            self.likely[k] = np.flatnonzero(known[_slot(hashes, ANY)]), np.append(0, np.cumsum(weights))
+        return self.likely[k]
+
 
 def _slot(hashes: np.ndarray, size: int) -> np.ndarray:
     return (mix(hashes ^ np.uint64(size * 0x9E3779B1)) % np.uint64(BITMAP)).astype(np.int64)
@@ -109,14 +120,33 @@ def _slots(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                _slot(np.frombuffer(h, np.uint64), n)
+                _slot(np.frombuffer(h, np.uint64), size)
                 for n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for size in (ANY, n)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.empty(0, np.int64)])))], ["slot"])
 
     return items.select("size", "hashes").mapInArrow(run, "slot bigint").distinct()
 
 
+def _likely(s: Shingled, size: int, known: np.ndarray) -> np.ndarray:
+    """First words of the windows that share enough weight with items of their size, false hits included."""
+    k = min(SHINGLE, size)
+    count = size - k + 1
+    _, w = s.of(k)
+    at, total = s.met(k, known)
+    at = at[known[_slot(s.of(k)[0][at], size)]]
+    # windows that hold one of these shingles, each once
+    begins = np.maximum(at - count + 1, np.append(0, at[:-1] + 1))
+    lengths = at + 1 - begins
+    own = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    own = own[own < len(w) - size + 1]
+    own = own[s.doc[own] == s.doc[own + size - 1]]
+    shared = np.append(0, np.cumsum(w[at]))
+    share = shared[np.searchsorted(at, own + count)] - shared[np.searchsorted(at, own)]
+    return own[(share > 0) & (share >= THRESHOLD * (total[own + count] - total[own]))]
+
+
 def _windows(docs: DataFrame, sizes: list[int], slots: np.ndarray) -> DataFrame:
     bitmap = np.zeros(BITMAP, bool)
     bitmap[slots] = True
@@ -134,14 +164,7 @@ def _windows(docs: DataFrame, sizes: list[int], slots: np.ndarray) -> DataFrame:
                     k = min(SHINGLE, size)
                     count = size - k + 1
                     h, w = s.of(k)
-                    n = len(h) - size + 1
-                    if n <= 0:
-                        continue
-                    hit = np.where(known[_slot(h, size)], w, 0)
-                    total, shared = (np.concatenate([[0], np.cumsum(x)]) for x in (w, hit))
-                    share = shared[count : count + n] - shared[:n]
-                    ok = (share > 0) & (share >= THRESHOLD * (total[count : count + n] - total[:n]))
-                    at = np.flatnonzero(ok & (s.doc[:n] == s.doc[size - 1 : size - 1 + n]))
+                    at = _likely(s, size, known)
                     for near in np.split(at, np.flatnonzero(np.diff(at) > count) + 1) if len(at) else []:
                         for a, fp in zip(near.tolist(), fingerprints(h, w, near, count).view(np.int64).tolist(), strict=True):
                             d = int(s.doc[a])

@@ -84,3 +84,36 @@ def test_empty_tables(spark, documents):
     assert sw.contaminated(docs, bench).count() == 1
     assert sw.contaminated(docs.limit(0), bench).count() == 0
     assert sw.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_only_windows_near_a_shingle_of_the_benchmark_are_looked_at(monkeypatch):
+    """A text is hashed once, not once a size; every window with enough weight of its size's shingles is among the likely."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    items = {n: sentence(rnd, n) for n in (3, 15, 16, 17, 22, 40, 57)}
+    shingled = lambda *texts: sw.Shingled(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "text"]))
+    known, seen = np.zeros(sw.BITMAP, bool), []
+    for n, item in items.items():
+        h, _ = shingled(item).of(min(5, n))
+        for size in (n, sw.ANY):
+            known[sw._slot(h[: n - min(5, n) + 1], size)] = True
+    slot = sw._slot
+    monkeypatch.setattr(sw, "_slot", lambda hashes, size: (seen.append(len(hashes)), slot(hashes, size))[1])
+    text = " ".join(f"{rnd.random()}" for _ in range(3000))
+    s = shingled(text)
+    for n in items:
+        sw._likely(s, n, known)
+    assert sum(seen) < 3 * 3000
+
+    mixed = [x for item in items.values() for x in (item, text[:300], item[: len(item) // 2])]
+    s = shingled(" ".join(mixed), items[40], "", text[:200] + " " + items[15])
+    for n in items:
+        k = min(5, n)
+        h, w = s.of(k)
+        hit = np.where(known[slot(h, n)] & known[slot(h, sw.ANY)], w, 0)
+        want = [
+            a for a in range(len(h) - n + 1)
+            if s.doc[a] == s.doc[a + n - 1] and 0 < hit[a : a + n - k + 1].sum() >= 0.75 * w[a : a + n - k + 1].sum()
+        ]
+        assert want and sw._likely(s, n, known).tolist() == want
