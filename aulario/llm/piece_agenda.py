@@ -6,12 +6,14 @@ leftmost of equals first. The best pair is joined, entries that name a joined sy
 skipped, and the new neighbours enter the agenda. Short parts go through it together: the pairs of one
 part are a row of scores, of which the best is joined in every row at once. What stays a character
 without a piece is spelled in byte pieces. As no piece has a mark after another character (proved when the vocabulary is read),
-pairs never cross the start of a run of marks, so a text is cut there and equal parts are encoded once
-per worker; the number of characters remembered is bounded. A vocabulary with longer pieces is taken
-whole text by whole text.
+pairs never cross the start of a run of marks, so a text is cut into words there. ASCII signs that follow no
+letter (of Latin-1) in any piece, and characters that are next to nothing in any piece, cut words further in the same way.
+Each distinct word of a slice is cut once, and equal parts are encoded once per worker; the number of
+characters remembered is bounded. A vocabulary with longer pieces is taken whole text by whole text.
 
 Every distinct part is compared with the library when it is first met in an Arrow batch: ids, and the
-text they decode to. A difference ends the job with an error naming the part.
+text they decode to; a character that joins with nothing stands before it, so that parts without a mark
+can be told to the library. A difference ends the job with an error naming the part.
 
 Null counts as the empty text, which has no ids. Repeated rows are encoded each, a row without
 ``doc_id`` keeps its null, other columns are not looked at. Time grows with n log n for a long part.
@@ -22,7 +24,6 @@ from __future__ import annotations
 import codecs
 import functools
 import gc
-import re
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby
@@ -32,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from aulario.llm.text import sliced
+from aulario.llm.text import flat, sliced
 
 MARK = "▁"
 #: Characters of parts that a worker remembers before it starts afresh, and the longest part remembered.
@@ -42,6 +43,7 @@ SHORT, ROWS = 24, 8192
 #: Code points below this have their first pairs in a table.
 COMMON = 0x180
 _PAD = -1
+_SPACE, _OTHER, _LETTER, _SIGN, _ALONE = range(5)
 
 codecs.register_error("one-by-one", lambda e: ("�", e.start + 1))
 
@@ -96,9 +98,10 @@ class Pieces:
         self.unknown = sp.unk_id()
         self.surface |= {self.unknown: " ⁇ "}
         self._tabulate()
-        cuts = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.parts: Callable[[str], list[str]] = re.compile(f"{MARK}+[^{MARK}]*" if cuts else "(?s).+").findall
-        self._forget()
+        self._find_cuts()
+        self.known: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
+        self.young = self.old = 0  # characters of the parts in them
 
     def _read_settings(self, model: bytes) -> None:
         """Refuse what the agenda does not do; fixed values are field numbers of the public format."""
@@ -112,9 +115,26 @@ class Pieces:
         if not merge_type or suffix_mark or user_defined or table or not dummy or squeeze or not escape:
             raise ValueError("needs a merge-type vocabulary that leaves texts as they are and puts a mark in front")
 
-    def _forget(self) -> None:
-        self.known: dict[str, tuple[str, str]] = {}
-        self.held = 0
+    def _find_cuts(self) -> None:
+        """Where no piece goes across: kinds of bytes, and a character to stand before a part."""
+        self.by_word = all(MARK not in p.lstrip(MARK) for p in self.ids)
+        pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        ascii_ = {chr(i) for i in range(128)} - {" "}
+        alone = ascii_ - {c for pair in pairs for c in pair}
+        signs = {c for c in ascii_ - alone if not c.isalpha()} - {b for a, b in pairs if a.isalpha() and ord(a) < 0x100}
+        anchor = next((c for c in sorted(alone) if c in self.ids), None)
+        self.kind = np.full(256, _OTHER, np.uint8)
+        self.anchor, self.anchored = "", []
+        if self.by_word and anchor:
+            self.kind[[i for i in range(128) if chr(i).isalpha()]] = _LETTER
+            self.kind[[ord(c) for c in signs]] = _SIGN
+            self.kind[[ord(c) for c in alone]] = _ALONE
+            self.anchor, self.anchored = anchor, [self.ids[MARK], self.ids[anchor]]
+        self.kind[0x20] = _SPACE
+
+    @property
+    def held(self) -> int:
+        return self.young + self.old
 
     def _tabulate(self) -> None:
         """Numbers of characters, and of what adjacent pieces join to, sorted by the numbers of both."""
@@ -252,10 +272,10 @@ class Pieces:
     def spoken(self, ids: Iterable[int]) -> str:
         """Text of ids, marks as spaces; byte pieces that spell no character give replacement characters."""
         ids = list(ids)
-        out = [self.surface.get(i) for i in ids]
-        if None not in out:
-            return "".join(out)
-        out = []
+        try:
+            return "".join([self.surface[i] for i in ids])
+        except KeyError:  # byte pieces or silent ones
+            out = []
         for spelled, run in groupby(ids, self.byte_of.__contains__):
             if spelled:
                 out.append(bytes(self.byte_of[i] for i in run).decode("utf-8", "one-by-one"))
@@ -271,49 +291,114 @@ class Pieces:
         marked = first in self.surface and first != self.unknown and text.startswith(" ")
         return text[1:] if marked else text
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode parts not met before and hold them against the library."""
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Texts cut before every run of spaces, one space put in front, and where each text's words begin (one more at the end)."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
+        data, offsets = flat(texts)
+        space = data == 0x20
+        begins = np.zeros(len(data), bool)
+        if self.by_word:
+            begins[1:] = space[1:] & ~space[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        return _spans(data, np.flatnonzero(begins), offsets)
+
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words cut where no piece goes across, and where each word's parts begin (one more at the end)."""
+        data, offsets = flat(words)
+        kind = self.kind[data]
+        lead = np.flatnonzero(data == 0xC3)  # the letters from U+00C0 on, but for two signs
+        kind[lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)] + 1] = _LETTER
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (kind[1:] == _SIGN) & (kind[:-1] == _LETTER) | (kind[1:] == _ALONE) | (kind[:-1] == _ALONE)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        return _spans(data, np.flatnonzero(begins), offsets)
+
+    def parts(self, text: str) -> list[str]:
+        """Parts of a text with its marks, the one in front included."""
+        return _strings(self.cut(self.words(pa.array([text[1:]], pa.string()))[0])[0])
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode distinct parts not met lately and hold them against the library."""
         new = [p for p in parts if p not in self.known]
-        if self.held + sum(map(len, new)) > REMEMBERED:
-            self._forget()
-            new = list(parts)
-        encoded = self.encode_parts(new)
-        plain = [p[1:].replace(MARK, " ") for p in new]
-        for part, text, ids, theirs in zip(new, plain, encoded, self.library.encode(plain, num_threads=1), strict=True):
+        more = sum(map(len, new))
+        if self.young + more > REMEMBERED // 2:
+            self.older, self.old = self.known, self.young
+            self.known, self.young, new = {}, 0, parts
+            more = sum(map(len, new))
+        if self.young + self.old + more > REMEMBERED:
+            self.older, self.old = {}, 0
+        self.young += more
+        self.known.update((p, self.older[p]) for p in new if p in self.older)
+        new = [p for p in new if p not in self.known]
+        plain = [self.anchor + p.replace(MARK, " ")[not self.anchor :] for p in new]
+        theirs = self.library.encode(plain, num_threads=1)
+        lead, skipped = self.anchored, len(self.anchor)
+        for part, text, ids, other in zip(new, plain, self.encode_parts(new), theirs, strict=True):
             spoken = self.spoken(ids)
-            if spoken != " " + text or (text and ids != theirs):
-                raise AssertionError(f"{part!r}: {ids} here, {theirs} in the library")
-            self.known[part] = ",".join(map(str, ids)), spoken
-            self.held += len(part)
+            if spoken != (text[skipped:] if skipped else " " + text) or (text and lead + ids != other):
+                raise AssertionError(f"{part!r}: {ids} here, {other[len(lead):]} in the library")
+            self.known[part] = ",".join([str(i) for i in ids]), spoken, len(ids)
 
-    def release(self, parts: set[str]) -> None:
+    def release(self, parts: list[str]) -> None:
         """Forget parts too long to be worth remembering."""
         for part in (p for p in parts if len(p) > LONGEST):
             del self.known[part]
-            self.held -= len(part)
+            self.young -= len(part)
 
-    def round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def round_trip(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids in decimals joined by commas, and the decoded text of each text."""
+        numbers, ids, decoded = self.coded(pa.array(texts, pa.string()))
+        return list(zip(numbers.to_pylist(), ids.to_pylist(), decoded.to_pylist(), strict=True))
+
+    def coded(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """As ``round_trip``, by columns; null is the empty text."""
         # nothing here is cyclic, and the collector would look through all that is remembered again and again
         collects = gc.isenabled()
         gc.disable()
         try:
-            return self._round_trip(texts)
+            return self._coded(texts)
         finally:
             if collects:
                 gc.enable()
 
-    def _round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        cut = [self.parts(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        parts = set().union(*cut)
-        self.learn(parts)
-        out = []
-        for c in cut:
-            both = list(map(self.known.__getitem__, c))
-            ids = ",".join([b[0] for b in both])
-            out.append((ids.count(",") + 1 if ids else 0, ids, "".join([b[1] for b in both])[1:]))
-        self.release(parts)
-        return out
+    def _coded(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        words, of_text = self.words(texts)
+        words = words.dictionary_encode()
+        parts, of_word = self.cut(words.dictionary)
+        parts = parts.dictionary_encode()
+        distinct = _strings(parts.dictionary)
+        self.learn(distinct)
+        known = [self.known[p] for p in distinct]
+        self.release(distinct)
+        at, of = parts.indices, words.indices
+        numbers = np.array([n for _, _, n in known], np.int64)
+        for chosen, bounds in ((at, of_word), (of, of_text)):
+            sums = np.append(0, np.cumsum(numbers[chosen.to_numpy()]))
+            numbers = sums[bounds[1:]] - sums[bounds[:-1]]
+        joined = []
+        for column, between in ((0, ","), (1, "")):
+            strings = pa.array([k[column] for k in known], pa.string())
+            for chosen, bounds in ((at, of_word), (of, of_text)):
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), strings.take(chosen))
+                strings = pc.binary_join(lists, between)
+            joined.append(strings)
+        ids, spoken = joined
+        return pa.array(numbers), ids, pc.binary_replace_slice(spoken.cast(pa.binary()), 0, 1, b"").cast(pa.string())
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Strings that begin at each start, and where those of each stretch between two offsets begin."""
+    bounds = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(starts, offsets)
+
+
+def _strings(array: pa.Array) -> list[str]:
+    """The strings of an array with marks for spaces; far quicker than one by one."""
+    data, offsets = flat(array)
+    text = data.tobytes().decode().replace(" ", MARK)
+    at = np.append(0, np.cumsum(data & 0xC0 != 0x80))[offsets].tolist()
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 @functools.cache
@@ -339,9 +424,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def work(v: Pieces, part: pa.RecordBatch) -> list[pa.Array]:
-        done = v.round_trip(pc.fill_null(part.column(1), "").to_pylist())
-        kinds = (pa.int64(), pa.string(), pa.string())
-        return [part.column(0), *(pa.array([d[i] for d in done], k) for i, k in enumerate(kinds))]
+        return [part.column(0), *v.coded(part.column(1))]
 
     schema = "doc_id bigint, n_tokens bigint, ids string, decoded string"
     return _by_row(docs.select("doc_id", "text"), path, work, schema)
@@ -351,8 +434,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids`` of every row, ids as an array; empty for null and empty texts."""
 
     def work(v: Pieces, part: pa.RecordBatch) -> list[pa.Array]:
-        done = v.round_trip(pc.fill_null(part.column(1), "").to_pylist())
-        return [part.column(0), pa.array([[int(i) for i in d.split(",") if i] for _, d, _ in done], pa.list_(pa.int32()))]
+        _, ids, _ = v.coded(part.column(1))
+        return [part.column(0), pa.array([[int(i) for i in d.split(",") if i] for d in ids.to_pylist()], pa.list_(pa.int32()))]
 
     return _by_row(docs.select("doc_id", "text"), path, work, "doc_id bigint, ids array<int>")
 

@@ -86,3 +86,20 @@ def test_query_digests_whole_table_and_null_ids(spark, library):
     odd = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id bigint, text string")
     assert sorted(r["n_tokens"] for r in pa.round_trip(odd, PATH).collect()) == [0, 2]
     assert pa.round_trip(odd.limit(0), PATH).count() == 0
+
+
+def test_words_that_share_parts_are_encoded_once(library):
+    """Signs after letters are remembered apart, so words that differ in them cost one encoding; results stay the same."""
+    v = pa.Pieces(PATH)
+    stems = ["house", "Garten", "élan", "señor"]
+    text = " ".join(s + end for s in stems for end in ["", ".", ",", "###", "%%%", "\n", '"']) + " 1234 4321"
+    assert v.round_trip([text])[0] == (len(want := library.encode(text)), ",".join(map(str, want)), library.decode(want))
+    # the stems, one of each sign, four digits and the mark before them
+    assert set(v.known) == {*("▁" + s for s in stems), ".", ",", "###", "%%%", "\n", '"', "1", "2", "3", "4", "▁"}
+
+    rnd = random.Random(12)
+    signs = "aenéß 0.,'*#$%&<>|_:-()\"\n\t\0▁中́ the .com ing ..."
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    for t, got in zip(texts, v.round_trip(texts), strict=True):
+        want = library.encode(t)
+        assert got == (len(want), ",".join(map(str, want)), library.decode(want)), t
