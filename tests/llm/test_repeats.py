@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import corpus
 
@@ -76,3 +77,46 @@ def test_words_equal_brute_force(documents, seed):
 def test_empty_table(documents):
     assert run_length_index.remove_seen(documents(["x"]).limit(0)).count() == 0
     assert fm_index.remove_repeated(documents(["x"]).limit(0)).count() == 0
+
+
+def _docs(texts):
+    n = len(texts)
+    columns = {"doc_id": pa.array(range(n), pa.int64()), "text": texts, "rid": pa.array(range(n), pa.int64())}
+    return pa.table({**columns, "bucket": pa.array([0] * n, pa.int32())})
+
+
+def test_phrases_below_the_width_share_no_anchor():
+    rnd = random.Random(8)
+    phrases = ["".join(rnd.choice("abcdefghij") for _ in range(20)) for _ in range(5)]
+    texts = ["".join(rnd.choice(phrases) + "".join(rnd.choice("klmnopqrst") for _ in range(40)) for _ in range(20)) for _ in range(30)]
+    plan = run_length_index.PLAN
+    symbols, offsets = plan.symbols(pa.RecordBatch.from_pydict({"doc_id": range(30), "text": texts}))
+    _, _, doc, h = repeats.segments(plan, symbols, offsets)
+    pairs = np.unique(np.column_stack([h, doc.astype(np.uint64)]), axis=0)
+    assert len(np.unique(pairs[:, 0])) == len(pairs)
+
+
+def test_what_is_sent_for_anchors_does_not_grow_with_the_shards():
+    rnd = random.Random(9)
+    docs = _docs(["".join(rnd.choice("abcdefghij") for _ in range(120)) for _ in range(400)])
+    few, many = (repeats._anchors(run_length_index.PLAN, n)(docs) for n in (4, 400))
+    sent = [sum(len(x) for c in ("keys", "twice") for x in t[c].to_pylist()) for t in (few, many)]
+    assert sent[0] == sent[1] and many.num_rows == 400
+
+
+@pytest.mark.parametrize("plan", [run_length_index.PLAN, fm_index.PLAN])
+def test_anchors_do_not_depend_on_the_block(plan, monkeypatch):
+    texts = corpus(6, 60)
+    part = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    whole = repeats.segments(plan, *plan.symbols(part))
+    monkeypatch.setattr(repeats, "_BLOCK", 70)
+    for a, b in zip(whole, repeats.segments(plan, *plan.symbols(part)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_names_found_among_others():
+    rnd = np.random.default_rng(4)
+    values = rnd.integers(0, 5000, 3000).astype(np.uint64) << np.uint64(30)
+    wanted = np.unique(rnd.integers(0, 5000, 700).astype(np.uint64) << np.uint64(30))
+    assert (repeats._among(values, wanted) == np.isin(values, wanted)).all()
+    assert not repeats._among(values, wanted[:0]).any()
